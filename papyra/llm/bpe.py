@@ -41,6 +41,8 @@ WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
 BLOCK = 256
 #: The rank of a pair that doesn't merge.
 NO_PAIR = 1 << 40
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 20
 
 
 @cache
@@ -153,7 +155,7 @@ class Ranks:
     """Ranks of one vocabulary, with the merges of slices seen before. One per worker and vocabulary."""
 
     #: Slices kept in the cache; beyond it the cache starts anew. Slices of over 64 bytes are never kept.
-    CACHED, CACHED_BYTES = 400_000, 64
+    CACHED, CACHED_BYTES = 200_000, 64
 
     def __init__(self, path: str):
         with open(path, "rb") as lines:
@@ -313,7 +315,7 @@ class Ranks:
         cuts = at.tolist()
         cuts.append(len(data))
         pieces = [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-        if self.used + len(self.index) > 2 * self.CACHED:
+        if self.used > self.CACHED:
             self.clear()
         numbers = np.fromiter(map(self.index.get, pieces, repeat(-1)), np.int64, len(pieces))
         missed = np.flatnonzero(numbers < 0).tolist()
@@ -351,47 +353,57 @@ def ranks(vocabulary: str) -> Ranks:
     return Ranks(vocabulary)
 
 
+def encoded(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
+    """What encode() does inside a task."""
+    known = ranks(vocabulary)
+    for batch in slices(batches, size=SLICE):
+        ids, counts, offsets, cuts = known.encode(texts_of(batch.column("text")))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), int_lists(ids, counts, pa.int32()), int_lists(offsets, cuts, pa.int32())], ["doc_id", "ids", "offsets"])
+
+
+def decoded(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
+    """What decode() does inside a task."""
+    known = ranks(vocabulary)
+    for batch in batches:
+        for part in [batch.slice(k, 512) for k in range(0, batch.num_rows, 512)]:
+            lists = part.column("ids")
+            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            data = known.decode(lists.flatten().to_numpy(), counts)
+            cuts = part.column("offsets").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            last = part.column("offsets").flatten().to_numpy()[np.cumsum(cuts)[cuts > 0] - 1]
+            if (last >= np.fromiter(map(len, data), np.int64, len(data))[cuts > 0]).any():
+                raise ValueError("a slice begins past the end of its decoded text")
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), lists, pa.array(data, pa.binary())], ["doc_id", "n_tokens", "ids", "data"])
+
+
+ENCODED, DECODED = "doc_id long, ids array<int>, offsets array<int>", "doc_id long, n_tokens long, ids array<int>, data binary"
+
+
 def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>, offsets array<int>: the ids of each text, and the byte offset of each of its slices.
 
     One row per input row, repeated rows included. A null text counts as empty; an empty text has no ids. No special
     tokens are added or recognised. Texts are whole: a long one is encoded in one piece. Other columns are not read.
+    Characters that Unicode assigned after the version of Python's unicodedata count as neither letters nor numbers.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ranks(vocabulary)
-        for batch in slices(batches):
-            ids, counts, offsets, cuts = known.encode(texts_of(batch.column("text")))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), int_lists(ids, counts, pa.int32()), int_lists(offsets, cuts, pa.int32())], ["doc_id", "ids", "offsets"])
-
-    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, offsets array<int>")
+    return id_text(df, id_col, text_col).mapInArrow(lambda batches: encoded(batches, vocabulary), ENCODED)
 
 
-def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
+def decode(rows: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids, data binary: the bytes of each row of encode().
 
     The retained offsets are held against the decoded bytes: an offset past the decoded end fails the row's task. Null
     ids count as none.
     """
+    return rows.select("doc_id", "ids", "offsets").mapInArrow(lambda batches: decoded(batches, vocabulary), DECODED)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ranks(vocabulary)
-        for batch in batches:
-            for part in [batch.slice(k, 512) for k in range(0, batch.num_rows, 512)]:
-                lists = part.column("ids")
-                counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                data = known.decode(lists.flatten().to_numpy(), counts)
-                cuts = part.column("offsets").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                last = part.column("offsets").flatten().to_numpy()[np.cumsum(cuts)[cuts > 0] - 1]
-                if (last >= np.fromiter(map(len, data), np.int64, len(data))[cuts > 0]).any():
-                    raise ValueError("a slice begins past the end of its decoded text")
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), lists, pa.array(data, pa.binary())], ["doc_id", "n_tokens", "ids", "data"])
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, data binary")
+def round_trip(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(df)) in one pass: both run in the same Python worker, so that the ids cross to it and back once."""
+    return id_text(df, id_col, text_col).mapInArrow(lambda batches: decoded(encoded(batches, vocabulary), vocabulary), DECODED)
 
 
 def round_trip_digests(df: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text: encoded, then decoded from the ids."""
-    decoded = decode(encode(df, vocabulary), vocabulary)
     joined = F.concat_ws(",", F.col("ids").cast("array<string>"))
-    return decoded.select("doc_id", "n_tokens", F.sha2(joined, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+    return round_trip(df, vocabulary).select("doc_id", "n_tokens", F.sha2(joined, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from papyra.llm import bpe
+from papyra.llm import ann, audio, bpe, toxicity
 from papyra.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,9 +18,28 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), "byte_bpe_multi_50k.tiktoken")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest embeddings of each whose vec_id is divisible by 20."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of documents stored as MPEG audio, read back and digested."""
+    return audio.digests(audio.read_audio(audio.store_audio(table(spark, sf_dir, "documents"))))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text of documents, learned from the labels of two thirds of the ids."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, toxicity.training_labels(table(spark, sf_dir, "labels"))))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Query]:
     """Every query of this subpackage by its registered name."""
-    return {"op1_bpe": op1_bpe}
+    return {f.__name__: f for f in (op1_bpe, op2_ann, op8_audio, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
