@@ -28,15 +28,20 @@ def work_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/papyra-work").rstrip("/")
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared work folder, removed when the driver ends."""
+    path = f"{work_dir(spark)}/papyra-{uuid.uuid4().hex}/{name}"
+    _written.append((spark, path.rpartition("/")[0]))
+    return path
+
+
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """df as a Parquet table in the shared work folder, read again: cuts lineage and survives lost executors.
 
     The table is removed when the driver ends.
     """
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/papyra-{uuid.uuid4().hex}/{name}"
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    _written.append((spark, path.rpartition("/")[0]))
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 

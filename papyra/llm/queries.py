@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import ann, audio, bpe, toxicity
-from papyra.llm.common import table
+from papyra.llm import ann, audio, binary_pack, bpe, mixture, token_counts, toxicity
+from papyra.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,21 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op4_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed id matrices with segment lengths and position resets, the matrices as checksums."""
+    return binary_pack.summary(binary_pack.pack_documents(table(spark, sf_dir, "documents")))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every text of documents, through a cache that is empty at first: each call stands for itself."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", fresh_path(spark, "token-counts"))
+
+
+def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed by deficit round-robin over their sources."""
+    return mixture.pack_mixture(table(spark, sf_dir, "documents"), checksums=True)
+
+
 def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents stored as MPEG audio, read back and digested."""
     return audio.digests(audio.read_audio(audio.store_audio(table(spark, sf_dir, "documents"))))
@@ -39,7 +54,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every query of this subpackage by its registered name."""
-    return {f.__name__: f for f in (op1_bpe, op2_ann, op8_audio, op10_toxicity)}
+    return {f.__name__: f for f in (op1_bpe, op2_ann, op4_packed, op5_token_counts, op6_mixture, op8_audio, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

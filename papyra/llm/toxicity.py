@@ -64,7 +64,7 @@ def documents(texts: list[str]) -> Iterator[np.ndarray]:
         yield found[found >= 0]
 
 
-def ftrl(texts: list[str], labels: list[int], epochs: int = 3, alpha: float = 0.1, beta: float = 1.0, l1: float = 2.0, l2: float = 1.0) -> Model:
+def ftrl(texts: list[str], labels: list[int], epochs: int = 8, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0) -> Model:
     """Weights of a logistic regression over the distinct coordinates of each text."""
     z, n = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
     rows = [np.append(x, DIMENSIONS) for x in documents(texts)]
