@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import ann, audio, binary_pack, bpe, mixture, token_counts, toxicity
+from papyra.llm import ann, audio, binary_pack, bpe, lm, mixture, token_counts, toxicity
 from papyra.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,11 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op3_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-bigram scores of every text of documents."""
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op4_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as packed id matrices with segment lengths and position resets, the matrices as checksums."""
     return binary_pack.summary(binary_pack.pack_documents(table(spark, sf_dir, "documents")))
@@ -54,7 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every query of this subpackage by its registered name."""
-    return {f.__name__: f for f in (op1_bpe, op2_ann, op4_packed, op5_token_counts, op6_mixture, op8_audio, op10_toxicity)}
+    return {f.__name__: f for f in (op1_bpe, op2_ann, op3_brown_lm, op4_packed, op5_token_counts, op6_mixture, op8_audio, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
