@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import ann, audio, binary_pack, bpe, lm, mixture, token_counts, toxicity
+from papyra.llm import ann, audio, binary_pack, bpe, jaccard, lm, mixture, token_counts, toxicity
 from papyra.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,11 @@ def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.pack_mixture(table(spark, sf_dir, "documents"), checksums=True)
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents under Jaccard similarity of 0.8 and more over five-word shingles."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents stored as MPEG audio, read back and digested."""
     return audio.digests(audio.read_audio(audio.store_audio(table(spark, sf_dir, "documents"))))
@@ -59,7 +64,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every query of this subpackage by its registered name."""
-    return {f.__name__: f for f in (op1_bpe, op2_ann, op3_brown_lm, op4_packed, op5_token_counts, op6_mixture, op8_audio, op10_toxicity)}
+    return {f.__name__: f for f in (op1_bpe, op2_ann, op3_brown_lm, op4_packed, op5_token_counts, op6_mixture, op7_jaccard, op8_audio, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
