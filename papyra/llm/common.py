@@ -45,6 +45,58 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def bucket_bits(spark: SparkSession) -> int:
+    """Bits that number the ranges of hashes which arrays are dealt out by: four ranges or more for each shuffle partition."""
+    return max(10, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+
+
+def dealt_by_range(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the unsigned 64-bit hashes, bounds of the 2^bits ranges in it)."""
+    order = np.argsort(hashes)
+    edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    return order, np.concatenate([[0], np.searchsorted(hashes[order], edges), [len(hashes)]])
+
+
+def bit_slice(hashes: np.ndarray, bucket_bits_: int, bits: int) -> bytes:
+    """The piece of a table of 2^bits bits that hashes of one range set."""
+    out = np.zeros(1 << (bits - bucket_bits_), bool)
+    out[(hashes << np.uint64(bucket_bits_) >> np.uint64(64 - bits + bucket_bits_)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def gathered_bits(pieces: pa.Table, bits: int) -> np.ndarray:
+    """The whole table from its pieces (bucket, bits): 2^bits / 8 bytes, whatever the input's size."""
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for bucket, piece in zip(pieces.column("bucket").to_pylist(), pieces.column("bits").to_pylist(), strict=True):
+        out[bucket * len(piece) : (bucket + 1) * len(piece)] = np.frombuffer(piece, np.uint8)
+    return out
+
+
+def has_bit(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Which unsigned hashes fall on a bit that is set."""
+    place = hashes >> np.uint64(64 - bits)
+    return table[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1 > 0
+
+
+def bit_table(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A table of 2^bits bits with those set on which values of a long column fall."""
+    wide = bucket_bits(rows.sparkSession)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = np.unique(batch.column(column).to_numpy().view(np.uint64))
+            _, bounds = dealt_by_range(hashes, wide)
+            some = [(b, hashes[x:y].tobytes()) for b, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)) if y > x]
+            b, h = zip(*some, strict=True) if some else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(h, pa.binary())], ["bucket", "hashes"])
+
+    def fold(key: tuple, table: pa.Table) -> pa.Table:
+        hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()])
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([bit_slice(hashes, wide, bits)], pa.binary())})
+
+    return gathered_bits(rows.select(column).mapInArrow(split, "bucket long, hashes binary").groupBy("bucket").applyInArrow(fold, "bucket long, bits binary").toArrow(), bits)
+
+
 def remove_written() -> None:
     """Delete every table that written() has made in this process."""
     while _written:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import ann, audio, binary_pack, bpe, jaccard, lm, mixture, token_counts, toxicity
+from papyra.llm import ann, audio, binary_pack, bpe, jaccard, lm, mixture, repeats, token_counts, toxicity
 from papyra.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +54,11 @@ def op8_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.digests(audio.read_audio(audio.store_audio(table(spark, sf_dir, "documents"))))
 
 
+def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of 50 words and more that documents share."""
+    return repeats.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every text of documents, learned from the labels of two thirds of the ids."""
     docs = table(spark, sf_dir, "documents")
@@ -64,7 +69,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every query of this subpackage by its registered name."""
-    return {f.__name__: f for f in (op1_bpe, op2_ann, op3_brown_lm, op4_packed, op5_token_counts, op6_mixture, op7_jaccard, op8_audio, op10_toxicity)}
+    return {f.__name__: f for f in (op1_bpe, op2_ann, op3_brown_lm, op4_packed, op5_token_counts, op6_mixture, op7_jaccard, op8_audio, op9_repeats, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
