@@ -1,13 +1,20 @@
-"""Queries over the test tables, each with its SQL."""
+"""Every query over the test tables, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
+from papyra.plans import registry
+from papyra.plans import relational as _relational
+from papyra.plans import texts as _texts
 
-def queries() -> dict:
+__all__ = ["oracle_sql", "queries"]
+_ = (_relational, _texts)  # importing a module registers its queries
+
+
+def queries() -> dict[str, registry.Query]:
     """Query functions by name."""
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name."""
-    return {}
+    return dict(registry.SQL)
