@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 
 _written: list[tuple[SparkSession, str]] = []
+_places: dict[int, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,12 +43,25 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    _places[id(out)] = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table of written() that nothing will read again."""
+    if path := _places.pop(id(table), None):
+        _delete(table.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def bucket_bits(spark: SparkSession) -> int:
     """Bits that number the ranges of hashes which arrays are dealt out by: four ranges or more for each shuffle partition."""
-    return max(10, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    return max(6, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
 
 def dealt_by_range(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,6 +71,21 @@ def dealt_by_range(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarra
     return order, np.concatenate([[0], np.searchsorted(hashes[order], edges), [len(hashes)]])
 
 
+def packed_rest(hashes: np.ndarray, bits: int) -> bytes:
+    """The 40 bits after the first `bits` of each unsigned hash, as 32-bit numbers followed by bytes."""
+    rest = hashes << np.uint64(bits) >> np.uint64(24)
+    return (rest >> np.uint64(8)).astype(np.uint32).tobytes() + rest.astype(np.uint8).tobytes()
+
+
+def unpacked_rest(data: list[bytes]) -> np.ndarray:
+    """The 40-bit numbers of packed_rest(), of one value after the other."""
+    parts = []
+    for x in data:
+        n = len(x) // 5
+        parts.append(np.frombuffer(x, np.uint32, n).astype(np.uint64) << np.uint64(8) | np.frombuffer(x, np.uint8, n, 4 * n))
+    return np.concatenate(parts)
+
+
 def bit_slice(hashes: np.ndarray, bucket_bits_: int, bits: int) -> bytes:
     """The piece of a table of 2^bits bits that hashes of one range set."""
     out = np.zeros(1 << (bits - bucket_bits_), bool)
@@ -102,9 +131,7 @@ def remove_written() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session has ended already
             return
 
