@@ -28,7 +28,7 @@ CONTEXT = WINDOW - 1
 NEIGHBOURS = 8
 #: A table of 2^KEY_BITS bits holds the keys that may repeat. A full table lets more suffixes through, and loses none.
 KEY_BITS = 26
-SLICE = 1 << 21
+SLICE = 1 << 19
 SUFFIX = "key long, following binary, preceding binary, doc_id long, row long, at long, words long"
 
 
@@ -59,7 +59,7 @@ def repeated_keys(rows: DataFrame) -> np.ndarray:
     wide = bucket_bits(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=4 * SLICE):
+        for batch in slices(batches, size=2 * SLICE):
             _, keys = minimisers(*hash_words(texts_of(batch.column("text"))))
             unique, counts = np.unique(keys.view(np.uint64), return_counts=True)
             _, bounds = dealt_by_range(unique, wide)

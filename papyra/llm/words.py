@@ -12,7 +12,7 @@ from functools import cache
 import numpy as np
 
 #: Bytes that are hashed at once; longer words extend a block.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 GRAM = np.uint64(0xC2B2AE3D27D4EB4F)
 WHITE = np.zeros(256, bool)
