@@ -176,3 +176,25 @@ def test_streams(spark, tmp_path):
 @pytest.mark.parametrize("op", [lambda d: context.markdown_blocks(d, "id", "text"), lambda d: search.term_counts(d, "id", "text"), lambda d: mining.glossary_candidates(d, "id", "text"), lambda d: html.html_blocks(d, "id", "text")])
 def test_empty_tables(spark, op):
     assert op(spark.createDataFrame([], "id int, text string")).count() == 0
+
+
+def test_latex(spark):
+    from papyra.functions import latex
+
+    assert latex.normal_math(r"a \label{x{y}} \mbox{b {c}} % note" + "\n d") == "a b {c} d"
+    assert latex.normal_math(r"\mbox{open") == r"\mbox{open" and latex.normal_math(None) is None
+    assert latex.group_end(r"{a\}b}c", 0) == 6
+    files = spark.createDataFrame([("x/ms.tex", r"\documentclass{a}\begin{document}"), ("supp.tex", r"\documentclass{a}"), ("b.tex", "")], "path string, content string")
+    best = files.orderBy(F.desc(latex.main_file_score(F.col("path"), F.col("content")))).first()
+    assert best["path"] == "x/ms.tex"
+    assert one(spark, latex.math(F.lit(r"\tag{1}x"))) == "x"
+    assert one(spark, latex.page_layout(F.lit(1), F.lit(400.0), F.lit(100.0))) == "double"
+    assert one(spark, latex.transient(F.lit("Rate limit"))) is True and one(spark, latex.transient(F.lit("Forbidden"))) is False
+    assert one(spark, latex.capabilities(F.lit("text-embedding-3"))) == ["embedding"]
+
+
+def test_page_documents(spark):
+    from papyra.plans.pipelines import page_documents
+
+    page = spark.createDataFrame([(1, "<h1>T</h1><p>a</p>")], "id int, html string")
+    assert rows(page_documents(page, "id", "html")) == [(1, "# T\n\na")]
