@@ -1,43 +1,56 @@
-"""Repeated passages by sparse suffix arrays.
-
-A suffix of a document is kept where a minimiser selects it: the GRAM words that hash lowest among WINDOW consecutive
-ones. Any two equal passages of GRAM + WINDOW - 1 words hold an equal minimiser at the same place. Suffixes whose first
-GRAM words occur once are dropped; the rest are sorted by what follows and then by what precedes, in ranges that split
-frequent passages, and neighbours of different documents are compared and their match is extended to the right and to
-the left.
+"""Repeated passages by the hashes of their windows of LEAST words.
+
+Every window of LEAST consecutive words has a key: the GRAM_WORDS words that hash lowest in it, the first among equals.
+Windows that follow one another and have their key at the same place form a run, so a text has about two runs for each
+WINDOW words. Equal windows have equal keys. Runs whose key occurs once are dropped; the others are dealt out by key, and
+their windows are compared as hashes: two rows share a passage of LEAST words exactly where they hold the same window.
+Windows of the keys that more than HOT runs have are dealt out one by one instead, by their own hashes, and those that
+more than COMMON hold are aggregated, so no task gets a whole group, however large it is.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from papyra.llm.common import bit_slice, bucket_bits, dealt_by_range, gathered_bits, has_bit, slices, texts_of, written
-from papyra.llm.words import grams, hash_words, joined, word_spans
+from papyra.llm.words import BASE, GRAM, grams, hash_words, joined, mix, word_spans
 
-#: Words of the least passage; words of a minimiser; minimisers compared; words of context kept on either side.
+#: Words of the least passage; words of a key; places that a key can have in a window.
 LEAST, GRAM_WORDS = 50, 20
 WINDOW = LEAST - GRAM_WORDS + 1
-CONTEXT = WINDOW - 1
-#: Neighbours on either side that a suffix is compared with, besides the nearest of another row.
-NEIGHBOURS = 8
-#: A table of 2^KEY_BITS bits holds the keys that may repeat. A full table lets more suffixes through, and loses none.
+#: Runs of a key that one task compares at most; holders of a window that are dealt to one task at most.
+HOT, COMMON = 2048, 1 << 14
+#: A table of 2^KEY_BITS bits holds the keys that may repeat. A full table lets more runs through, and loses none.
 KEY_BITS = 26
 SLICE = 1 << 19
-SUFFIX = "key long, following binary, preceding binary, doc_id long, row long, at long, words long"
+#: Runs that are compared at once.
+ROWS = 1 << 13
+RUN = "key long, doc_id long, row long, begin long, windows binary"
+SPAN = "doc_id long, row long, begin long, end long, other long"
+
+
+class Runs(NamedTuple):
+    """Of each run its key, its first window as a position in the array of all words, and its number of windows; the hashes of all windows."""
+
+    keys: np.ndarray
+    first: np.ndarray
+    windows: np.ndarray
+    hashes: np.ndarray
 
 
-def minimisers(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(positions in the array of all words, keys) of the selected suffixes of texts with these numbers of words."""
+def runs(words: np.ndarray, counts: np.ndarray) -> Runs:
+    """The runs of texts with these numbers of words."""
     g = grams(words, GRAM_WORDS)
     n = len(g) - WINDOW + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return Runs(*(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64))
     at, width = np.arange(len(g)), 1
     while width < WINDOW:  # position of the least of `width` grams from each place, the first among equals
         step = min(width, WINDOW - width)
@@ -45,8 +58,14 @@ def minimisers(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
         at = np.where(g[a] <= g[b], a, b)
         width += step
     ends = np.repeat(np.cumsum(counts), counts)[:n]
-    chosen = np.unique(at[np.arange(n) + LEAST <= ends])
-    return chosen, g[chosen].view(np.int64)
+    whole = np.flatnonzero(np.arange(n) + LEAST <= ends)
+    at = at[whole]
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1]
+    starts = np.flatnonzero(new)
+    # three grams cover a window's words
+    hashes = mix((g[whole] * GRAM + g[whole + GRAM_WORDS]) * BASE + g[whole + LEAST - GRAM_WORDS])
+    return Runs(g[at[starts]].view(np.int64), whole[starts], np.diff(np.append(starts, len(at))), hashes)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -54,165 +73,158 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col).cast("long"), text).alias("row"))
 
 
-def repeated_keys(rows: DataFrame) -> np.ndarray:
-    """A table of fixed size with a bit set for every key that occurs twice or more; the driver gets it in pieces."""
-    wide = bucket_bits(rows.sparkSession)
+def repeated_keys(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(a table of fixed size with a bit set for every key that occurs twice or more, the keys of more than HOT runs, ascending).
+
+    The driver gets the table in pieces, and at most one key for each HOT runs.
+    """
+    wide, most = bucket_bits(rows.sparkSession), HOT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=2 * SLICE):
-            _, keys = minimisers(*hash_words(texts_of(batch.column("text"))))
+            keys = runs(*hash_words(texts_of(batch.column("text")))).keys
             unique, counts = np.unique(keys.view(np.uint64), return_counts=True)
+            counts = np.minimum(counts, (1 << 16) - 1).astype(np.uint16)
             _, bounds = dealt_by_range(unique, wide)
-            some = [(b, unique[x:y].tobytes(), (counts[x:y] > 1).tobytes()) for b, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)) if y > x]
+            some = [(b, unique[x:y].tobytes(), counts[x:y].tobytes()) for b, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)) if y > x]
             b, k, m = zip(*some, strict=True) if some else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(k, pa.binary()), pa.array(m, pa.binary())], ["bucket", "keys", "many"])
 
     def twice(bucket: tuple, table: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
-        many = np.concatenate([np.frombuffer(x, bool) for x in table.column("many").to_pylist()])
-        unique, place, counts = np.unique(keys, return_inverse=True, return_counts=True)
-        again = unique[(counts > 1) | (np.bincount(place, many) > 0)]
-        return pa.table({"bucket": pa.array([bucket[0].as_py()], pa.int64()), "bits": pa.array([bit_slice(again, wide, KEY_BITS)], pa.binary())})
+        many = np.concatenate([np.frombuffer(x, np.uint16) for x in table.column("many").to_pylist()])
+        unique, place = np.unique(keys, return_inverse=True)
+        counts = np.bincount(place, many)
+        arrays = [pa.array([bucket[0].as_py()], pa.int64()), pa.array([bit_slice(unique[counts > 1], wide, KEY_BITS)], pa.binary()), pa.array([unique[counts > most].tobytes()], pa.binary())]
+        return pa.table(arrays, ["bucket", "bits", "hot"])
 
-    found = rows.select("text").mapInArrow(run, "bucket long, keys binary, many binary").groupBy("bucket").applyInArrow(twice, "bucket long, bits binary")
-    return gathered_bits(found.toArrow(), KEY_BITS)
+    found = rows.select("text").mapInArrow(run, "bucket long, keys binary, many binary").groupBy("bucket").applyInArrow(twice, "bucket long, bits binary, hot binary").toArrow()
+    return gathered_bits(found, KEY_BITS), np.sort(np.frombuffer(b"".join(found.column("hot").to_pylist()), np.int64))
 
 
-def suffixes(rows: DataFrame) -> DataFrame:
-    """The selected suffixes whose keys may repeat, with CONTEXT words on either side as 32-bit hashes. Written once."""
-    table = rows.sparkSession.sparkContext.broadcast(repeated_keys(rows))
+def kept_runs(rows: DataFrame, shared: Broadcast, hot: bool) -> DataFrame:
+    """The runs whose keys may repeat, those of hot keys or those of others. Hot ones are given as single windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = table.value
+        bits, hot_keys = shared.value
         for batch in slices(batches, size=SLICE):
             words, counts = hash_words(texts_of(batch.column("text")))
-            at, keys = minimisers(words, counts)
-            keep = has_bit(bits, keys.view(np.uint64), KEY_BITS)
-            at, keys = at[keep], keys[keep]
+            keys, first, windows, hashes = runs(words, counts)
+            keep = np.isin(keys, hot_keys) if hot else has_bit(bits, keys.view(np.uint64), KEY_BITS) & ~np.isin(keys, hot_keys)
+            hashes = hashes[np.repeat(keep, windows)]
+            keys, first, windows = keys[keep], first[keep], windows[keep]
             starts = np.cumsum(counts) - counts
-            owner = np.searchsorted(starts, at, "right") - 1
             # texts without words share their start with the next one
-            first, last = starts[owner], (starts + counts)[owner]
-            short = np.concatenate([(words >> np.uint64(32)).astype(np.uint32), [np.uint32(0)]])
-
-            def context(index: np.ndarray, inside: np.ndarray) -> pa.Array:
-                data = np.where(inside, short[np.clip(index, 0, len(short) - 1)], np.uint32(0))  # noqa: B023
-                ends = np.arange(len(index) + 1, dtype=np.int32) * (4 * CONTEXT)
-                return pa.BinaryArray.from_buffers(pa.binary(), len(index), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(np.ascontiguousarray(data, np.uint32).tobytes())])
-
-            right = at[:, None] + GRAM_WORDS + np.arange(CONTEXT)
-            left = at[:, None] - 1 - np.arange(CONTEXT)
+            owner = np.searchsorted(starts, first, "right") - 1
+            begin = first - starts[owner]
+            ends = np.append(0, np.cumsum(windows))
+            if hot:
+                keys, owner, begin = hashes.view(np.int64), np.repeat(owner, windows), np.repeat(begin - ends[:-1], windows) + np.arange(len(hashes))
             take = pa.array(owner)
-            columns = [pa.array(keys), context(right, right < last[:, None]), context(left, left >= first[:, None]), batch.column("doc_id").take(take), batch.column("row").take(take), pa.array(at - first), pa.array(last - first)]
-            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SUFFIX.split(", ")])
-
-    return written(rows.mapInArrow(run, SUFFIX), "suffixes")
-
-
-class Suffixes:
-    """Rows of suffixes() as arrays."""
-
-    def __init__(self, table: pa.Table | pa.RecordBatch, prefix: str = ""):
-        get = lambda name: table.column(prefix + name)
-        self.key, self.doc_id, self.row, self.at, self.words = (get(c).to_numpy() for c in ("key", "doc_id", "row", "at", "words"))
-        self.following, self.preceding = (np.frombuffer(b"".join(get(c).to_pylist()), np.uint32).reshape(-1, CONTEXT) for c in ("following", "preceding"))
-
-    def extend(self, i: np.ndarray, other: Suffixes, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Words that suffixes i here and j there share to the left and to the right of their equal GRAM_WORDS words."""
-        def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            differ = a != b
-            return np.where(differ.any(1), differ.argmax(1), CONTEXT)
-
-        left = np.minimum(common(self.preceding[i], other.preceding[j]), np.minimum(self.at[i], other.at[j]))
-        room = lambda s, k: s.words[k] - s.at[k] - GRAM_WORDS
-        right = np.minimum(common(self.following[i], other.following[j]), np.minimum(room(self, i), room(other, j)))
-        return left, right
-
-
-MATCH = "doc_id long, row long, begin long, end long, other long, edge int, part long"
-
-
-def matches(found: DataFrame, contexts: bool = False) -> DataFrame:
-    """doc_id, row, begin, end, other: passages, in words, that a suffix shares with a neighbour of another row. Written once.
-
-    contexts: the columns of suffixes() follow.
-    """
-    spark = found.sparkSession
-    names = [x.split()[0] for x in SUFFIX.split(", ")]
-    schema = f"begin long, end long, other long, edge int, part long, {SUFFIX}"
-    order = ["key", "following", "preceding", "doc_id", "row", "at"]
+            columns = [pa.array(keys), batch.column("doc_id").take(take), batch.column("row").take(take), pa.array(begin)]
+            if not hot:
+                columns.append(pa.BinaryArray.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer((8 * ends).astype(np.int32).tobytes()), pa.py_buffer(hashes.tobytes())]))
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in RUN.split(", ")][: len(columns)])
+
+    return rows.mapInArrow(run, RUN.rpartition(", ")[0] if hot else RUN)
+
+
+def compared(table: pa.Table, later: bool) -> pa.RecordBatch:
+    """The spans (SPAN) of these runs, with all runs of their keys."""
+    ids = table.column("doc_id").combine_chunks()
+    null, value = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy()
+    row, first = table.column("row").to_numpy(), table.column("begin").to_numpy()
+    # rows numbered by id, null last
+    order = np.lexsort((row, value, null))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (row[order[1:]] != row[order[:-1]]) | (value[order[1:]] != value[order[:-1]]) | (null[order[1:]] != null[order[:-1]])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(fresh) - 1
+    one = order[fresh]
+
+    raw = table.column("windows").to_pylist()
+    counts = np.fromiter(map(len, raw), np.int64, len(raw)) // 8
+    hashes = np.frombuffer(b"".join(raw), np.uint64)
+    run = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((rank[run], hashes))
+    h, r = hashes[order], rank[run[order]]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = h[1:] != h[:-1]
+    group = np.cumsum(fresh) - 1
+    lead = r[fresh][group]
+    follows = r != lead
+    step = np.flatnonzero(follows[1:] & ~follows[:-1]) + 1
+    second = np.full(len(h), -1)
+    second[group[step]] = r[step]
+    partner = np.empty(len(h), np.int64)
+    partner[order] = np.where(follows, lead, -1 if later else second[group])
+
+    hit = np.flatnonzero(partner >= 0)
+    new = np.ones(len(hit), bool)
+    new[1:] = (np.diff(hit) != 1) | (run[hit[1:]] != run[hit[:-1]])
+    b = np.flatnonzero(new)
+    begin = (first[run] + np.arange(len(h)) - (np.cumsum(counts) - counts)[run])[hit]
+    least = np.minimum.reduceat(partner[hit], b) if len(b) else b
+    take = pa.array(run[hit[b]])
+    columns = [ids.take(take), pa.array(row[run[hit[b]]]), pa.array(begin[b]), pa.array(begin[np.append(b[1:], len(hit))[: len(b)] - 1] + LEAST), ids.take(pa.array(one[least]))]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SPAN.split(", ")])
+
+
+def dealt_spans(found: DataFrame, later: bool) -> DataFrame:
+    """The spans of runs, dealt out by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        held: pa.Table | None = None
-        fresh, first = 0, True
-
-        def made(table: pa.Table, rows: np.ndarray, begin, end, other, edge: int) -> pa.RecordBatch:
-            rest = table.take(pa.array(rows))
-            if not contexts and not edge:
-                rest = rest.set_column(1, "following", pa.nulls(len(rows), pa.binary())).set_column(2, "preceding", pa.nulls(len(rows), pa.binary()))
-            n = len(rows)
-            columns = [pa.array(begin, pa.int64()), pa.array(end, pa.int64()), pa.array(other, pa.int64()), pa.array([edge] * n, pa.int32()), pa.array([part] * n, pa.int64()), *(rest.column(c).combine_chunks() for c in names)]
-            return pa.RecordBatch.from_arrays(columns, ["begin", "end", "other", "edge", "part", *names])
-
-        def compared(table: pa.Table, upto: int | None) -> tuple[list[pa.RecordBatch], int, int]:
-            """Matches of the rows from `fresh` to the last whose neighbours are known; the first row that is left, and the first that it needs."""
-            s = Suffixes(table)
-            n = len(s.key)
-            new = np.ones(n, bool)
-            new[1:] = (s.key[1:] != s.key[:-1]) | (s.row[1:] != s.row[:-1])
-            starts = np.flatnonzero(new)
-            block = np.cumsum(new) - 1
-            ends = np.append(starts[1:], n)
-            stop = n if upto is None else max(fresh, min(int(starts[-1]), n - NEIGHBOURS))
-            i = np.arange(fresh, stop)
-            out = []
-            beside = [starts[block[i]] - 1, ends[block[i]], *(i + d for k in range(2, NEIGHBOURS + 1) for d in (-k, k))]
-            for j in beside:
-                inside = (j >= 0) & (j < n)
-                a, b = i[inside], j[inside]
-                same = (s.key[a] == s.key[b]) & (s.row[a] != s.row[b])
-                a, b = a[same], b[same]
-                left, right = s.extend(a, s, b)
-                long = left + right + GRAM_WORDS >= LEAST
-                a, b, left, right = a[long], b[long], left[long], right[long]
-                if len(a):
-                    out.append(made(table, a, s.at[a] - left, s.at[a] + GRAM_WORDS + right, s.doc_id[b], 0))
-            return out, stop, max(0, min(stop - NEIGHBOURS, int(starts[block[stop]]) - 1)) if stop < n else n
-
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if not table.num_rows:
-                continue
-            if first:
-                first = False
-                yield made(table, np.array([0]), [None], [None], [None], 1)
-            held = table if held is None else pa.concat_tables([held, table])
-            out, stop, base = compared(held, 0)
-            yield from out
-            held, fresh = held.slice(base).combine_chunks(), stop - base
-        if held is not None:
-            yield from compared(held, None)[0]
-            yield made(held, np.array([held.num_rows - 1]), [None], [None], [None], 2)
-
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    table = written(found.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, schema), "matches")
-    # the last suffix of a range and the first of the next are neighbours, too: two rows a task
-    edges = table.where("edge > 0").select("part", "edge", *names)
-    ahead = edges.select("part", "edge", *names, *[F.lead(c).over(Window.orderBy("part", "edge")).alias(f"next_{c}") for c in ["edge", *names]])
-
-    def joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= ROWS:
+                some = pa.Table.from_batches(held)
+                key = some.column("key").to_numpy()
+                whole = int(np.searchsorted(key, key[-1]))
+                if whole:
+                    yield compared(some.slice(0, whole), later)
+                    held = some.slice(whole).to_batches()
+        if held:
+            yield compared(pa.Table.from_batches(held), later)
+
+    return found.repartition("key").sortWithinPartitions("key").mapInArrow(run, SPAN)
+
+
+def shared_spans(rows: DataFrame, later: bool = False) -> DataFrame:
+    """doc_id, row, begin, end, other: windows that another row holds, or an earlier one (by id, null last), joined within runs."""
+    table, hot = repeated_keys(rows)
+    shared = rows.sparkSession.sparkContext.broadcast((table, hot))
+    out = dealt_spans(kept_runs(rows, shared, False), later)
+    return out.unionByName(hot_spans(kept_runs(rows, shared, True), later)) if len(hot) else out
+
+
+def hot_spans(windows: DataFrame, later: bool) -> DataFrame:
+    """The same of single windows, dealt out by their hashes. Where more than COMMON hold one, they are aggregated and meet their first row alone."""
+    windows = written(windows, "windows")
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    first = windows.groupBy("key").agg(F.min(rank).alias("lead"), F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON)
+    first = written(first.select("key", F.col("lead.doc_id").alias("lead_id"), F.col("lead.row").alias("lead_row")), "leads")
+    common = np.sort(first.select("key").toArrow().column("key").to_numpy())  # one for each COMMON windows at most
+    shared = windows.sparkSession.sparkContext.broadcast(common)
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = Suffixes(batch), Suffixes(batch, "next_")
-            k = np.arange(len(a.key))
-            left, right = a.extend(k, b, k)
-            k = k[(left + right + GRAM_WORDS >= LEAST) & (a.row != b.row)]
-            for s, o, prefix in ((a, b, ""), (b, a, "next_")):
-                rest = [batch.column(prefix + c).take(pa.array(k)) for c in names]
-                yield pa.RecordBatch.from_arrays([pa.array(s.at[k] - left[k]), pa.array(s.at[k] + GRAM_WORDS + right[k]), pa.array(o.doc_id[k]), pa.array(np.zeros(len(k), np.int32)), pa.array(np.zeros(len(k), np.int64)), *rest], ["begin", "end", "other", "edge", "part", *names])
-
-    more = ahead.where("edge = 2 and next_edge = 1 and key = next_key").mapInArrow(joins, schema)
-    return table.where("edge = 0").unionByName(more).drop("edge", "part")
+            batch = batch.filter(pa.array(~np.isin(batch.column("key").to_numpy(), shared.value)))
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * 8
+            hashes = np.ascontiguousarray(batch.column("key").to_numpy())
+            one = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(hashes.tobytes())])
+            yield pa.RecordBatch.from_arrays([*batch.columns, one], [x.split()[0] for x in RUN.split(", ")])
+
+    out = dealt_spans(windows.mapInArrow(rest, RUN), later)
+    if not len(common):
+        return out
+    led = windows.join(F.broadcast(first), "key")
+    span = ["doc_id", "row", "begin", (F.col("begin") + LEAST).alias("end")]
+    out = out.unionByName(led.where("row <> lead_row").select(*span, F.col("lead_id").alias("other")))
+    if later:
+        return out
+    second = led.where("row <> lead_row").groupBy("key").agg(F.min(rank).alias("second"))
+    return out.unionByName(led.where("row = lead_row").join(F.broadcast(second), "key").select(*span, F.col("second.doc_id").alias("other")))
 
 
 def merged(spans: DataFrame, *group: str) -> DataFrame:
@@ -226,50 +238,24 @@ def merged(spans: DataFrame, *group: str) -> DataFrame:
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, begin, end, n_words, other: the passages of 50 words or more that a document shares with another one.
 
-    Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; begin and end (one past the last) count them from 0. Every
-    passage of at least 50 words that two rows share lies within the result's spans, up to suffixes whose NEIGHBOURS in
-    the sorted order on both sides extend less far to the left than some more distant one's; `other` is the least id that a
-    span's suffixes were matched with. A text that repeats under the same id is one row; texts that differ under one id
-    are held apart and may give overlapping spans. Repeats within one text alone aren't reported. Null, empty and
-    shorter texts have no spans; empty tables give no rows.
+    Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; begin and end (one past the last) count them from 0. The spans
+    cover exactly the passages of at least 50 words that two rows share; `other` is the least id of another row that holds
+    50 words of a span. A text that repeats under the same id is one row; texts that differ under one id are held apart
+    and may give overlapping spans. Rows without an id are rows like others, told apart by their texts: their spans have a
+    null doc_id, and `other` is null where only such rows hold the words. Repeats within one text alone aren't reported.
+    Null, empty and shorter texts have no spans; empty tables give no rows.
     """
-    spans = merged(matches(suffixes(_rows(docs, id_col, text_col))).select("doc_id", "row", "begin", "end", "other").distinct(), "doc_id", "row")
+    spans = merged(shared_spans(_rows(docs, id_col, text_col)), "doc_id", "row")
     return spans.select("doc_id", "begin", "end", (F.col("end") - F.col("begin")).alias("n_words"), "other")
 
 
 def later_occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, begin, end: the passages that an earlier row (by id) holds too.
+    """row, begin, end: the passages that an earlier row (by id, null last) holds too.
 
-    Of the suffixes with one key the first row's is the leader; what others share with it is theirs to lose. Those that
-    share too little with it choose a leader among themselves, until none are left. So every passage that goes remains
-    in the row of its leader, or of that one's own leader.
+    Of the rows that hold a window the first one keeps it, and all others lose it. What the first row itself loses to an
+    earlier one is there, so every word that goes remains in some row.
     """
-    left = matches(suffixes(_rows(docs, id_col, text_col)), contexts=True)
-    names = [x.split()[0] for x in SUFFIX.split(", ")]
-    left, spans = written(left.select(*names).distinct(), "left"), []
-    rank = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("o"), "row", "at", "doc_id", "words", "following", "preceding")
-    kind = f"{SUFFIX}, begin long, end long, state int"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = Suffixes(batch), Suffixes(batch, "first_")
-            k = np.arange(len(a.key))
-            left, right = a.extend(k, b, k)
-            state = np.where(a.row == b.row, 2, np.where(left + right + GRAM_WORDS >= LEAST, 1, 0))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(a.at - left), pa.array(a.at + GRAM_WORDS + right), pa.array(state.astype(np.int32))], [x.split()[0] for x in kind.split(", ")])
-
-    while True:
-        first = left.groupBy(F.col("key").alias("first_key")).agg(F.min(rank).alias("first"))
-        first = first.select("first_key", *[F.col(f"first.{c}").alias(f"first_{c}") for c in names if c != "key"])
-        judged = written(left.join(first, left["key"] == first["first_key"]).mapInArrow(run, kind), "judged")
-        spans.append(judged.where("state = 1").select("row", "begin", "end"))
-        left = judged.where("state = 0").select(*names)
-        if not left.limit(1).count():
-            break
-    out = spans[0]
-    for more in spans[1:]:
-        out = out.unionByName(more)
-    return merged(out.withColumn("other", F.lit(None).cast("long")).distinct(), "row").drop("other")
+    return merged(shared_spans(_rows(docs, id_col, text_col), later=True), "row").drop("other")
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:

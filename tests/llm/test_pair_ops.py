@@ -10,6 +10,7 @@ import pytest
 from papyra.llm import ann, jaccard, repeats
 from papyra.llm.common import discard, written
 from papyra.llm.graph import components
+from papyra.llm.words import grams, hash_words
 
 
 def test_nearest(spark):
@@ -145,6 +146,43 @@ def test_repeats(spark):
     assert repeats.cut_repeats(docs.where("false")).count() == 0
 
 
+def frequent_line(word):
+    """Twenty words that hash lower than most, so that they are the key of the windows that hold them."""
+    lines = [[word() for _ in range(20)] for _ in range(3000)]
+    return min(lines, key=lambda w: int(grams(hash_words([" ".join(w)])[0], 20)[0]))
+
+
+def words_and_others(spans):
+    covered, others = {}, {}
+    for s in spans:
+        covered.setdefault(s.doc_id, set()).update(range(s.begin, s.end))
+        others.setdefault(s.doc_id, set()).add(s.other)
+    return covered, others
+
+
+@pytest.mark.parametrize("hot", [2048, 4])
+def test_repeats_left_of_a_frequent_line(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(repeats, "COMMON", 6)
+    random.seed(17)
+    word = lambda: f"w{random.randrange(5000)}"
+    line, same = frequent_line(word), [word() for _ in range(45)]
+    texts, want = {}, {}
+    for k in range(40):  # two documents share 30 words before the line, and go on differently
+        left = [word() for _ in range(30)]
+        for i in (k, 40 + k):
+            texts[i] = " ".join([*(word() for _ in range(k % 7)), *left, *line, *(word() for _ in range(40))])
+        want[k], want[40 + k] = {40 + k}, {k}
+    for i in range(80, 90):  # a window that many hold
+        texts[i], want[i] = " ".join([word(), *line, *same, word()]), {80}
+    want[80] = {81}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    covered, others = words_and_others(repeats.repeated_passages(docs).collect())
+    assert covered == repeated_by_hand(texts) and others == want
+    cut = {r.doc_id: r.text for r in repeats.cut_repeats(docs).collect()}
+    assert all(cut[k] == texts[k] for k in (*range(40), 80)) and not repeated_by_hand(cut)
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     import corpus_pipeline
 
