@@ -183,6 +183,19 @@ def test_repeats_left_of_a_frequent_line(spark, monkeypatch, hot):
     assert all(cut[k] == texts[k] for k in (*range(40), 80)) and not repeated_by_hand(cut)
 
 
+def test_cut_repeats_of_a_key_twice_in_the_first_document(spark):
+    random.seed(19)
+    word = lambda: f"w{random.randrange(5000)}"
+    template = [word() for _ in range(20)] + frequent_line(word)
+    ends = [[word() for _ in range(40)] for _ in range(3)]
+    first = [x for end in ends for x in (*template, *end, *(word() for _ in range(60)))]
+    texts = {0: " ".join(first)} | {k + 1: " ".join([f"start{k}", *template, *end[:20], f"rest{k}"]) for k, end in enumerate(ends)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    assert repeats.repeated_passages(docs.where("doc_id = 0")).count() == 0
+    cut = {r.doc_id: " ".join(r.text.split()) for r in repeats.cut_repeats(docs).collect()}
+    assert cut == {0: texts[0]} | {k: f"start{k - 1} rest{k - 1}" for k in (1, 2, 3)}
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     import corpus_pipeline
 
