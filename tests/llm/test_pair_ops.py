@@ -196,6 +196,24 @@ def test_cut_repeats_of_a_key_twice_in_the_first_document(spark):
     assert cut == {0: texts[0]} | {k: f"start{k - 1} rest{k - 1}" for k in (1, 2, 3)}
 
 
+@pytest.mark.parametrize("parts", ["1", "7", "40"])
+def test_repeats_by_any_number_of_partitions(spark, parts):
+    random.seed(23)
+    word = lambda: f"w{random.randrange(5000)}"
+    line, texts = frequent_line(word), {}
+    for k in range(12):  # sorted by what follows the line, a text that shares too little to its left stands between two that share enough
+        left, right = [word() for _ in range(25)], [word() for _ in range(10)]
+        for i, own in enumerate((False, True, False)):
+            texts[3 * k + i] = " ".join([*([word() for _ in range(25)] if own else left), *line, *right, *[word() for _ in range(20)]])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        assert words_and_others(repeats.repeated_passages(docs).collect())[0] == repeated_by_hand(texts)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     import corpus_pipeline
 
