@@ -214,6 +214,21 @@ def test_repeats_by_any_number_of_partitions(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+@pytest.mark.parametrize("hot", [2048, 2])
+def test_repeats_without_id(spark, monkeypatch, hot):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    random.seed(29)
+    passages = [[f"w{random.randrange(5000)}" for _ in range(60)] for _ in range(2)]
+    big = (1 << 53) + 1  # not a double
+    ids = [None, None, big, big + 2, None, None]
+    texts = [" ".join([f"a{k}", *passages[k > 3], f"b{k}"]) for k in range(6)]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.begin, r.end, r.other) for r in repeats.repeated_passages(docs).collect()), key=str)
+    assert got == sorted([(None, 1, 61, big), (None, 1, 61, big), (big, 1, 61, big + 2), (big + 2, 1, 61, big), (None, 1, 61, None), (None, 1, 61, None)], key=str)
+    cut = [r.text.split() for r in repeats.cut_repeats(docs).collect()]
+    assert sorted(len(x) for x in cut) == [2, 2, 2, 2, 62, 62] and [x for x in cut if x[0] == "a2"] == [texts[2].split()]
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     import corpus_pipeline
 
