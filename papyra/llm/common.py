@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
+import ctypes
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,10 +17,6 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 4 << 20
 ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
-_written: list[tuple[SparkSession, str]] = []
-_places: dict[int, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole input table, read by Spark alone (the folder may be in any store that Spark knows).
 
@@ -32,15 +29,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or /tmp/papyra-work where that is unset (tests)."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/papyra-work").rstrip("/")
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a session that runs in one process gets a new folder; on a cluster it is an error.
+    """
+    if (found := spark.conf.get("spark.checkpoint.dir", None)) is None:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='papyra-')}"
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared work folder, removed when the driver ends."""
-    path = f"{work_dir(spark)}/papyra-{uuid.uuid4().hex}/{name}"
-    _written.append((spark, path.rpartition("/")[0]))
-    return path
+    path = f"{work_dir(spark)}/papyra-{uuid.uuid4().hex}"
+    place, store = _place(spark, path)
+    store.mkdirs(place)
+    store.deleteOnExit(place)
+    return f"{path}/{name}"
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
@@ -49,21 +61,18 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     The table is removed when the driver ends.
     """
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    writer = df.write.option("compression", "zstd")
+    writer.partitionBy(*partition_by).parquet(path) if partition_by else writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
-    _places[id(out)] = path
+    out.papyra_path = path
     return out
 
 
 def discard(table: DataFrame) -> None:
     """Delete a table of written() that nothing will read again."""
-    if path := _places.pop(id(table), None):
-        _delete(table.sparkSession, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    if path := vars(table).pop("papyra_path", None):
+        place, store = _place(table.sparkSession, path)
+        store.delete(place, True)
 
 
 def bucket_bits(spark: SparkSession) -> int:
@@ -133,26 +142,13 @@ def bit_table(rows: DataFrame, column: str, bits: int) -> np.ndarray:
     return gathered_bits(rows.select(column).mapInArrow(split, "bucket long, hashes binary").groupBy("bucket").applyInArrow(fold, "bucket long, bits binary").toArrow(), bits)
 
 
-def remove_written() -> None:
-    """Delete every table that written() has made in this process."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session has ended already
-            return
-
-
-atexit.register(remove_written)
-
-
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under names of its own, so that further columns can't clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in runs of about `size` bytes of `column`; one longer row is a run of its own."""
+    """The same rows in runs of about `size` bytes of `column`; one longer row is a run of its own. Then the worker gives back the memory it has freed."""
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         total, first = np.cumsum(lengths, dtype=np.int64), 0
@@ -161,6 +157,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             end = max(first + 1, int(np.searchsorted(total, base + size, "right")))
             yield batch.slice(first, end - first)
             first = end
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers live on between tasks, and would keep the most they ever had."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def texts_of(column: pa.Array) -> list[str]:
