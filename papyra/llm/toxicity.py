@@ -111,6 +111,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     return Model(index[:-1], weight[:-1], float(weight[-1])) if len(index) else Model(index, weight, 0.0)
 
 
+def probabilities(texts: list[str], weight: np.ndarray, bias: float) -> np.ndarray:
+    """The model's probability of each text; weight: all DIMENSIONS weights, and a 0 for coordinates of -1."""
+    total = np.full(len(texts), bias)
+    kinds, counts = features(texts)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    hits = []
+    for index in kinds:
+        at = np.flatnonzero(weight[index])
+        hits.append(owner[at] * np.int64(DIMENSIONS) + index[at])
+    hits = np.unique(np.concatenate(hits))  # each coordinate once a text
+    np.add.at(total, hits // DIMENSIONS, weight[hits % DIMENSIONS])
+    return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score: the model's probability that each text is toxic. One row per input row; null and empty texts get the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -118,14 +132,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = np.append(shared.value.dense(), 0.0), shared.value.bias
         for batch in slices(batches, size=SLICE):
-            total = np.full(batch.num_rows, bias)
-            kinds, counts = features(texts_of(batch.column("text")))
-            owner = np.repeat(np.arange(batch.num_rows), counts)
-            index = np.concatenate(kinds)
-            at = np.flatnonzero(weight[index])
-            hits = np.unique(owner[at % max(1, len(owner))] * np.int64(DIMENSIONS) + index[at])  # each coordinate once a text
-            np.add.at(total, hits // DIMENSIONS, weight[hits % DIMENSIONS])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(probabilities(texts_of(batch.column("text")), weight, bias))], ["doc_id", "score"])
 
     return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
 
@@ -135,15 +142,21 @@ def training_labels(labels: DataFrame) -> DataFrame:
     return labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
 
 
-def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all their columns, whose text scores below the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("double")
-    def scored(texts):
-        import pandas as pd
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all their columns, whose text scores below the threshold.
 
-        weight, bias = shared.value.dense(), shared.value.bias
-        return pd.Series([bias + weight[x].sum() for part in range(0, len(texts), 256) for x in documents(texts.iloc[part : part + 256].fillna("").tolist())], dtype="float64")
+    Null and empty texts get the bias alone. Ids don't matter here: rows without one, and repeated rows, stay or go by
+    their texts. An empty table gives no rows.
+    """
+    shared, text = docs.sparkSession.sparkContext.broadcast(model), "papyra_text"
 
-    return docs.where(F.lit(1.0) / (F.lit(1.0) + F.exp(-scored(F.col(text_col).cast("string")))) < threshold)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight, bias = np.append(shared.value.dense(), 0.0), shared.value.bias
+        for batch in slices(batches, text, SLICE):
+            clean = probabilities(texts_of(batch.column(text)), weight, bias) < threshold
+            yield batch.drop_columns([text]).filter(pa.array(clean)) if own else batch.filter(pa.array(clean))
+
+    # only a column of another kind, or a twin of it, is sent besides
+    own = docs.schema[text_col].dataType.typeName() != "string"
+    text = text if own else text_col
+    return (docs.withColumn(text, F.col(text_col).cast("string")) if own else docs).mapInArrow(run, docs.schema)
