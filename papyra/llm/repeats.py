@@ -4,8 +4,12 @@ Every window of LEAST consecutive words has a key: the GRAM_WORDS words that has
 Windows that follow one another and have their key at the same place form a run, so a text has about two runs for each
 WINDOW words. Equal windows have equal keys. Runs whose key occurs once are dropped; the others are dealt out by key, and
 their windows are compared as hashes: two rows share a passage of LEAST words exactly where they hold the same window.
-Windows of the keys that more than HOT runs have are dealt out one by one instead, by their own hashes, and those that
-more than COMMON hold are aggregated, so no task gets a whole group, however large it is.
+Windows of the keys that more than HOT runs have are gathered by task instead, each task keeps the first two holders of
+each of its windows, and those are dealt out by the windows' own hashes. So a window counts once or twice for each task,
+and no task gets a whole group, however large it is.
+
+Comparing neighbours in the order of sparse suffixes alone can't give whole results: two rows whose common passage lies
+before the key stand anywhere among those with the same key.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +29,8 @@ from papyra.llm.words import BASE, GRAM, grams, hash_words, joined, mix, word_sp
 #: Words of the least passage; words of a key; places that a key can have in a window.
 LEAST, GRAM_WORDS = 50, 20
 WINDOW = LEAST - GRAM_WORDS + 1
-#: Runs of a key that one task compares at most; holders of a window that are dealt to one task at most.
-HOT, COMMON = 2048, 1 << 14
+#: Runs of a key that one task compares at most; windows of hot keys that a task gathers before it passes them on.
+HOT, GATHERED = 2048, 1 << 17
 #: A table of 2^KEY_BITS bits holds the keys that may repeat. A full table lets more runs through, and loses none.
 KEY_BITS = 26
 SLICE = 1 << 19
@@ -34,6 +38,10 @@ SLICE = 1 << 19
 ROWS = 1 << 13
 RUN = "key long, doc_id long, row long, begin long, windows binary"
 SPAN = "doc_id long, row long, begin long, end long, other long"
+CHUNK = "chunk long, ids array<long>, rows array<long>, owner binary, begin binary, hashes binary"
+#: A holder of a window; what is known of a window that several rows hold: its first holder, and the id of its second.
+HOLDER = np.dtype([("hash", "<u8"), ("null", "?"), ("id", "<i8"), ("row", "<i8")])
+KNOWN = np.dtype([("hash", "<u8"), ("null", "?"), ("id", "<i8"), ("row", "<i8"), ("null2", "?"), ("id2", "<i8")])
 
 
 class Runs(NamedTuple):
@@ -102,31 +110,136 @@ def repeated_keys(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return gathered_bits(found, KEY_BITS), np.sort(np.frombuffer(b"".join(found.column("hot").to_pylist()), np.int64))
 
 
-def kept_runs(rows: DataFrame, shared: Broadcast, hot: bool) -> DataFrame:
-    """The runs whose keys may repeat, those of hot keys or those of others. Hot ones are given as single windows."""
+def kept_runs(rows: DataFrame, shared: Broadcast) -> DataFrame:
+    """The runs whose keys may repeat and aren't hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, hot_keys = shared.value
         for batch in slices(batches, size=SLICE):
             words, counts = hash_words(texts_of(batch.column("text")))
             keys, first, windows, hashes = runs(words, counts)
-            keep = np.isin(keys, hot_keys) if hot else has_bit(bits, keys.view(np.uint64), KEY_BITS) & ~np.isin(keys, hot_keys)
+            keep = has_bit(bits, keys.view(np.uint64), KEY_BITS) & ~np.isin(keys, hot_keys)
             hashes = hashes[np.repeat(keep, windows)]
             keys, first, windows = keys[keep], first[keep], windows[keep]
             starts = np.cumsum(counts) - counts
             # texts without words share their start with the next one
             owner = np.searchsorted(starts, first, "right") - 1
-            begin = first - starts[owner]
             ends = np.append(0, np.cumsum(windows))
-            if hot:
-                keys, owner, begin = hashes.view(np.int64), np.repeat(owner, windows), np.repeat(begin - ends[:-1], windows) + np.arange(len(hashes))
             take = pa.array(owner)
-            columns = [pa.array(keys), batch.column("doc_id").take(take), batch.column("row").take(take), pa.array(begin)]
-            if not hot:
-                columns.append(pa.BinaryArray.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer((8 * ends).astype(np.int32).tobytes()), pa.py_buffer(hashes.tobytes())]))
-            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in RUN.split(", ")][: len(columns)])
+            raw = pa.BinaryArray.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer((8 * ends).astype(np.int32).tobytes()), pa.py_buffer(hashes.tobytes())])
+            columns = [pa.array(keys), batch.column("doc_id").take(take), batch.column("row").take(take), pa.array(first - starts[owner]), raw]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in RUN.split(", ")])
+
+    return rows.mapInArrow(run, RUN)
+
+
+def hot_windows(rows: DataFrame, shared: Broadcast) -> DataFrame:
+    """CHUNK: the windows of hot keys, GATHERED or more of them together, with the rows that hold them. Written once."""
+    gathered = GATHERED
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, size, seen = TaskContext.get().partitionId() << 24, [], 0, 0
+
+        def flush() -> pa.RecordBatch:
+            ids, row, owner, begin, hashes = zip(*held, strict=True)
+            base = np.cumsum([0, *map(len, ids)])
+            owner = np.concatenate([x + k for x, k in zip(owner, base, strict=False)]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array([0, base[-1]], pa.int32()), pa.concat_arrays(x)) for x in (ids, row)]
+            raw = [pa.array([x.tobytes()], pa.binary()) for x in (owner, np.concatenate(begin), np.concatenate(hashes))]
+            return pa.RecordBatch.from_arrays([pa.array([number + seen]), *lists, *raw], [x.split()[0] for x in CHUNK.split(", ")])
+
+        for batch in slices(batches, size=SLICE):
+            words, counts = hash_words(texts_of(batch.column("text")))
+            keys, first, windows, hashes = runs(words, counts)
+            keep = np.isin(keys, shared.value[1])
+            if not keep.any():
+                continue
+            starts = np.cumsum(counts) - counts
+            at = np.repeat(first - np.cumsum(windows) + windows, windows) + np.arange(len(hashes))
+            at, hashes = at[np.repeat(keep, windows)], hashes[np.repeat(keep, windows)]
+            owner = np.searchsorted(starts, at, "right") - 1
+            docs, place = np.unique(owner, return_inverse=True)
+            take = pa.array(docs)
+            held.append((batch.column("doc_id").take(take), batch.column("row").take(take), place, at - starts[owner], hashes))
+            size += len(at)
+            if size >= gathered:
+                yield flush()
+                held, size, seen = [], 0, seen + 1
+        if held:
+            yield flush()
 
-    return rows.mapInArrow(run, RUN.rpartition(", ")[0] if hot else RUN)
+    return written(rows.mapInArrow(run, CHUNK), "windows")
+
+
+def _holders(row: dict) -> np.ndarray:
+    """HOLDER of each window of a chunk."""
+    owner = np.frombuffer(row["owner"], np.int32)
+    ids, out = pa.array(row["ids"], pa.int64()), np.zeros(len(owner), HOLDER)
+    out["hash"] = np.frombuffer(row["hashes"], np.uint64)
+    out["null"] = ids.is_null().to_numpy(zero_copy_only=False)[owner]
+    out["id"] = ids.fill_null(0).to_numpy()[owner]
+    out["row"] = np.array(row["rows"], np.int64)[owner]
+    return out
+
+
+def _first_two(holders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct holders by window, rank and row; where each window begins among them; whether it has a second holder)."""
+    holders = holders[np.lexsort((holders["row"], holders["id"], holders["null"], holders["hash"]))]
+    holders = holders[np.append(True, holders[1:] != holders[:-1])] if len(holders) else holders
+    first = np.flatnonzero(np.append(True, holders["hash"][1:] != holders["hash"][:-1])) if len(holders) else np.zeros(0, np.int64)
+    return holders, first, np.diff(np.append(first, len(holders))) > 1
+
+
+def hot_spans(windows: DataFrame, later: bool) -> DataFrame:
+    """SPAN of the windows of hot keys."""
+    wide = max(4, bucket_bits(windows.sparkSession) - 2)
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                holders, first, second = _first_two(_holders(row))
+                some = np.sort(np.append(first, first[second] + 1))
+                order, bounds = dealt_by_range(holders["hash"][some], wide)
+                parts = [(b, holders[some[order[x:y]]].tobytes()) for b, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)) if y > x]
+                b, h = zip(*parts, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array([row["chunk"]] * len(b), pa.int64()), pa.array(h, pa.binary())], ["bucket", "chunk", "holders"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        told = [np.frombuffer(x, HOLDER) for x in table.column("holders").to_pylist()]
+        holders, first, second = _first_two(np.concatenate(told))
+        first = first[second]
+        known = np.zeros(len(first), KNOWN)
+        for name in HOLDER.names:
+            known[name] = holders[name][first]
+        known["null2"], known["id2"] = holders["null"][first + 1], holders["id"][first + 1]
+        replies = [known[np.isin(known["hash"], x["hash"])].tobytes() for x in told]
+        return pa.table([table.column("chunk"), pa.array(replies, pa.binary())], ["chunk", "known"])
+
+    def finish(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        known = np.frombuffer(b"".join(replies.column("known").to_pylist()), KNOWN)
+        known = known[np.argsort(known["hash"])]
+        out = []
+        for row in chunk.to_pylist() if len(known) else []:
+            own, begin, owner = _holders(row), np.frombuffer(row["begin"], np.int64), np.frombuffer(row["owner"], np.int32)
+            of = known[np.minimum(np.searchsorted(known["hash"], own["hash"]), len(known) - 1)]
+            leads = (of["row"] == own["row"]) & (of["id"] == own["id"]) & (of["null"] == own["null"])
+            hit = np.flatnonzero((of["hash"] == own["hash"]) & ~(leads & later))
+            if not len(hit):
+                continue
+            hit = hit[np.lexsort((begin[hit], owner[hit]))]
+            null, other = (np.where(leads, of[a], of[b])[hit] for a, b in (("null2", "null"), ("id2", "id")))
+            new = np.flatnonzero(np.append(True, (np.diff(begin[hit]) != 1) | (np.diff(owner[hit]) != 0)))
+            last = np.append(new[1:], len(hit)) - 1
+            none = np.minimum.reduceat(null, new)
+            other = np.minimum.reduceat(np.where(null, np.iinfo(np.int64).max, other), new)
+            at = hit[new]
+            columns = [pa.array(own["id"][at], mask=own["null"][at]), pa.array(own["row"][at]), pa.array(begin[at]), pa.array(begin[hit[last]] + LEAST), pa.array(other, mask=none)]
+            out.append(pa.table(columns, [x.split()[0] for x in SPAN.split(", ")]))
+        return pa.concat_tables(out) if out else pa.schema([(x.split()[0], pa.int64()) for x in SPAN.split(", ")]).empty_table()
+
+    told = windows.mapInArrow(tell, "bucket long, chunk long, holders binary")
+    known = told.groupBy("bucket").applyInArrow(answer, "chunk long, known binary")
+    return windows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(finish, SPAN)
 
 
 def compared(table: pa.Table, later: bool) -> pa.RecordBatch:
@@ -194,37 +307,8 @@ def shared_spans(rows: DataFrame, later: bool = False) -> DataFrame:
     """doc_id, row, begin, end, other: windows that another row holds, or an earlier one (by id, null last), joined within runs."""
     table, hot = repeated_keys(rows)
     shared = rows.sparkSession.sparkContext.broadcast((table, hot))
-    out = dealt_spans(kept_runs(rows, shared, False), later)
-    return out.unionByName(hot_spans(kept_runs(rows, shared, True), later)) if len(hot) else out
-
-
-def hot_spans(windows: DataFrame, later: bool) -> DataFrame:
-    """The same of single windows, dealt out by their hashes. Where more than COMMON hold one, they are aggregated and meet their first row alone."""
-    windows = written(windows, "windows")
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
-    first = windows.groupBy("key").agg(F.min(rank).alias("lead"), F.count(F.lit(1)).alias("n")).where(F.col("n") > COMMON)
-    first = written(first.select("key", F.col("lead.doc_id").alias("lead_id"), F.col("lead.row").alias("lead_row")), "leads")
-    common = np.sort(first.select("key").toArrow().column("key").to_numpy())  # one for each COMMON windows at most
-    shared = windows.sparkSession.sparkContext.broadcast(common)
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(~np.isin(batch.column("key").to_numpy(), shared.value)))
-            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * 8
-            hashes = np.ascontiguousarray(batch.column("key").to_numpy())
-            one = pa.BinaryArray.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(hashes.tobytes())])
-            yield pa.RecordBatch.from_arrays([*batch.columns, one], [x.split()[0] for x in RUN.split(", ")])
-
-    out = dealt_spans(windows.mapInArrow(rest, RUN), later)
-    if not len(common):
-        return out
-    led = windows.join(F.broadcast(first), "key")
-    span = ["doc_id", "row", "begin", (F.col("begin") + LEAST).alias("end")]
-    out = out.unionByName(led.where("row <> lead_row").select(*span, F.col("lead_id").alias("other")))
-    if later:
-        return out
-    second = led.where("row <> lead_row").groupBy("key").agg(F.min(rank).alias("second"))
-    return out.unionByName(led.where("row = lead_row").join(F.broadcast(second), "key").select(*span, F.col("second.doc_id").alias("other")))
+    out = dealt_spans(kept_runs(rows, shared), later)
+    return out.unionByName(hot_spans(hot_windows(rows, shared), later)) if len(hot) else out
 
 
 def merged(spans: DataFrame, *group: str) -> DataFrame:

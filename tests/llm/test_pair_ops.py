@@ -163,7 +163,7 @@ def words_and_others(spans):
 @pytest.mark.parametrize("hot", [2048, 4])
 def test_repeats_left_of_a_frequent_line(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
-    monkeypatch.setattr(repeats, "COMMON", 6)
+    monkeypatch.setattr(repeats, "GATHERED", 6)
     random.seed(17)
     word = lambda: f"w{random.randrange(5000)}"
     line, same = frequent_line(word), [word() for _ in range(45)]
