@@ -242,19 +242,65 @@ def test_language_model(spark):
     assert lm.score(docs.where("false"), rounds=1).count() == 0
 
 
+@pytest.mark.parametrize("units", [12, 1000])
+def test_language_model_scores_by_hand(spark, units):
+    """Every score, from the classes that the operator finds: plain counts of classes, words and class pairs."""
+    random.seed(8)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(random.choice(words[j % 3 :: 3]) for j in range(random.randint(0, 30))) for _ in range(300)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, "w1 w2 w3"), (None, None), (500, "never w1 seen"), (10, "only held out here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    classes, rounds = 8, 3
+    table = lm.chunks(docs, "doc_id", "text")
+    tops, counts, (types, tokens, ends) = lm.frequent(lm.word_counts(table), units)
+    state, pairs = lm.clustered(table, tops, counts, classes, rounds)
+    placed = lm.placed_words(table, spark.sparkContext.broadcast(state), pairs, classes).collect()
+    kind = dict(zip(tops.tolist(), state.kind.tolist(), strict=False)) | {lm.END: classes - 1}
+    for row in table.collect():
+        hashes = np.frombuffer(row.hashes, np.int64)
+        rare = np.sort(hashes[state.units(hashes) == len(tops)].view(np.uint64)).view(np.int64)
+        found = b"".join(r.classes for r in sorted(placed, key=lambda r: r.bucket) if r.chunk == row.chunk)
+        for h, c in zip(rare.tolist(), found, strict=True):
+            assert kind.setdefault(h, c) == c  # the same one in every chunk
+    hash_of = lambda w: lm.END if w is None else int(hash_words([w])[0].view(np.int64)[0])
+    held = lambda k: k is not None and zlib.crc32(str(k).encode()) % 10 == 0
+    tokens_of = [[hash_of(w) for w in [*(t or "").split(), None]] for _, t in rows]
+    train = [x for (k, _), x in zip(rows, tokens_of, strict=True) if not held(k)]
+    count, follow, n = Counter(w for x in train for w in x), Counter(), sum(map(len, train))
+    assert (types, tokens, ends) == (len(count), n, len(train))
+    for x in train:
+        follow.update(zip([kind[w] for w in [lm.END, *x[:-1]]], [kind[w] for w in x], strict=True))
+    of_class, types_of = Counter(), Counter()
+    for w, c in count.items():
+        of_class[kind[w]] += c
+        types_of[kind[w]] += 1
+    into = [sum(follow[a, c] for a in range(classes)) for c in range(classes)]
+    overall = [(x + 1) / (n + classes) for x in into]
+    outof = [sum(follow[a, c] for c in range(classes)) for a in range(classes)]
+    step = lambda a, c: overall[c] if a is None else (follow[a, c] + lm.ALPHA * overall[c]) / (outof[a] + lm.ALPHA)
+    room = [of_class[c] + lm.DELTA * (types_of[c] + 1) for c in range(classes)]
+    want = []
+    for (k, _), x in zip(rows, tokens_of, strict=True):
+        total, last = 0.0, classes - 1
+        for w in x:
+            c = kind[w] if count[w] else None
+            p = step(last, c) * (count[w] + lm.DELTA) / room[c] if count[w] else sum(step(last, d) * lm.DELTA / room[d] for d in range(classes))
+            total += math.log10(lm.WEIGHT * p + (1 - lm.WEIGHT) * (count[w] + 0.1) / (n + 0.1 * (len(count) + 1)))
+            last = c
+        want.append((str(k), len(x), round(total, 6)))
+    got = [(str(r.doc_id), r.n_tokens, round(r.score, 6)) for r in lm.score(docs, classes=classes, units=units, rounds=rounds).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_model_is_a_distribution():
     """After every class, the probabilities of all known words and of the unseen one sum to one."""
     rng = np.random.default_rng(1)
     n, classes = 12, 4
-    unit_class = np.append(rng.integers(0, classes - 1, n), [0] * lm.GROUPS + [classes - 1])
-    counts = rng.integers(1, 9, n + 1)  # the units' own words, and the end
-    kinds = np.append(unit_class[:n], classes - 1)
-    transition = rng.random((classes, classes))
-    transition /= transition.sum(1, keepdims=True)
-    m = lm.Model(np.arange(n), unit_class, transition, np.bincount(kinds, counts, classes).astype(int), np.bincount(kinds, minlength=classes), int(counts.sum()), n + 1)
-    units = np.append(np.arange(n), [len(unit_class) - 1, n])
-    for before in (0, 5, len(unit_class) - 1):
-        base, own = lm.log_scores(m, units, np.full(n + 2, before), np.append(counts, 0))
+    counts = rng.integers(1, 9, n + 1)  # words, and the end
+    kinds = np.append(rng.integers(0, classes - 1, n), classes - 1)
+    m = lm.model_of(rng.integers(0, 9, (classes, classes)), np.bincount(kinds, minlength=classes), np.bincount(kinds, counts, classes).astype(int))
+    for before in range(classes + 1):
+        base, own = lm.log_scores(m, np.append(kinds, classes), np.full(n + 2, before), np.append(counts, 0))
         assert (10**own).sum() == pytest.approx(1) and (10**base).sum() == pytest.approx(1)
 
 
