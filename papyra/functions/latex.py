@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Commands that vanish with their group, and those whose group stays.
@@ -42,12 +42,11 @@ def normal_math(tex: str | None) -> str | None:
     """A formula without labels, wrappers, percent signs at line ends and superfluous blanks."""
     if tex is None:
         return None
-    tex = re.sub(r"(?<!\\)%\s*\n?", "", tex)
+    tex = tex.replace("%\r\n", "").replace("%\n", "").replace("\\displaystyle", "")
     for name in DROPPED:
         tex = rewrite(tex, name, lambda _: "")
     for name in UNWRAPPED:
         tex = rewrite(tex, name, lambda inner: inner)
-    tex = re.sub(r"\\(?:left|right)\s*\.", "", tex)
     return " ".join(tex.split())
 
 
@@ -61,22 +60,39 @@ def math(tex: Column) -> Column:
     return run(tex)
 
 
-def main_file_score(path: Column, content: Column) -> Column:
-    """How likely a TeX file is an archive's main one."""
-    hit = lambda pattern, n: F.when(content.rlike(pattern), n).otherwise(0)
-    name = F.lower(F.substring_index(path, "/", -1))
-    named = F.when(name.isin("main.tex", "ms.tex", "paper.tex", "article.tex"), 10).otherwise(0)
-    return hit(r"\\documentclass", 40) + hit(r"\\begin\{document\}", 30) + hit(r"\\title\b", 8) + hit(r"\\begin\{abstract\}", 8) + named - F.when(name.rlike("supp|appendix|response|template"), 25).otherwise(0)
-
+#: Stems of main files, and commands that speak for one (fixed values).
+MAIN_STEMS = ["main", "paper", "article", "ms", "manuscript", "source", "submission", "arxiv"]
+MAIN_COMMANDS = ["\\title", "\\author", "\\maketitle", "\\abstract", "\\bibliography"]
+#: Score from which a file counts as a main one (fixed value).
+MAIN_LEAST = 20
 
-def page_layout(columns: Column, width: Column, height: Column) -> Column:
-    """Single, double or multi-panel, by the number of panels in a row and by size in points."""
-    return F.when(columns > 1, "multi").when(width >= 330, "double").when((height > 0) & (width / height >= 1.45), "double").otherwise("single")
 
-
-def transient(message: Column) -> Column:
-    """Whether an error may pass by itself."""
-    return ~F.lower(F.coalesce(message, F.lit(""))).rlike(r"unauthori[sz]ed|forbidden|invalid api key|not found|unsupported|payment required")
+def main_file_score(path: Column, content: Column) -> Column:
+    """How likely a TeX file is an archive's main one: points for what it begins with, its name and its front matter, and 20 off where no document begins."""
+    has = lambda part: F.contains(content, F.lit(part))
+    points = lambda test, n: F.when(test, n).otherwise(0)
+    name = F.lower(F.substring_index(path, "/", -1))
+    suffix = F.regexp_extract(name, r"[^.](\.[^.]+)$", 1)
+    stem = F.when(suffix == "", name).otherwise(F.substring(name, F.lit(1), F.length(name) - F.length(suffix)))
+    begins = has(r"\begin{document}")
+    score = points(has(r"\documentclass"), 12) + points(has(r"\documentstyle"), 12) + points(begins, 12)
+    score += points(stem.isin(MAIN_STEMS), 4) + points(name.rlike(r"^\d{7}(v\d+)?$"), 4)
+    score += F.when(suffix == ".tex", 2).when(suffix.isin("", ".ltx", ".latex"), 1).otherwise(0)
+    score += sum((points(has(c), 1) for c in MAIN_COMMANDS), F.lit(0))
+    return score - points(~(content.rlike(r"\\(documentclass|documentstyle)\b") & begins), 20)
+
+
+def main_files(files: DataFrame, archive: str, path: str, content: str) -> DataFrame:
+    """archive, path, score of each archive's main file: the highest score from MAIN_LEAST, then the shortest path. Contents aren't shuffled."""
+    scored = files.select(archive, path, main_file_score(F.col(path), F.col(content)).alias("score")).where(F.col("score") >= MAIN_LEAST)
+    best = scored.groupBy(archive).agg(F.min_by(F.struct(path, "score"), F.struct(-F.col("score"), F.length(path), path)).alias("best"))
+    return best.select(archive, f"best.{path}", "best.score")
+
+
+def page_layout(images: Column, flexible: Column, panel: Column, width: Column, height: Column) -> Column:
+    """multi-panel, double-column, single-column or null, by the number of images, a flexible arrangement, the widest panel in points and the proportions."""
+    by_panel = F.when(panel >= 330, "double-column").otherwise("single-column")
+    return F.when((images > 1) | flexible, "multi-panel").when(panel.isNotNull(), by_panel).when((width > 0) & (height > 0) & (width / height >= 1.45), "double-column")
 
 
 def capabilities(model: Column) -> Column:

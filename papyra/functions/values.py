@@ -30,8 +30,8 @@ def hashed_slot(token: Column, dimensions: int) -> Column:
 
 
 def hashed_sign(token: Column) -> Column:
-    """1 or -1 by the low bit of the fifth byte of a token's SHA-256."""
-    return F.when(F.conv(F.substring(F.sha2(token, 256), 9, 2), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
+    """-1 where the fifth byte of a token's SHA-256 is odd, else 1."""
+    return F.when(F.conv(F.substring(F.sha2(token, 256), 9, 2), 16, 10).cast("int") % 2 == 1, -1.0).otherwise(1.0)
 
 
 def idf(documents: Column, containing: Column) -> Column:
@@ -73,4 +73,14 @@ def log_tf(count: Column) -> Column:
     return 1 + F.log(count.cast("double"))
 
 
+#: What errors say that don't pass by themselves (fixed values).
+TERMINAL = ["400", "401", "403", "404", "unauthorized", "forbidden", "authentication", "api key", "invalid_api_key", "model_not_found", "context_length", "maximum context"]
+
+
+def transient(message: Column) -> Column:
+    """Whether an error may pass by itself."""
+    text = F.lower(F.coalesce(message, F.lit("")))
+    return ~F.exists(F.array(*[F.lit(x) for x in TERMINAL]), lambda x: F.contains(text, x))
+
+
 LOG_2 = math.log(2)

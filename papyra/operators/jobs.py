@@ -6,8 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from papyra.functions.values import transient
+
 #: Priorities of job kinds (fixed values).
-PRIORITIES = {"parse": 100, "import": 90, "translate": 50, "cards": 40, "embed": 30, "export": 20, "notes": 10}
+PRIORITIES = {"parse_article": 100, "import_arxiv": 90, "translate_block": 50, "generate_reader_card": 40, "export_article": 30, "embed_article": 20, "extract_reader_cards": 10}
 
 
 def summary(jobs: DataFrame, status: str, updated: str) -> DataFrame:
@@ -53,12 +55,12 @@ def slots(requests: DataFrame, lane: str, at_ms: str, id_col: str, interval_ms:
     return rows.withColumn("start_ms", F.col("papyra_place") + ahead).drop("papyra_place")
 
 
-#: State after an event, by event and the states it applies to; None stands for any.
+#: State after an event, by event and the states it applies to; an empty set stands for any.
 TRANSITIONS = {
     "claim": ({"queued"}, "running"),
-    "pause": ({"queued", "running"}, "paused"),
+    "pause": (set(), "paused"),
     "resume": ({"paused"}, None),
-    "cancel": ({"queued", "running", "paused"}, "cancelled"),
+    "cancel": ({"queued", "running", "paused", "cancelled"}, "cancelled"),
     "complete": ({"running"}, "succeeded"),
     "fail": ({"running"}, "failed"),
     "requeue": ({"running", "failed"}, "queued"),
@@ -67,8 +69,8 @@ TRANSITIONS = {
 
 def step(state: str, started: bool, attempts: int, event: str) -> tuple[str, bool, int]:
     """(state, whether it ever started, attempts) after an event; events that don't apply change nothing."""
-    allowed, to = TRANSITIONS.get(event, (set(), None))
-    if state not in allowed:
+    allowed, to = TRANSITIONS.get(event, ({None}, None))
+    if allowed and state not in allowed:
         return state, started, attempts
     if event == "resume":
         to = "running" if started else "queued"
@@ -89,5 +91,4 @@ def fold(events: DataFrame, job: str, at: str, event: str) -> DataFrame:
 
 def retried(jobs: DataFrame, attempts: str, error: str, most: int = 3) -> DataFrame:
     """Failed jobs with what becomes of them: another try for passing errors while attempts are left."""
-    passing = ~F.lower(F.coalesce(F.col(error), F.lit(""))).rlike(r"unauthori[sz]ed|forbidden|invalid api key|not found|unsupported")
-    return jobs.withColumn("next_state", F.when(passing & (F.col(attempts) < most), "queued").otherwise("failed"))
+    return jobs.withColumn("next_state", F.when(transient(F.col(error)) & (F.col(attempts) < most), "queued").otherwise("failed"))

@@ -6,30 +6,43 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.functions.text import canonical_key, collapse, mentions, ngrams, replace_term, tokens
+from papyra.functions.text import canonical_key, collapse, mentions, replace_term, tokens
 
-#: Words that neither begin nor end a phrase.
-STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
+#: Words that neither begin nor end a phrase (fixed values).
+STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "can", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "we", "with"]
+
+
+def bare_phrases(docs: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
+    """id, phrase of every n-gram without a stopword at its ends. Longer ones are built from shorter ones, one word at a time."""
+    words = F.col("papyra_words")
+    grams, now = [], words
+    for n in range(2, max(sizes) + 1):
+        now = F.zip_with(now, F.slice(words, n, F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))  # null past the last one
+        grams += [now] if n in sizes else []
+    rows = docs.select(id_col, tokens(F.col(text_col), 1).alias("papyra_words")).select(id_col, F.explode(F.flatten(F.array(*grams))).alias("phrase"))
+    ends = [F.substring_index("phrase", " ", 1), F.substring_index("phrase", " ", -1)]
+    return rows.where(F.length("phrase").between(4, 100) & ~ends[0].isin(STOPWORDS) & ~ends[1].isin(STOPWORDS))
 
 
 def phrases(docs: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
     """id, phrase of every n-gram without a stopword at its ends and with two words or more of letters."""
-    words = tokens(F.col(text_col), 1)
-    grams = F.flatten(F.array(*[ngrams(F.col("papyra_words"), n) for n in sizes]))
-    rows = docs.select(id_col, words.alias("papyra_words")).select(id_col, F.explode(grams).alias("phrase"))
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    ends = [F.substring_index("phrase", " ", 1), F.substring_index("phrase", " ", -1)]
-    letters = F.regexp_count("phrase", F.lit(r"(?U)(?<!\w)[\p{L}]{2,}(?!\w)"))
-    return rows.where(~F.array_contains(stop, ends[0]) & ~F.array_contains(stop, ends[1]) & (F.length("phrase") >= 4) & (F.length("phrase") <= 100) & (letters >= 2))
+    return bare_phrases(docs, id_col, text_col, sizes).where(worded(F.col("phrase")))
+
+
+def worded(phrase: Column) -> Column:
+    """Whether a phrase has two words or more of letters."""
+    return F.regexp_count(phrase, F.lit(r"(?U)(?<!\w)[\p{L}]{2,}(?!\w)")) >= 2
 
 
 def glossary_candidates(docs: DataFrame, id_col: str, text_col: str, least: int = 2) -> DataFrame:
     """phrase, uses, documents of phrases used `least` times or more.
 
-    Counts are summed within each task before the shuffle; documents are counted from (phrase, document) sums.
+    Counts are summed within each task before the shuffle; documents are counted from (phrase, document) sums, and the
+    words of a phrase are looked at once for each phrase that is left.
     """
-    per = phrases(docs, id_col, text_col).groupBy("phrase", id_col).agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("phrase").agg(F.sum("n").alias("uses"), F.count(F.lit(1)).alias("documents")).where(F.col("uses") >= least)
+    per = bare_phrases(docs, id_col, text_col).groupBy("phrase", id_col).agg(F.count(F.lit(1)).alias("n"))
+    sums = per.groupBy("phrase").agg(F.sum("n").alias("uses"), F.count(F.lit(1)).alias("documents"))
+    return sums.where((F.col("uses") >= least) & worded(F.col("phrase")))
 
 
 def apply_glossary(text: Column, terms: dict[str, str]) -> Column:

@@ -69,11 +69,15 @@ def vector_scores(vectors: DataFrame, probe: list[float], id_col: str, vector_co
     return vectors.select(id_col, score.alias("score")).where("score > 0")
 
 
-def fused(words: DataFrame, vectors: DataFrame, id_col: str) -> DataFrame:
-    """id, score of two ranked lists (id, rank, score): reciprocal ranks of a word hit alone, else a mix of both."""
-    a = words.select(id_col, (1 / (F.col("rank") + 1)).alias("word_part"))
-    b = vectors.select(id_col, F.col("score").alias("vector_score"), (1 / (F.col("rank") + 1)).alias("vector_part"))
-    mix = 0.65 * F.coalesce("word_part", F.lit(0.0)) + 0.35 * (F.greatest("vector_score", F.lit(0.0)) + F.col("vector_part"))
+def fused(words: DataFrame, vectors: DataFrame, id_col: str, weight_col: str | None = None) -> DataFrame:
+    """id, score of two ranked lists (id, rank, score): reciprocal ranks of a word hit alone, else a mix of both.
+
+    weight_col, in both lists, weighs a row's word part and then the mix that holds it.
+    """
+    weight = F.lit(1.0) if weight_col is None else F.col(weight_col)
+    a = words.select(id_col, (weight / (F.col("rank") + 1)).alias("word_part"))
+    b = vectors.select(id_col, weight.alias("weight"), F.col("score").alias("vector_score"), (1 / (F.col("rank") + 1)).alias("vector_part"))
+    mix = F.col("weight") * (0.65 * F.coalesce("word_part", F.lit(0.0)) + 0.35 * (F.greatest("vector_score", F.lit(0.0)) + F.col("vector_part")))
     return a.join(b, id_col, "full_outer").select(id_col, F.when(F.col("vector_part").isNull(), F.col("word_part")).otherwise(mix).alias("score"))
 
 

@@ -50,15 +50,15 @@ def article_states(t):
 def queue_missing(t):
     """Jobs for documents that are neither done nor queued, one for each content."""
     labels = t("labels")
-    return work(t("documents"), labels.where("quality = 1"), labels.where("toxic = 1"), "doc_id", content_hash(F.col("text")), jobs.default_priority(F.lit("translate")))
+    return work(t("documents"), labels.where("quality = 1"), labels.where("toxic = 1"), "doc_id", content_hash(F.col("text")), jobs.default_priority(F.lit("translate_block")))
 
 
-@query(BM25 + """, f2 AS (SELECT doc_id, -score AS score FROM (SELECT doc_id, score FROM r ORDER BY score DESC, doc_id LIMIT 20) WHERE doc_id NOT BETWEEN 99 AND 101)
-SELECT doc_id, round(score, 6) AS score FROM (SELECT doc_id, -100.0 + abs(doc_id - 100) AS score FROM documents WHERE doc_id BETWEEN 99 AND 101 UNION ALL SELECT * FROM f2) ORDER BY score, doc_id LIMIT 10""")
+@query(BM25 + """, f2 AS (SELECT doc_id, -score AS score FROM (SELECT doc_id, round(score, 6) AS score FROM r ORDER BY round(score, 6) DESC, doc_id LIMIT 20) WHERE doc_id NOT BETWEEN 99 AND 101)
+SELECT doc_id, score FROM (SELECT doc_id, -100.0 + abs(doc_id - 100) AS score FROM documents WHERE doc_id BETWEEN 99 AND 101 UNION ALL SELECT * FROM f2) ORDER BY score, doc_id LIMIT 10""")
 def question_evidence(t):
     """Evidence for a question about document 100: it and its neighbours, then search results."""
-    best = search.top(search.bm25_scores(t("documents"), QUERY, "doc_id", "text"), "doc_id", 20)
-    return evidence(t("documents"), 100, best, "doc_id", 10).select("doc_id", F.round("score", 6).alias("score"))
+    scored = search.bm25_scores(t("documents"), QUERY, "doc_id", "text").withColumn("score", F.round("score", 6))
+    return evidence(t("documents"), 100, search.top(scored, "doc_id", 20), "doc_id", 10)
 
 
 @query()

@@ -41,7 +41,7 @@ def fallback_search(t):
 
 
 EMBED = f"""WITH tf AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest({TOKENS}) AS w FROM documents) GROUP BY 1, 2),
-p AS (SELECT doc_id, (concat('0x', substr(sha256(w), 1, 8))::BIGINT % 64)::INT AS slot, CASE WHEN concat('0x', substr(sha256(w), 9, 2))::INT % 2 = 1 THEN 1.0 ELSE -1.0 END * (1 + ln(n)) AS v FROM tf),
+p AS (SELECT doc_id, (concat('0x', substr(sha256(w), 1, 8))::BIGINT % 64)::INT AS slot, CASE WHEN concat('0x', substr(sha256(w), 9, 2))::INT % 2 = 1 THEN -1.0 ELSE 1.0 END * (1 + ln(n)) AS v FROM tf),
 s AS (SELECT doc_id, slot, sum(v) AS v FROM p GROUP BY 1, 2 HAVING abs(sum(v)) > 1e-12)"""
 
 

@@ -76,12 +76,12 @@ def test_search(spark):
 def test_jobs(spark):
     found = jobs.slots(spark.createDataFrame([(1, 0), (2, 10), (3, 500), (4, 501)], "id int, at long").withColumn("lane", F.lit("a")), "lane", "at", "id", 100)
     assert rows(found.select("id", "start_ms"), "id") == [(1, 0), (2, 100), (3, 500), (4, 600)]
-    events = [("a", 1, "claim"), ("a", 2, "pause"), ("a", 3, "resume"), ("a", 4, "complete"), ("a", 5, "cancel"), ("b", 1, "pause"), ("b", 2, "resume"), ("c", 1, "claim"), ("c", 2, "fail"), ("c", 3, "requeue"), ("c", 4, "claim")]
+    events = [("a", 1, "claim"), ("a", 2, "pause"), ("a", 3, "resume"), ("a", 4, "complete"), ("a", 5, "cancel"), ("b", 1, "pause"), ("b", 2, "resume"), ("d", 1, "claim"), ("d", 2, "fail"), ("d", 3, "cancel"), ("d", 4, "pause"), ("c", 1, "claim"), ("c", 2, "fail"), ("c", 3, "requeue"), ("c", 4, "claim")]
     folded = jobs.fold(spark.createDataFrame(events, "job string, at long, event string"), "job", "at", "event")
-    assert rows(folded, "job") == [("a", "succeeded", 1), ("b", "queued", 0), ("c", "running", 2)]
+    assert rows(folded, "job") == [("a", "succeeded", 1), ("b", "queued", 0), ("c", "running", 2), ("d", "paused", 1)]
     tried = jobs.retried(spark.createDataFrame([(1, "timeout"), (3, "timeout"), (1, "Unauthorized")], "attempts int, error string"), "attempts", "error")
     assert [r.next_state for r in tried.collect()] == ["queued", "failed", "failed"]
-    assert one(spark, jobs.default_priority(F.lit("parse"))) == 100 and one(spark, jobs.default_priority(F.lit("?"))) == 0
+    assert one(spark, jobs.default_priority(F.lit("parse_article"))) == 100 and one(spark, jobs.default_priority(F.lit("?"))) == 0
 
 
 def test_tables(spark):
@@ -181,15 +181,21 @@ def test_empty_tables(spark, op):
 def test_latex(spark):
     from papyra.functions import latex
 
-    assert latex.normal_math(r"a \label{x{y}} \mbox{b {c}} % note" + "\n d") == "a b {c} d"
+    assert latex.normal_math(r"\displaystyle a \label{x{y}} \mbox{b {c}} 50\% of % note" + "\n d%\n e") == r"a b {c} 50\% of % note d e"
     assert latex.normal_math(r"\mbox{open") == r"\mbox{open" and latex.normal_math(None) is None
     assert latex.group_end(r"{a\}b}c", 0) == 6
     files = spark.createDataFrame([("x/ms.tex", r"\documentclass{a}\begin{document}"), ("supp.tex", r"\documentclass{a}"), ("b.tex", "")], "path string, content string")
     best = files.orderBy(F.desc(latex.main_file_score(F.col("path"), F.col("content")))).first()
     assert best["path"] == "x/ms.tex"
     assert one(spark, latex.math(F.lit(r"\tag{1}x"))) == "x"
-    assert one(spark, latex.page_layout(F.lit(1), F.lit(400.0), F.lit(100.0))) == "double"
-    assert one(spark, latex.transient(F.lit("Rate limit"))) is True and one(spark, latex.transient(F.lit("Forbidden"))) is False
+    assert latex.main_files(files.withColumn("a", F.lit(1)), "a", "path", "content").collect() == [(1, "x/ms.tex", 30)]
+    scores = {r.path: r.s for r in files.withColumn("s", latex.main_file_score(F.col("path"), F.col("content"))).collect()}
+    assert scores == {"x/ms.tex": 30, "supp.tex": -6, "b.tex": -18}
+    none, no = F.lit(None).cast("double"), F.lit(False)
+    layouts = [latex.page_layout(F.lit(2), no, none, none, none), latex.page_layout(F.lit(1), no, F.lit(330.0), none, none), latex.page_layout(F.lit(1), no, F.lit(329.0), none, none)]
+    layouts += [latex.page_layout(F.lit(1), no, none, F.lit(145.0), F.lit(100.0)), latex.page_layout(F.lit(1), no, none, F.lit(1.0), F.lit(0.0)), latex.page_layout(F.lit(0), F.lit(True), none, none, none)]
+    assert [one(spark, x) for x in layouts] == ["multi-panel", "double-column", "single-column", "double-column", None, "multi-panel"]
+    assert one(spark, values.transient(F.lit("Rate limit"))) is True and one(spark, values.transient(F.lit("HTTP 404"))) is False
     assert one(spark, latex.capabilities(F.lit("text-embedding-3"))) == ["embedding"]
 
 
