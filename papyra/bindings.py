@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from papyra.plans import layers as _layers
 from papyra.plans import pipelines as _pipelines
 from papyra.plans import registry
 from papyra.plans import relational as _relational
 from papyra.plans import texts as _texts
 
 __all__ = ["oracle_sql", "queries"]
-_ = (_pipelines, _relational, _texts)  # importing a module registers its queries
+_ = (_layers, _pipelines, _relational, _texts)  # importing a module registers its queries
 
 
 def queries() -> dict[str, registry.Query]:
