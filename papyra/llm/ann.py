@@ -106,16 +106,22 @@ def tile(q: Side, c: Side, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     bound += 1e-9 * np.multiply.outer(q.norms + q.lost, c.norms + c.lost)  # rounding of the sums themselves
     own = q.ids[:, None] == c.ids
     low = near - bound
-    low[own] = -np.inf
+    low[own | ~np.isfinite(low)] = -np.inf  # bounds that overflow say nothing
     if len(c.ids) > k:
         floor = np.maximum(floor, np.partition(low, len(c.ids) - k, axis=1)[:, len(c.ids) - k])
     near += bound
+    near[np.isnan(near)] = np.inf
     near[own] = -np.inf
     rows, columns = np.nonzero((near >= floor[:, None]) & ~own)
     score = np.empty(len(rows))
     for at in range(0, len(rows), PAIRS):
         part = slice(at, at + PAIRS)
         score[part] = (q.vectors[rows[part]] * c.vectors[columns[part]]).sum(1)
+    large = np.flatnonzero(~np.isfinite(score))
+    for at in range(0, len(large), PAIRS):  # products that overflow may cancel out
+        some = large[at : at + PAIRS]
+        small = (np.ldexp(q.vectors[rows[some]], -540) * np.ldexp(c.vectors[columns[some]], -540)).sum(1)
+        score[some] = np.ldexp(small, 1080)
     return rows, score, c.ids[columns]
 
 
@@ -124,7 +130,7 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, id_col: str
 
     All candidates if there are fewer than k. Ties go to the smaller vec_id. A candidate with the query's own id takes
     no part, nor do vectors that are null, all zero, or hold null or non-finite components. Only vectors of equal length
-    meet. A repeated candidate row counts each time, a repeated query row
+    meet. An inner product beyond the range of doubles counts as infinite. A repeated candidate row counts each time, a repeated query row
     once; an id with several query vectors gets the best over all of them. Empty tables give no rows.
     """
     spark = candidates.sparkSession
@@ -149,7 +155,8 @@ def nearest(candidates: DataFrame, queries: DataFrame, k: int = 20, id_col: str
                 counts = np.bincount(rows, minlength=len(left.ids))
                 full = counts == k
                 floor[full] = score[(np.cumsum(counts) - 1)[full]]
-                new = tile(left, right, floor, k)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    new = tile(left, right, floor, k)
                 held[block] = (left.ids, *best(*(np.concatenate(x) for x in zip((rows, score, vec_id), new, strict=True)), k))
                 if len(held) > HELD:
                     yield out(next(iter(held)))

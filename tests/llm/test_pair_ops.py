@@ -214,6 +214,14 @@ def test_repeats_by_any_number_of_partitions(spark, parts):
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_nearest_beyond_the_range_of_doubles(spark):
+    """Inner products that overflow are infinite, and rank by id among themselves; sums that cancel out are exact."""
+    rows = [(k, [1e155 * (k % 3 - 1), 1e155]) for k in range(60)] + [(60, [1e200, -1e200])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame([(100, [1e200, 1e200])], "vec_id long, embedding array<double>"), k=61).orderBy("rank").collect()
+    want = [k for k in range(60) if k % 3] + [k for k in range(61) if k % 3 == 0]
+    assert [r.vec_id for r in got] == want and {r.score for r in got} == {float("inf"), 0.0}
+
+
 @pytest.mark.parametrize("hot", [2048, 2])
 def test_repeats_without_id(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
