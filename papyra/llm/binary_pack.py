@@ -74,7 +74,7 @@ def best_fit(sizes: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, length: int, first: int) -> pa.RecordBatch:
+def pack(doc_ids: pa.Array, counts: np.ndarray, ids: np.ndarray, length: int, first: int) -> pa.RecordBatch:
     """The packed rows of some documents; sequences are numbered from `first`."""
     pieces = np.maximum(1, -(-counts // length))
     doc = np.repeat(np.arange(len(counts)), pieces)
@@ -95,7 +95,7 @@ def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, length: int,
     positions[at] = inner
     bounds = np.insert(offset + size, np.cumsum(per_bin) - per_bin, 0)
     rows = lambda x: pa.array([r.tobytes() for r in x.reshape(n, length)], pa.binary())
-    columns = [pa.array(first + np.arange(n)), pa.array(filled), int_lists(doc_ids[doc], per_bin, pa.int64()), int_lists(start, per_bin, pa.int64()), int_lists(bounds, per_bin + 1, pa.int32()), rows(matrix), rows(positions)]
+    columns = [pa.array(first + np.arange(n)), pa.array(filled), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(per_bin)), pa.int32()), doc_ids.take(pa.array(doc))), int_lists(start, per_bin, pa.int64()), int_lists(bounds, per_bin + 1, pa.int32()), rows(matrix), rows(positions)]
     return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in PACKED.split(", ")])
 
 
@@ -103,18 +103,19 @@ def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", lengt
     """One row per sequence: its documents, the place where each begins in its document, cumulative segment lengths from 0, and ids and position resets as rows of `length` little-endian unsigned 32-bit numbers, 0 beyond n_tokens.
 
     A document's ids are those of its text and end_id; every id lies in exactly one segment. A null text counts as
-    empty (its end id alone); repeated rows are packed once each; an empty table gives no rows; a null doc_id is packed
-    as 0.
+    empty (its end id alone); repeated rows are packed once each; an empty table gives no rows; a null doc_id is
+    null in its segments.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 33
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
         def packed() -> Iterator[pa.RecordBatch]:
             nonlocal first
             if held:
-                rows = pack(*(np.concatenate(x) for x in zip(*held, strict=True)), length, first)
+                doc_ids, *rest = zip(*held, strict=True)
+                rows = pack(pa.concat_arrays(doc_ids), *map(np.concatenate, rest), length, first)
                 held.clear()
                 first += rows.num_rows
                 yield from (rows.slice(k, 512) for k in range(0, rows.num_rows, 512))
@@ -122,7 +123,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", lengt
         tokens = 0
         for batch in slices(batches, size=SLICE):
             ids, counts = encode_special(texts_of(batch.column("text")), vocabulary)
-            held.append((batch.column("doc_id").fill_null(0).to_numpy(), counts + 1, np.insert(ids, np.cumsum(counts), end_id)))
+            held.append((batch.column("doc_id"), counts + 1, np.insert(ids, np.cumsum(counts), end_id)))
             tokens += len(held[-1][2])
             if tokens >= block:
                 yield from packed()
