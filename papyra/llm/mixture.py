@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -31,11 +32,12 @@ PIECES = "doc_id long, start long, length long, {}, doc_tokens long, sequence_id
 
 
 class Phase(NamedTuple):
-    """Windows in which the same queues serve. given: tokens each queue has given after each round of a cycle."""
+    """Windows in which the same queues serve. base: tokens that each queue has given before; quota: those that it gives in a cycle of `rounds` windows."""
 
     first: int
     base: np.ndarray
-    given: np.ndarray
+    quota: np.ndarray
+    rounds: int
 
 
 def shares(weights: np.ndarray, total: int) -> np.ndarray:
@@ -67,14 +69,14 @@ def schedule(totals: np.ndarray, weights: np.ndarray, window: int, rounds: int =
         w = np.where(open_, weights, 0.0)
         if not w.sum():
             w = open_.astype(float)
-        given = cycle(shares(w, window * rounds), window, rounds)
-        quota, full = given[-1], None
-        for s in np.flatnonzero(quota):
-            cycles, rest = divmod(int(left[s]), int(quota[s]))
-            can = cycles * rounds + int(np.searchsorted(given[:, s], rest, "right")) - 1
-            full = can if full is None else min(full, can)
+        quota = shares(w, window * rounds)
+        given = cycle(quota, window, rounds)
+        # windows until each queue has too little for the next one
+        serves = quota > 0
+        cycles, rest = np.divmod(left[serves], quota[serves])
+        full = int((cycles * rounds + (given[:, serves] <= rest).sum(0) - 1).min())
         if full:
-            phases.append(Phase(first, base, given))
+            phases.append(Phase(first, base, quota, rounds))
             served = full // rounds * quota + given[full % rounds]
             first, base, left = first + full, base + served, left - served
         if left.sum():  # a window for which some queue has too little
@@ -83,41 +85,47 @@ def schedule(totals: np.ndarray, weights: np.ndarray, window: int, rounds: int =
                 spare = left - take
                 extra = np.where(spare > 0, w, 0.0)
                 take += np.minimum(spare, shares(extra if extra.sum() else (spare > 0).astype(float), short))
-            phases.append(Phase(first, base, np.array([np.zeros_like(take), take])))
+            phases.append(Phase(first, base, take, 1))
             first, base, left = first + 1, base + take, left - take
     return phases
 
 
 class Schedule:
-    """Where the tokens of each queue go."""
+    """Where the tokens of each queue go. A phase's cycle is worked out where a document lies in it, so what is sent has two numbers for each phase and queue."""
 
-    def __init__(self, phases: list[Phase]):
+    def __init__(self, phases: list[Phase], window: int):
+        self.phases, self.window = phases, window
         self.first = np.array([p.first for p in phases])
         self.base = np.array([p.base for p in phases])
-        self.rounds = np.array([len(p.given) - 1 for p in phases])
-        self.given = np.zeros((len(phases), self.rounds.max() + 1, self.base.shape[1]), np.int64)
-        for k, p in enumerate(phases):
-            self.given[k, : len(p.given)] = p.given
-        self.quota = self.given[np.arange(len(phases)), self.rounds]
-        took = np.diff(self.given, axis=1)
-        self.ahead = np.cumsum(took, axis=2) - took  # tokens of earlier queues in a window
+        self.cycle = lru_cache(64)(self._cycle)
+
+    def _cycle(self, p: int) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens each queue has given after each window of the cycle, tokens of earlier queues in each window)."""
+        _, _, quota, rounds = self.phases[p]
+        given = cycle(quota, self.window, rounds) if rounds > 1 else np.array([np.zeros_like(quota), quota])
+        took = np.diff(given, axis=0)
+        return given, np.cumsum(took, axis=1) - took
 
     def window_of(self, s: int, x: np.ndarray) -> np.ndarray:
         """The window that takes token x of queue s."""
         phase = np.searchsorted(self.base[:, s], x, "right") - 1
         out = np.empty(len(x), np.int64)
-        for p in np.unique(phase):
-            at = phase == p
-            cycles, rest = np.divmod(x[at] - self.base[p, s], self.quota[p, s])
-            out[at] = self.first[p] + cycles * self.rounds[p] + np.searchsorted(self.given[p, : self.rounds[p] + 1, s], rest, "right") - 1
+        for p in np.unique(phase).tolist():
+            at, (first, base, quota, rounds), (given, _) = phase == p, self.phases[p], self.cycle(p)
+            cycles, rest = np.divmod(x[at] - base[s], quota[s])
+            out[at] = first + cycles * rounds + np.searchsorted(given[:, s], rest, "right") - 1
         return out
 
     def spans(self, s: int, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Tokens of queue s in each window, first and one past the last, and the offset of the first there."""
-        p = np.searchsorted(self.first, w, "right") - 1
-        cycles, r = np.divmod(w - self.first[p], self.rounds[p])
-        base = self.base[p, s] + cycles * self.quota[p, s]
-        return base + self.given[p, r, s], base + self.given[p, r + 1, s], self.ahead[p, r, s]
+        phase = np.searchsorted(self.first, w, "right") - 1
+        out = np.empty((3, len(w)), np.int64)
+        for p in np.unique(phase).tolist():
+            at, (first, base, quota, rounds), (given, ahead) = phase == p, self.phases[p], self.cycle(p)
+            cycles, r = np.divmod(w[at] - first, rounds)
+            start = base[s] + cycles * quota[s]
+            out[:, at] = start + given[r, s], start + given[r + 1, s], ahead[r, s]
+        return out[0], out[1], out[2]
 
     def cut(self, s: int, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
         """(document, start, length, window, offset) of each piece of documents that lie at `begin` in queue s."""
@@ -179,7 +187,7 @@ def pack_mixture(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", window:
     placed = rows.join(bases, ["part", "source"]).select("doc_id", "source", (F.col("base") + F.col("before")).alias("begin"), "doc_tokens", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where = Schedule(plan.value)
+        where = Schedule(plan.value, window)
         for batch in slices(batches, "ids"):
             sources = np.array([number[x] for x in batch.column("source").to_pylist()])
             for s in np.unique(sources):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -117,7 +118,7 @@ def test_schedule(totals, weights):
     """Every token of every queue lies in one place, and all windows but the last are full."""
     if not sum(totals):
         return
-    where = mixture.Schedule(mixture.schedule(np.array(totals), np.array(weights[: len(totals)]), 100, 8))
+    where = mixture.Schedule(mixture.schedule(np.array(totals), np.array(weights[: len(totals)]), 100, 8), 100)
     seen = Counter()
     for s, n in enumerate(totals):
         if n:
@@ -217,6 +218,22 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(docs, none).collect()} == {0.5}
 
 
+def test_mixture_of_many_sources():
+    """Two hundred queues: every token in one place, full windows, and a plan of two numbers a phase and queue."""
+    rng = np.random.default_rng(4)
+    totals = rng.integers(1, 400, 200)
+    phases = mixture.schedule(totals, rng.random(200), 1024)
+    assert len(pickle.dumps(phases)) < 1 << 20
+    where, seen = mixture.Schedule(phases, 1024), Counter()
+    for s, n in enumerate(totals.tolist()):
+        _, start, length, w, offset = where.cut(s, np.array([0]), np.array([n]))
+        assert start[0] == 0 and (start[1:] == np.cumsum(length)[:-1]).all() and length.sum() == n
+        for at, k, size in zip(w.tolist(), offset.tolist(), length.tolist(), strict=True):
+            seen.update((at, x) for x in range(k, k + size))
+    last = (int(totals.sum()) - 1) // 1024
+    assert max(seen.values()) == 1 and len(seen) == totals.sum() and max(w for w, _ in seen) == last
+
+
 def test_language_model(spark):
     random.seed(7)
     nouns, verbs = [f"n{k}" for k in range(30)], [f"v{k}" for k in range(30)]
