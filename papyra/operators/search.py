@@ -32,8 +32,9 @@ def bm25_scores(docs: DataFrame, query: str, id_col: str, text_col: str) -> Data
     three sums and one row for each term.
     """
     terms = list(dict.fromkeys(query_terms(query)))
-    words = tokens(F.col(text_col))
-    rows = docs.select(id_col, F.size(words).alias("length"), F.array(*[_count(words, t) for t in terms]).alias("tf"))
+    words = F.col("papyra_words")
+    split = docs.select(id_col, tokens(F.col(text_col)).alias("papyra_words"))  # once for all terms
+    rows = split.select(id_col, F.size(words).alias("length"), F.array(*[_count(words, t) for t in terms]).alias("tf"))
     stats = rows.agg(F.count(F.lit(1)).alias("documents"), F.avg("length").alias("mean"), *[F.count_if(F.col("tf")[k] > 0).alias(f"df{k}") for k in range(len(terms))])
     hits = rows.where(F.exists("tf", lambda n: n > 0)).crossJoin(F.broadcast(stats))  # one row of sums
     part = lambda k: F.when(F.col("tf")[k] > 0, bm25(F.col("tf")[k], F.col("length"), F.col("mean"), idf(F.col("documents"), F.col(f"df{k}")))).otherwise(0.0)
