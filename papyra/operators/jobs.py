@@ -46,13 +46,29 @@ def first_of_each(jobs: DataFrame, keys: list[str], order: str, id_col: str) ->
     return jobs.groupBy(*keys).agg(F.min_by(id_col, F.struct(order, id_col)).alias(id_col), F.count(F.lit(1)).alias("copies"))
 
 
-def slots(requests: DataFrame, lane: str, at_ms: str, id_col: str, interval_ms: int) -> DataFrame:
-    """The start of each request when a lane takes one per interval: next = max(next, now) + interval, in closed form."""
-    w = Window.partitionBy(lane).orderBy(at_ms, id_col)
-    place = (F.row_number().over(w) - 1) * interval_ms
-    rows = requests.withColumn("papyra_place", place)
-    ahead = F.max(F.col(at_ms) - F.col("papyra_place")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("start_ms", F.col("papyra_place") + ahead).drop("papyra_place")
+def slots(requests: DataFrame, lane: str, at_ms: str, id_col: str, interval_ms: int, range_ms: int = 3_600_000) -> DataFrame:
+    """The start of each request when a lane takes one per interval: next = max(next, now) + interval, in closed form.
+
+    A lane is sorted in ranges of time, each a task's group, and its ranges pass on two numbers each: how many requests
+    they hold and the furthest that one lies ahead of its place. Requests without a time come first, take places and have
+    no start.
+    """
+    spot, bucket = F.col("papyra_spot"), F.floor(F.col(at_ms) / range_ms)
+    rows = requests.withColumn("papyra_range", bucket)
+    w = Window.partitionBy(lane, "papyra_range").orderBy(at_ms, id_col)
+    rows = rows.withColumn("papyra_spot", (F.row_number().over(w) - 1).cast("long") * interval_ms)
+    rows = rows.withColumn("papyra_ahead", F.max(F.col(at_ms) - spot).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+    furthest = rows.groupBy(F.col(lane).alias("papyra_lane"), F.col("papyra_range").alias("papyra_key")).agg(F.count(F.lit(1)).alias("papyra_n"), F.max("papyra_ahead").alias("papyra_most"))
+    before = Window.partitionBy("papyra_lane").orderBy("papyra_key").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("papyra_n").over(before), F.lit(0)) * interval_ms
+    carried = furthest.withColumn("papyra_shift", shift)
+    carried = carried.withColumn("papyra_carry", F.max(F.col("papyra_most") - F.col("papyra_shift")).over(before))
+
+    same = F.col(lane).eqNullSafe(F.col("papyra_lane")) & F.col("papyra_range").eqNullSafe(F.col("papyra_key"))
+    joined = rows.join(carried, same)
+    start = spot + F.col("papyra_shift") + F.greatest("papyra_carry", F.col("papyra_ahead") - F.col("papyra_shift"))
+    return joined.select(*requests.columns, start.alias("start_ms"))
 
 
 #: State after an event, by event and the states it applies to; an empty set stands for any.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,23 +123,37 @@ def recommended(candidates: DataFrame, owned: Column, primary: Column, overlap:
     return candidates.withColumn("score", F.bround(score, 4))
 
 
-def seed_keywords(counts: DataFrame, library: str, most: int = 8) -> DataFrame:
-    """library, phrase, place: phrases picked by count, then length; one whose words an earlier pick covers is passed over.
+def seed_keywords(counts: DataFrame, library: str, most: int = 8, words: int = 4) -> DataFrame:
+    """library, phrase, place: phrases picked by count, then length; one whose words earlier picks hold is passed over.
 
-    counts: (library, phrase, uses). Each library's picks depend on one another, so a library is one group; it gets the
-    1,000 best phrases of each at most, which bounds the group (a pick is among the first `most` that aren't covered).
+    counts: (library, phrase, uses) with a row for each phrase; those of more than `words` words take no part. Each
+    partition goes through its phrases in order and keeps those that bring a word its earlier ones lack, which are all
+    that can be picked: what it passes over, the picks hold too. It is done when it has more words than the picks can.
     """
-    w = Window.partitionBy(library).orderBy(F.desc("uses"), F.desc(F.size(F.split("phrase", " "))), "phrase")
-    ranked = counts.withColumn("place", F.row_number().over(w)).where("place <= 1000")
+    order = [F.desc("uses"), F.desc("papyra_n"), F.asc("phrase")]
+    sized = counts.select(library, "phrase", "uses", F.size(F.split("phrase", " ")).alias("papyra_n")).where((F.col("papyra_n") <= words) & (F.col("phrase") != ""))
+
+    def kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, set()
+        for batch in batches:
+            rows = []
+            for row in batch.itertuples(index=False, name=None):
+                if (row[0],) != last:
+                    last, held = (row[0],), set()
+                new = set(row[1].split(" "))
+                if len(held) <= (most - 1) * words and not new <= held:
+                    held |= new
+                    rows.append(row)
+            yield pd.DataFrame(rows, columns=batch.columns)
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
-        kept: list[set[str]] = []
+        held: set[str] = set()
         rows = []
-        for row in group.sort_values("place").itertuples():
-            words = set(row.phrase.split())
-            if len(rows) < most and not any(words <= k for k in kept):
-                kept.append(words)
-                rows.append((getattr(row, library), row.phrase, len(rows) + 1))
+        for row in group.sort_values(["uses", "papyra_n", "phrase"], ascending=[False, False, True]).itertuples(index=False, name=None):
+            if len(rows) < most and not set(row[1].split(" ")) <= held:
+                held |= set(row[1].split(" "))
+                rows.append((row[0], row[1], len(rows) + 1))
         return pd.DataFrame(rows, columns=[library, "phrase", "place"])
 
-    return ranked.select(library, "phrase", "place").groupBy(library).applyInPandas(pick, f"{library} string, phrase string, place long")
+    short = sized.sortWithinPartitions(library, *order).mapInPandas(kept, sized.schema)
+    return short.groupBy(library).applyInPandas(pick, f"{library} string, phrase string, place long")
