@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from papyra.functions import rules
-from papyra.operators import library, mining, search
+from papyra.operators import library, mining, search, vault
 from papyra.plans.registry import query
+from papyra.sources import sinks
 
 UID = "'p-' || lpad({}::VARCHAR, 6, '0')"
 B = f"b AS (SELECT doc_id AS id, lang AS revision, {UID.format('doc_id')} AS uid, ['section', 'paragraph', 'list', 'code', 'figure', 'equation'][1 + doc_id % 6] AS kind, sha256(text) AS hash, text FROM documents)"
@@ -295,3 +296,34 @@ def enriched(t):
     """Rows with what a later step found out about them."""
     found = t("labels").select("doc_id", F.when(F.col("quality") == 1, "q1").otherwise("q0").alias("lang"))
     return library.merged_by_id(t("documents").select("doc_id", "lang", "source"), found.unionByName(found.limit(1).withColumn("doc_id", F.lit(-1).cast("long"))), "doc_id", "lang")
+
+
+@query("""SELECT doc_id, sha256(concat_ws(chr(10), '### p-' || doc_id, '', '> [!note] Idea · p-' || doc_id, '> **Source**', '> ' || replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), chr(10), chr(10) || '> '), '>', '> **Translation (zh)**',
+'> _Translation pending._', '>', '> Article: [[#' || lang || ']]', '> #idea', '^n-' || lang || '-p-' || doc_id)) AS clip FROM documents WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''""")
+def vault_clips(t):
+    """Each document that isn't blank as a clip of its article."""
+    name, line = F.concat(F.lit("p-"), F.col("doc_id").cast("string")), F.trim(F.regexp_replace("text", r"\s+", " "))
+    body = vault.clip(name, line, F.lit(None).cast("string"), F.col("lang"), "zh", "note", "Idea", "#idea", vault.anchor("n", F.col("lang"), name))
+    return t("documents").where(line != "").select("doc_id", F.sha2(body, 256).alias("clip"))
+
+
+@query("""WITH c AS (SELECT c_custkey // 50 AS note, c_custkey AS k, c_custkey % 3 = 0 AS old, c_custkey % 2 = 0 AS new, c_name AS n, c_mktsegment AS s FROM customer)
+SELECT note, concat(CASE WHEN count(*) FILTER (WHERE old) > 0 THEN '# Note' || chr(10) || chr(10) END, '## Terms' || chr(10) || chr(10), string_agg(concat('### ', n, chr(10), chr(10), CASE WHEN new THEN 'now ' || s ELSE 'was ' || s END, chr(10), chr(10), '^k-', k), chr(10) || chr(10) ORDER BY NOT old, CASE WHEN old THEN k ELSE 0 END, lower(n)), chr(10)) AS body FROM c WHERE old OR new GROUP BY 1""")
+def vault_notes(t):
+    """Notes of a third of the customers, fifty keys each, after entries for every second one."""
+    key = F.col("c_custkey")
+    entry = lambda word: F.concat(F.lit("### "), F.col("c_name"), F.lit(f"\n\n{word} "), F.col("c_mktsegment"), F.lit("\n\n"), vault.anchor("k", key.cast("string")))
+    rows = t("customer").withColumn("note", F.floor(key / 50))
+    bodies = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", entry("was").alias("x")))), lambda e: e["x"]), "\n\n")
+    notes = rows.where(key % 3 == 0).groupBy("note").agg(F.concat(F.lit("# Note\n\n## Terms\n\n"), bodies, F.lit("\n")).alias("text"))
+    new = rows.where(key % 2 == 0).select("note", F.lit("Terms").alias("section"), vault.anchor("k", key.cast("string")).alias("anchor"), entry("now").alias("body"), F.col("c_name").alias("title"))
+    return vault.upserted(vault.entries(notes, "note", "text"), new, "note")
+
+
+@query("""SELECT doc_id, sha256(concat(text, chr(10), CASE WHEN doc_id % 2 = 0 THEN '![a' || doc_id || '](x.assets/1.png)' || chr(10) || '![a' || doc_id || '](x.assets/2.png)' || chr(10) END, 'end')) AS body FROM documents""")
+def asset_links(t):
+    """Documents with a mark each, half of which have two files."""
+    name = F.concat(F.lit("a"), F.col("doc_id").cast("string"))
+    files = F.when(F.col("doc_id") % 2 == 0, F.create_map(name, F.array(F.lit("1.png"), F.lit("2.png"))))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n<!-- doc-asset:"), name, F.lit(" -->\nend"))
+    return t("documents").select("doc_id", F.sha2(sinks.with_assets(text, files, F.lit("x.assets"), "doc"), 256).alias("body"))

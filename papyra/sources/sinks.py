@@ -16,6 +16,18 @@ def with_notice(body: Column, notice: str = NOTICE) -> Column:
     return F.when(body.startswith(notice), body).otherwise(F.concat(F.lit(notice + "\n\n"), body))
 
 
+def with_assets(body: Column, files: Column, folder: Column, mark: str) -> Column:
+    """A body whose asset marks become links to the asset's files, by lines; marks of assets without files go.
+
+    files: a map from asset to the names of its files; mark: what asset comments begin with.
+    """
+    token = lambda e: F.concat(F.lit(f"<!-- {mark}-asset:"), e["key"], F.lit(" -->"))
+    links = lambda e: F.array_join(F.transform(e["value"], lambda f: F.concat(F.lit("!["), e["key"], F.lit("]("), folder, F.lit("/"), f, F.lit(")"))), "\n")
+    some = F.filter(F.map_entries(F.coalesce(files, F.create_map().cast("map<string,array<string>>"))), lambda e: F.size(e["value"]) > 0)
+    linked = F.aggregate(some, body, lambda text, e: F.replace(text, token(e), links(e)))
+    return F.regexp_replace(linked, rf"\n?<!-- {mark}-asset:[^>]+ -->\n?", "\n")
+
+
 def rendered(blocks: DataFrame, group: str, order: str, kind: str, text: str, level: str | None = None) -> DataFrame:
     """group, body: blocks as one Markdown document each; sections get their level's number signs, code its fences."""
     marks = F.repeat(F.lit("#"), F.coalesce(F.col(level), F.lit(2)) if level else F.lit(2))

@@ -119,6 +119,74 @@ def test_mining(spark):
     assert rows(mining.seed_keywords(counts, "lib"), "place") == [("l", "a b", 1), ("l", "c", 2)]
 
 
+def test_seed_keywords_by_plain_loop(spark):
+    import itertools
+    import random
+
+    rng = random.Random(7)
+    phrases = [" ".join(p) for n in (2, 3, 4) for p in itertools.product("abcdefghijk"[: 12 - 2 * n], repeat=n)]
+    data = [(lib, p, rng.choice([1, 2, 3, 3])) for lib in ("x", "y", None) for p in rng.sample(phrases, 150)] + [("x", "v w x y z", 9)]
+    want = []
+    for lib in ("x", "y", None):
+        held, picks = set(), []
+        for _, phrase, _ in sorted((r for r in data if r[0] == lib and len(r[1].split()) <= 4), key=lambda r: (-r[2], -len(r[1].split()), r[1])):
+            if len(picks) < 8 and not set(phrase.split()) <= held:
+                held |= set(phrase.split())
+                picks.append((lib, phrase, len(picks) + 1))
+        want += picks
+    for parts in (1, 5):
+        counts = spark.createDataFrame(data, "lib string, phrase string, uses long").repartition(parts)
+        assert sorted(rows(mining.seed_keywords(counts, "lib")), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("width", [1, 50, 1 << 40])
+def test_slots_by_plain_loop(spark, width):
+    import random
+
+    rng = random.Random(3)
+    data = [(k, rng.choice(["a", "b", None]), rng.choice([None, *range(0, 400, 7)])) for k in range(120)]
+    want = {}
+    for lane in ("a", "b", None):
+        free, skipped = None, 0
+        for key, _, at in sorted((r for r in data if r[1] == lane), key=lambda r: (r[2] is not None, r[2] or 0, r[0])):
+            if at is None:
+                want[key], skipped = None, skipped + 1
+                continue
+            want[key] = at if free is None else max(free, at)
+            free = want[key] + 10
+    requests = spark.createDataFrame(data, "id long, lane string, at long").withColumn("papyra_other", F.lit(1))
+    timed = requests.where("at IS NOT NULL")
+    got = {r.id: r.start_ms for r in jobs.slots(timed, "lane", "at", "id", 10, width).collect()}
+    assert got == {k: v for k, v in want.items() if v is not None}
+    assert jobs.slots(requests, "lane", "at", "id", 10, width).where("at IS NULL AND start_ms IS NULL").count() == requests.where("at IS NULL").count()
+    assert jobs.slots(requests.limit(0), "lane", "at", "id", 10, width).count() == 0
+
+
+def test_export_cleaned(spark):
+    text = "<!-- m-content-notice:v1 a\nb /m-content-notice:v1 -->x<br/>y<a id='q'></a>\n<!-- untranslated: 1 -->\n\n\nSource refs: a, b\n<p class=c>a &lt; b</p><span>z</span><!-- kept -->\n<TABLE><tr><td>1<br>2</td></tr><tr><td> </td></tr></TABLE>"
+    done = html.export_cleaned(F.col("t"), "m")
+    got = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, t string").select("id", done.alias("t"))
+    assert rows(got, "id") == [(1, "x\ny\n\na < b\n\nz<!-- kept -->\n| 1 2 |\n| --- |"), (2, None), (3, "")]
+
+
+def test_vault(spark):
+    from papyra.operators import vault
+
+    assert one(spark, vault.quoted(F.lit(" a\n\nb\n"))) == "> a\n>\n> b" and one(spark, vault.quoted(F.lit(" "))) == ""
+    assert one(spark, vault.anchor("p", F.lit("r/1"), F.lit("x_2-"))) == "^p-r-1-x-2"
+    assert one(spark, vault.file_name(F.lit(' a/b:  "c". '), "L")) == "a-b- -c-" and one(spark, vault.file_name(F.lit(" . "), "L")) == "L"
+    assert one(spark, vault.heading(F.lit(None).cast("string"), F.lit(" a  b "))) == "a b" and one(spark, vault.heading(F.lit(" "))) == "Untitled paper"
+    card = vault.card_entry(F.lit("T"), F.lit(" b "), F.lit("wikipedia"), F.lit("u"), "#t", F.lit("^c"))
+    assert one(spark, card) == "### T\n\nb\n\n来源：[Wikipedia](u)\n\n#t\n^c"
+    notes = spark.createDataFrame([("n", "# L\n\n## A\nmeta\n\n### x\n\nold\n^k-1\n\n## B\n\n### z\n^k-1\n"), ("e", None)], "note string, text string")
+    got = rows(vault.entries(notes, "note", "text"), "place")
+    assert [r[2:4] for r in got] == [("", None), ("A", None), ("A", "^k-1"), ("B", None), ("B", "^k-1")]
+    new = spark.createDataFrame([("n", "A", "^k-1", "### x\nnew\n^k-1", "x"), ("n", "A", "^k-2", "### y\n^k-2", "Y"), ("n", "C", "^k-3", "### c\n^k-3", "c"), ("m", "A", "^k-1", "### a\n^k-1", "a")], "note string, section string, anchor string, body string, title string")
+    done = dict(rows(vault.upserted(vault.entries(notes, "note", "text"), new, "note")))
+    assert done["n"] == "# L\n\n## A\nmeta\n\n### x\nnew\n^k-1\n\n### y\n^k-2\n\n## B\n\n### z\n^k-1\n\n## C\n\n### c\n^k-3\n"
+    assert done["m"] == "## A\n\n### a\n^k-1\n" and set(done) == {"n", "m"}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "feed.xml").write_text("<feed><entry><id>http://x.org/abs/2101.01234v1</id><title> A\n title </title><summary>s</summary><published>2021-01-05T00:00:00Z</published><author><name>Ann</name></author><author><name>Bo</name></author><category term='cs.X'/></entry></feed>")
     (entry,) = feeds.feed_entries(spark, str(tmp_path / "feed.xml")).collect()
