@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,14 +39,50 @@ def worded(phrase: Column) -> Column:
     return F.regexp_count(phrase, F.lit(r"(?U)(?<!\w)[\p{L}]{2,}(?!\w)")) >= 2
 
 
-def glossary_candidates(docs: DataFrame, id_col: str, text_col: str, least: int = 2) -> DataFrame:
-    """phrase, uses, documents of phrases used `least` times or more.
+def _spans(words: pa.ListArray, most: int = 1_000_000) -> Iterator[pa.ListArray]:
+    """Slices of whole rows, of `most` words in all unless one row has more."""
+    ends, start = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)), 0
+    while start < len(words):
+        done = ends[start - 1] if start else 0
+        stop = max(int(np.searchsorted(ends, done + most, "right")), start + 1)
+        yield words.slice(start, stop - start)
+        start = stop
 
-    Counts are summed within each task before the shuffle; documents are counted from (phrase, document) sums, and the
-    words of a phrase are looked at once for each phrase that is left.
+
+def _phrase_sums(words: pa.ListArray, sizes: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """phrase, uses, documents of the n-grams of rows of words, a batch for each size."""
+    flat, row = words.flatten(), pc.list_parent_indices(words).to_numpy()
+    inner, now = pc.invert(pc.is_in(flat, value_set=pa.array(STOPWORDS))), flat
+    for n in range(2, max(sizes) + 1):
+        count = len(flat) - n + 1
+        if count <= 0:
+            return
+        now = pc.binary_join_element_wise(now[:count], flat[n - 1 :], " ")
+        if n in sizes:
+            size = pc.utf8_length(now)
+            good = pc.and_(pc.and_(inner[:count], inner[n - 1 :]), pc.and_(pc.greater_equal(size, 4), pc.less_equal(size, 100)))
+            good = pc.and_(good, pa.array(row[:count] == row[n - 1 :]))
+            coded = now.filter(good).dictionary_encode()
+            code, at = coded.indices.to_numpy(), row[:count][good.to_numpy(zero_copy_only=False)]
+            found = len(coded.dictionary)
+            held = np.unique(at * np.int64(max(found, 1)) + code) % max(found, 1)  # a row and phrase once
+            yield pa.record_batch({"phrase": coded.dictionary, "uses": np.bincount(code, minlength=found), "documents": np.bincount(held, minlength=found)})
+
+
+def glossary_candidates(docs: DataFrame, text_col: str, least: int = 2, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
+    """phrase, uses, documents of phrases used `least` times or more; each row is a document, and null texts have none.
+
+    Uses and documents are counted within batches of rows, so one row a phrase and slice of some million words is
+    shuffled, and only once; the words of a phrase are looked at once for each phrase that is left.
     """
-    per = bare_phrases(docs, id_col, text_col).groupBy("phrase", id_col).agg(F.count(F.lit(1)).alias("n"))
-    sums = per.groupBy("phrase").agg(F.sum("n").alias("uses"), F.count(F.lit(1)).alias("documents"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _spans(batch.column(0)):
+                yield from _phrase_sums(part, sizes)
+
+    counted = docs.select(tokens(F.col(text_col), 1).alias("words")).mapInArrow(run, "phrase string, uses long, documents long")
+    sums = counted.groupBy("phrase").agg(F.sum("uses").alias("uses"), F.sum("documents").alias("documents"))
     return sums.where((F.col("uses") >= least) & worded(F.col("phrase")))
 
 

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from papyra.functions.text import fold, occurrences, tokens
-from papyra.functions.values import bm25, dot, hashed_sign, hashed_slot, idf, log_tf
+from papyra.functions.values import bm25, dot, idf
 
 
 def query_terms(query: str, most: int = 12) -> list[str]:
@@ -21,8 +28,9 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _count(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == F.lit(term)))
+def term_uses(folded: Column, term: str) -> Column:
+    """How often a term is a word of a lower-case text; the pattern runs only where the text holds the term at all."""
+    return F.when(F.contains(folded, F.lit(term)), F.regexp_count(folded, F.lit(rf"(?U)(?<!\w){term}(?!\w)"))).otherwise(0)
 
 
 def bm25_scores(docs: DataFrame, query: str, id_col: str, text_col: str) -> DataFrame:
@@ -32,9 +40,8 @@ def bm25_scores(docs: DataFrame, query: str, id_col: str, text_col: str) -> Data
     three sums and one row for each term.
     """
     terms = list(dict.fromkeys(query_terms(query)))
-    words = F.col("papyra_words")
-    split = docs.select(id_col, tokens(F.col(text_col)).alias("papyra_words"))  # once for all terms
-    rows = split.select(id_col, F.size(words).alias("length"), F.array(*[_count(words, t) for t in terms]).alias("tf"))
+    folded = F.lower(F.col(text_col))
+    rows = docs.select(id_col, F.regexp_count(folded, F.lit(r"(?U)\w{2,}")).alias("length"), F.array(*[term_uses(folded, t) for t in terms]).alias("tf"))
     stats = rows.agg(F.count(F.lit(1)).alias("documents"), F.avg("length").alias("mean"), *[F.count_if(F.col("tf")[k] > 0).alias(f"df{k}") for k in range(len(terms))])
     hits = rows.where(F.exists("tf", lambda n: n > 0)).crossJoin(F.broadcast(stats))  # one row of sums
     part = lambda k: F.when(F.col("tf")[k] > 0, bm25(F.col("tf")[k], F.col("length"), F.col("mean"), idf(F.col("documents"), F.col(f"df{k}")))).otherwise(0.0)
@@ -57,11 +64,34 @@ def substring_scores(docs: DataFrame, query: str, id_col: str, text_col: str) ->
 
 
 def hashed_embeddings(docs: DataFrame, id_col: str, text_col: str, dimensions: int = 64) -> DataFrame:
-    """id, slot, value: signed hashed term frequencies of unit length, without the zeros."""
-    parts = term_counts(docs, id_col, text_col).select(id_col, hashed_slot(F.col("term"), dimensions).alias("slot"), (hashed_sign(F.col("term")) * log_tf(F.col("tf"))).alias("value"))
-    sums = parts.groupBy(id_col, "slot").agg(F.sum("value").alias("value")).where(F.abs("value") > 1e-12)
-    lengths = sums.groupBy(id_col).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("length"))
-    return sums.join(lengths, id_col).select(id_col, "slot", (F.col("value") / F.col("length")).alias("value"))
+    """id, slot, value: signed hashed term frequencies of unit length, without the zeros.
+
+    A row is folded where it lies, without a shuffle; each distinct term of a batch is hashed once. Rows without terms
+    and null texts have no slots.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, words = batch.columns
+            coded = words.flatten().dictionary_encode()
+            if not len(coded):
+                continue
+            terms = len(coded.dictionary)
+            digests = [sha256(t.encode()).digest() for t in coded.dictionary.to_pylist()]
+            slot = np.array([int.from_bytes(d[:4]) % dimensions for d in digests], "int64")
+            sign = np.array([-1.0 if d[4] % 2 else 1.0 for d in digests])
+            pairs, tf = np.unique(pc.list_parent_indices(words).to_numpy() * np.int64(terms) + coded.indices.to_numpy(), return_counts=True)
+            row, term = np.divmod(pairs, terms)
+            cells, cell = np.unique(row * dimensions + slot[term], return_inverse=True)
+            value = np.bincount(cell, sign[term] * (1 + np.log(tf)))
+            kept = np.abs(value) > 1e-12
+            row, value = cells[kept] // dimensions, value[kept]
+            length = np.sqrt(np.bincount(row, value * value, minlength=batch.num_rows))
+            yield pa.record_batch([key.take(pa.array(row)), pa.array(cells[kept] % dimensions, pa.int32()), pa.array(value / length[row])], ["papyra_key", "slot", "value"])
+
+    split = docs.select(F.col(id_col).alias("papyra_key"), tokens(F.col(text_col)).alias("papyra_words"))
+    schema = T.StructType([T.StructField("papyra_key", docs.schema[id_col].dataType), T.StructField("slot", T.IntegerType()), T.StructField("value", T.DoubleType())])
+    return split.mapInArrow(run, schema).withColumnRenamed("papyra_key", id_col)
 
 
 def vector_scores(vectors: DataFrame, probe: list[float], id_col: str, vector_col: str, weight: Column | None = None) -> DataFrame:

@@ -102,3 +102,13 @@ def memory_hits(items: DataFrame, memory: DataFrame, keys: list[str], null_safe:
     """Each item's best entry in a memory, by keys that are equal and keys that may both be null."""
     on = [F.col(f"i.{k}") == F.col(f"m.{k}") for k in keys] + [F.col(f"i.{k}").eqNullSafe(F.col(f"m.{k}")) for k in null_safe]
     return chosen(items.alias("i").join(memory.alias("m"), on).select(F.col(f"i.{id_col}").alias("papyra_id"), "m.*"), ["papyra_id"], order).withColumnRenamed("papyra_id", "item_id")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """The same rows, dealt out over all cores if they lie in fewer files than that; for work that takes longer for a row than moving it.
+
+    A file may be a single row group, which one task reads. Tables of many files stay where they are; columns and
+    filters reach the scan in either case.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 0 < len(rows.inputFiles()) < cores else rows

@@ -88,11 +88,9 @@ s AS (SELECT q, doc_id, (length(x) - length(replace(x, term, ''))) // length(ter
 SELECT q, doc_id, score::INT AS score FROM f UNION ALL SELECT q, doc_id, score::INT FROM s WHERE score > 0 AND q NOT IN (SELECT q FROM f)""")
 def search_or_substring(t):
     """Word search for several questions, and substring search for those without a hit."""
-    from papyra.functions.text import tokens
-
     docs, found, other = t("documents"), None, None
     for q, term in ((1, "whing"), (2, "ation"), (3, "zzzzzz")):
-        words = docs.select(F.lit(q).alias("q"), "doc_id", search._count(tokens(F.col("text")), term).alias("score")).where("score > 0")
+        words = docs.select(F.lit(q).alias("q"), "doc_id", search.term_uses(F.lower(F.col("text")), term).alias("score")).where("score > 0")
         parts = search.substring_scores(docs, term, "doc_id", "text").select(F.lit(q).alias("q"), "doc_id", "score")
         found, other = (words, parts) if found is None else (found.unionByName(words), other.unionByName(parts))
     return library.with_fallback(found, other, "q")

@@ -9,7 +9,7 @@ from papyra.functions.text import content_hash
 from papyra.operators import context, jobs, search, tables
 from papyra.plans.registry import query
 from papyra.plans.texts import BM25, QUERY
-from papyra.sources import html, sinks
+from papyra.sources import html, sinks, tree
 
 
 def articles(families: DataFrame, items: DataFrame, done: Column, failed: Column, family: str) -> DataFrame:
@@ -57,7 +57,7 @@ def queue_missing(t):
 SELECT doc_id, score FROM (SELECT doc_id, -100.0 + abs(doc_id - 100) AS score FROM documents WHERE doc_id BETWEEN 99 AND 101 UNION ALL SELECT * FROM f2) ORDER BY score, doc_id LIMIT 10""")
 def question_evidence(t):
     """Evidence for a question about document 100: it and its neighbours, then search results."""
-    scored = search.bm25_scores(t("documents"), QUERY, "doc_id", "text").withColumn("score", F.round("score", 6))
+    scored = search.bm25_scores(tables.dealt(t("documents")), QUERY, "doc_id", "text").withColumn("score", F.round("score", 6))
     return evidence(t("documents"), 100, search.top(scored, "doc_id", 20), "doc_id", 10)
 
 
@@ -85,3 +85,48 @@ def source_ranks(t):
 def turn_islands(t):
     """Runs of turns that begin with the user's."""
     return context.islands(t("conversations"), "conv_id", "turn", F.col("role") == "user").groupBy("conv_id", "island").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _named(text: str) -> str:
+    for name, sign in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{sign}')"
+    return text
+
+
+PAGE_BLOCKS = rf"""p AS (SELECT page_id, unnest(string_split(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<p>')[2:]) AS x, generate_subscripts(string_split(regexp_extract(html, '<article>(.*)</article>', 1, 's'), '<p>')[2:], 1) AS k FROM pages),
+q AS (SELECT page_id, k, contains(x, '<b>') AS bold, trim(regexp_replace({_named("regexp_replace(x, '<[^>]*>', ' ', 'g')")}, '\s+', ' ', 'g')) AS x FROM p),
+l AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>')) AS x, generate_subscripts(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>'), 1) AS k FROM pages),
+b AS (SELECT page_id, 'sec-001' AS block_uid, 'section' AS block_type, 1 AS level, NULL::INT AS items, NULL AS list_kind, trim({_named("regexp_extract(html, '<h1>(.*?)</h1>', 1)")}) AS text FROM pages UNION ALL
+SELECT page_id, 'p-' || lpad(row_number() OVER (PARTITION BY page_id ORDER BY k)::VARCHAR, 4, '0'), 'paragraph', NULL, NULL, NULL, regexp_replace(CASE WHEN bold THEN '**' || x || '**' ELSE x END, '\s+([,.;:])', '\1', 'g') FROM q WHERE x <> '' UNION ALL
+SELECT page_id, 'lst-0001', 'list', NULL, count(*)::INT, 'unordered', string_agg(regexp_replace(regexp_replace(x, '<li><a href="([^"]*)">([^<]*)</a></li>', '- [\2](\1)'), '\s+([,.;:])', '\1', 'g'), chr(10) ORDER BY k) FROM l GROUP BY 1)"""
+
+
+@query(f"WITH {PAGE_BLOCKS} SELECT * FROM b WHERE text <> ''")
+def page_tree(t):
+    """Typed blocks of pages, numbered by kind, with lists and emphasis as Markdown."""
+    return tree.document_blocks(tables.dealt(t("pages")), "page_id", "html").select("page_id", "block_uid", "block_type", "level", "items", "list_kind", "text")
+
+
+LINKS = "SELECT page_id, x[1] AS href, x[2] AS text FROM (SELECT page_id, unnest(list_zip(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1), regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1))) AS x FROM pages)"
+
+
+@query(LINKS)
+def page_references(t):
+    """Links of the blocks of pages with their texts."""
+    rows = tree.document_blocks(tables.dealt(t("pages")), "page_id", "html")
+    return rows.select("page_id", F.explode("refs").alias("r")).select("page_id", "r.href", "r.text")
+
+
+@query(f"WITH {PAGE_BLOCKS} SELECT block_type, count(*) AS blocks, count(DISTINCT page_id) AS pages, coalesce(sum(items), 0)::BIGINT AS items, max(block_uid) AS last_uid FROM b WHERE text <> '' GROUP BY 1")
+def page_block_counts(t):
+    """Blocks of each type, the pages that hold them, items of lists, and the last id."""
+    rows = tree.document_blocks(tables.dealt(t("pages")), "page_id", "html")
+    return rows.groupBy("block_type").agg(F.count(F.lit(1)).alias("blocks"), F.count_distinct("page_id").alias("pages"), F.coalesce(F.sum("items"), F.lit(0)).cast("long").alias("items"), F.max("block_uid").alias("last_uid"))
+
+
+@query(f"WITH {PAGE_BLOCKS}, a AS (SELECT page_id, unnest(['#p-0002', 'lst-0001', '#sec-009']) AS target FROM pages) SELECT a.page_id, target, block_uid, block_type FROM a LEFT JOIN b ON b.page_id = a.page_id AND block_uid = ltrim(target, '#') AND text <> ''")
+def page_targets(t):
+    """The blocks that link targets name, null where no block has that name."""
+    pages = t("pages")
+    asked = pages.select("page_id", F.explode(F.array(*[F.lit(x) for x in ("#p-0002", "lst-0001", "#sec-009")])).alias("target"))
+    return tree.located(asked, tree.document_blocks(tables.dealt(pages), "page_id", "html"), "page_id", "target")

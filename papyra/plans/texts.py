@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from papyra.functions import text as tx
 from papyra.functions.values import repaired_json
 from papyra.operators import context, mining, search
+from papyra.operators.tables import dealt
 from papyra.plans.registry import query
 from papyra.sources import feeds, html, sinks
 
@@ -18,7 +19,7 @@ TOKENS = f"list_filter(regexp_extract_all(lower(text), '{WORD}+'), lambda w: len
 @query(f"SELECT doc_id, w AS term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS w FROM documents) GROUP BY 1, 2")
 def tokens_tf(t):
     """Term frequencies of every document."""
-    return search.term_counts(t("documents"), "doc_id", "text")
+    return search.term_counts(dealt(t("documents")), "doc_id", "text")
 
 
 BM25 = f"""WITH d AS (SELECT doc_id, {TOKENS} AS w FROM documents), q AS (SELECT unnest(['the','reading','of','that']) AS term),
@@ -30,7 +31,7 @@ r AS (SELECT doc_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))
 @query(BM25 + " SELECT doc_id, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM r ORDER BY rank LIMIT 20")
 def bm25_topk(t):
     """The 20 best documents for a query."""
-    best = search.top(search.bm25_scores(t("documents"), QUERY, "doc_id", "text"), "doc_id", 20)
+    best = search.top(search.bm25_scores(dealt(t("documents")), QUERY, "doc_id", "text"), "doc_id", 20)
     return best.select("doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -48,7 +49,7 @@ s AS (SELECT doc_id, slot, sum(v) AS v FROM p GROUP BY 1, 2 HAVING abs(sum(v)) >
 @query(EMBED + " SELECT doc_id, slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM s")
 def hash_embedding(t):
     """Hashed embeddings of every document, in long form."""
-    return search.hashed_embeddings(t("documents"), "doc_id", "text").withColumn("value", F.round("value", 6))
+    return search.hashed_embeddings(dealt(t("documents")), "doc_id", "text").withColumn("value", F.round("value", 6))
 
 
 PROBE = [((k * 37) % 11 - 5) / 10 for k in range(64)]
@@ -67,7 +68,7 @@ v0 AS (SELECT vec_id AS doc_id, {DOT} AS s FROM embeddings), v AS (SELECT doc_id
 SELECT doc_id, round(score, 6) AS score FROM (SELECT coalesce(a.doc_id, v.doc_id) AS doc_id, CASE WHEN v.doc_id IS NULL THEN a.rr ELSE 0.65 * coalesce(a.rr, 0) + 0.35 * (greatest(s, 0) + v.rr) END AS score FROM a FULL JOIN v ON a.doc_id = v.doc_id) ORDER BY score DESC, doc_id LIMIT 20""")
 def hybrid_topk(t):
     """The 20 best of word and vector search together."""
-    words = search.top(search.bm25_scores(t("documents"), QUERY, "doc_id", "text"), "doc_id", 40)
+    words = search.top(search.bm25_scores(dealt(t("documents")), QUERY, "doc_id", "text"), "doc_id", 40)
     vectors = search.top(search.vector_scores(t("embeddings").withColumnRenamed("vec_id", "doc_id"), PROBE, "doc_id", "embedding"), "doc_id", 40)
     return search.fused(words, vectors, "doc_id").orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", F.round("score", 6).alias("score"))
 
@@ -96,7 +97,7 @@ AND len(list_filter(string_split(phrase, ' '), lambda x: regexp_full_match(x, '\
 SELECT phrase, count(*) AS uses, count(DISTINCT doc_id) AS documents FROM k GROUP BY 1 HAVING count(*) >= 2""")
 def glossary_candidates(t):
     """Phrases of two to four words that are used twice or more."""
-    return mining.glossary_candidates(t("documents"), "doc_id", "text")
+    return mining.glossary_candidates(dealt(t("documents")), "text")
 
 
 TERMS = {"the": "THE", "that": "THAT", "der": "DER"}
@@ -117,14 +118,14 @@ def glossary_apply(t):
 @query("SELECT acronym, count(*) AS uses, count(DISTINCT doc_id) AS documents FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\\b[A-Z]{3,}\\b')) AS acronym FROM documents) GROUP BY 1")
 def term_candidates(t):
     """Acronyms with their uses."""
-    found = mining.acronyms(t("documents"), "doc_id", "text").groupBy("acronym", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    found = mining.acronyms(dealt(t("documents")), "doc_id", "text").groupBy("acronym", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return found.groupBy("acronym").agg(F.sum("n").alias("uses"), F.count(F.lit(1)).alias("documents"))
 
 
 @query()
 def term_cards(t):
     """Spelled-out acronyms by canonical key."""
-    return mining.term_cards(t("documents"), "doc_id", "text")
+    return mining.term_cards(dealt(t("documents")), "doc_id", "text")
 
 
 @query("""SELECT p_partkey, 'term::' || array_to_string(list_transform(string_split(trim(regexp_replace(lower(p_name || 's'), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w:
@@ -150,7 +151,7 @@ def category_hints(t):
 SELECT term, count(*)::DOUBLE AS weight, row_number() OVER (ORDER BY count(*) DESC, min((doc_id, pos)), term) AS rank FROM w GROUP BY 1 ORDER BY rank LIMIT 40""")
 def library_profile(t):
     """The 40 terms of greatest weight, the earlier among equals."""
-    rows = t("documents").select("doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("at", "term"))
+    rows = dealt(t("documents")).select("doc_id", F.posexplode(tx.tokens(F.col("text"))).alias("at", "term"))
     return mining.weighted_top(rows, "term", F.lit(1.0), F.struct("doc_id", "at"), 40).select("term", "weight", "rank")
 
 
@@ -168,7 +169,7 @@ def recommend_rank(t):
 @query()
 def seed_keywords(t):
     """Eight phrases that describe each language's documents, none covered by an earlier one."""
-    counts = mining.phrases(t("documents"), "lang", "text").groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
+    counts = mining.phrases(dealt(t("documents")), "lang", "text").groupBy("lang", "phrase").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
     return mining.seed_keywords(counts, "lang")
 
 
@@ -217,7 +218,7 @@ def validate_pairs(t):
 @query("SELECT doc_id, lpad(row_number() OVER (PARTITION BY doc_id ORDER BY run)::VARCHAR, 5, '0') AS place, md5(string_agg(line, chr(10) ORDER BY pos)) AS digest FROM (SELECT doc_id, pos, line, sum(CASE WHEN line = '' OR before = '' OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM (SELECT *, lag(trim(line)) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents))) WHERE trim(line) <> '' GROUP BY doc_id, run")
 def markdown_blocks(t):
     """Blocks of Markdown texts; these texts hold neither headings nor code."""
-    return context.markdown_blocks(t("documents"), "doc_id", "text").select("doc_id", "place", F.md5("markdown").alias("digest"))
+    return context.markdown_blocks(dealt(t("documents")), "doc_id", "text").select("doc_id", "place", F.md5("markdown").alias("digest"))
 
 
 @query("SELECT conv_id, turn, printf('%s-%04d', CASE role WHEN 'user' THEN 'p' WHEN 'assistant' THEN 's' ELSE 'b' END, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn)) AS block_uid FROM conversations")
@@ -245,7 +246,7 @@ CLEAN = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_repl
 @query(f"SELECT page_id, md5({CLEAN}) AS digest, length({CLEAN})::INT AS chars FROM pages")
 def html_clean(t):
     """Text of pages."""
-    return t("pages").select("page_id", tx.html_text(F.col("html")).alias("x")).select("page_id", F.md5("x").alias("digest"), F.length("x").alias("chars"))
+    return dealt(t("pages")).select("page_id", tx.html_text(F.col("html")).alias("x")).select("page_id", F.md5("x").alias("digest"), F.length("x").alias("chars"))
 
 
 @query("SELECT page_id, unnest(range(len(h))) AS place, unnest(h) AS href FROM (SELECT page_id, regexp_extract_all(html, '<a\\s[^>]*?href=\"([^\"]*)\"', 1) AS h FROM pages)")
@@ -257,7 +258,7 @@ def html_links(t):
 @query()
 def html_blocks(t):
     """Blocks of pages."""
-    return html.html_blocks(t("pages"), "page_id", "html")
+    return html.html_blocks(dealt(t("pages")), "page_id", "html")
 
 
 TITLE = "trim(regexp_replace(lower(regexp_extract(html, '<h1>(.*?)</h1>', 1)), '[^a-z0-9]+', ' ', 'g'))"

@@ -110,7 +110,7 @@ def test_context(spark):
 
 def test_mining(spark):
     docs = spark.createDataFrame([(1, "Graph Neural Network (GNN) and graph neural network"), (2, "the graph neural network. Use `graph` here")], "id int, text string")
-    found = {r.phrase: (r.uses, r.documents) for r in mining.glossary_candidates(docs, "id", "text").collect()}
+    found = {r.phrase: (r.uses, r.documents) for r in mining.glossary_candidates(docs, "text").collect()}
     assert found["graph neural network"] == (3, 2) and "the graph" not in found
     assert rows(mining.term_cards(docs, "id", "text").select("key", "abbreviation", "uses")) == [("GNN::graph neural network", "GNN", 1)]
     guarded = docs.select(mining.protected_glossary({"graph": "G"})("text").alias("x")).collect()[1]["x"]
@@ -241,7 +241,7 @@ def test_streams(spark, tmp_path):
     assert sent[-1] == [("claim", 1), ("complete", 1), ("pause", 1)]
 
 
-@pytest.mark.parametrize("op", [lambda d: context.markdown_blocks(d, "id", "text"), lambda d: search.term_counts(d, "id", "text"), lambda d: mining.glossary_candidates(d, "id", "text"), lambda d: html.html_blocks(d, "id", "text")])
+@pytest.mark.parametrize("op", [lambda d: context.markdown_blocks(d, "id", "text"), lambda d: search.term_counts(d, "id", "text"), lambda d: mining.glossary_candidates(d, "text"), lambda d: html.html_blocks(d, "id", "text")])
 def test_empty_tables(spark, op):
     assert op(spark.createDataFrame([], "id int, text string")).count() == 0
 
@@ -272,3 +272,33 @@ def test_page_documents(spark):
 
     page = spark.createDataFrame([(1, "<h1>T</h1><p>a</p>")], "id int, html string")
     assert rows(page_documents(page, "id", "html")) == [(1, "# T\n\na")]
+
+
+PAPER = """<div class="ltx_toc"><ul><li>x</li></ul></div><h2 id="S1">Intro</h2><p>A <b>bold</b> <a href="#bib.b1">[Ann 2020]</a> , <math alttext="x"></math><p>[email=a, orcid=b]</p>
+<ol class="ltx_enumerate"><li><span class="ltx_tag_item">1.</span> one<ul><li>in</li></ul> tail</li><li>two</li></ol>
+<figure id="F1" class="ltx_figure"><img src="a.png"><figcaption>Figure 1: A cat</figcaption></figure>
+<table class="ltx_eqn_table"><tr><td><math alttext="a"></math><math alttext="b"></math></td><td class="ltx_eqn_eqno">(1)</td></tr><tr><td><math alttext="c"></math></td></tr></table>
+<figure><figcaption>Table 2: T</figcaption></figure><figure id="S1"><svg class="tikz"></svg></figure><figure class="ltx_algorithm"><p>code</p></figure>"""
+
+
+def test_tree(spark):
+    from papyra.sources import tree
+
+    pages = spark.createDataFrame([(1, PAPER, "x"), (2, None, "y"), (3, "", "z"), (None, "<p>n", "w"), (4, "<b>" * 5000 + "<p>deep " + "</i>" * 9, "v")], "id int, html string, text string")
+    found = {(r.id, r.block_uid): r for r in tree.document_blocks(pages, "id", "html", ("email", "ORCID")).collect()}
+    assert {k: (r.level, r.label, r.text) for k, r in found.items() if k[0] == 1} == {
+        (1, "sec-001"): (2, "S1", "Intro"),
+        (1, "p-0001"): (None, None, "A **bold** [Ann 2020](#bib.b1), $x$"),
+        (1, "lst-0001"): (None, None, "1. one tail\n  - in\n2. two"),
+        (1, "fig-0001"): (None, "F1", "**Figure 1.** A cat"),
+        (1, "eq-0001"): (None, None, "\\begin{aligned}\na b \\\\\nc\n\\end{aligned}"),
+        (1, "tbl-0001"): (None, None, "**Table 1.** T"),
+        (1, "fig-0002"): (None, "S1", "**Figure 2.** Figure 2"),
+        (1, "alg-0001"): (None, None, "**Algorithm 1.** code"),
+    }
+    assert found[1, "fig-0001"].files == ["a.png"] and found[1, "fig-0002"].drawn == "tikz" and found[1, "eq-0001"].numbers == ["(1)"]
+    assert (found[1, "lst-0001"].items, found[1, "lst-0001"].list_kind) == (2, "ordered") and found[1, "p-0001"].refs[0].text == "[Ann 2020]"
+    assert {k for k in found if k[0] != 1} == {(None, "p-0001")} and tree.document_blocks(pages.limit(0), "id", "html").count() == 0
+    asked = spark.createDataFrame([(1, "#S1"), (1, "fig-0001"), (1, "#no"), (9, "S1"), (1, None)], "id int, target string")
+    at = {(r.id, r.target): r.block_uid for r in tree.located(asked, tree.document_blocks(pages, "id", "html"), "id", "target").collect()}
+    assert at == {(1, "#S1"): "sec-001", (1, "fig-0001"): "fig-0001", (1, "#no"): None, (9, "S1"): None, (1, None): None}
