@@ -104,11 +104,15 @@ def memory_hits(items: DataFrame, memory: DataFrame, keys: list[str], null_safe:
     return chosen(items.alias("i").join(memory.alias("m"), on).select(F.col(f"i.{id_col}").alias("papyra_id"), "m.*"), ["papyra_id"], order).withColumnRenamed("papyra_id", "item_id")
 
 
+#: Tables of this many files or more stay where they are.
+FEW = 8
+
+
 def dealt(rows: DataFrame) -> DataFrame:
-    """The same rows, dealt out over all cores if they lie in fewer files than that; for work that takes longer for a row than moving it.
+    """The same rows, dealt out over all cores if they lie in a few files, less than FEW and less than cores; for work that takes longer for a row than moving it.
 
-    A file may be a single row group, which one task reads. Tables of many files stay where they are; columns and
+    A file may be a single row group, which one task reads. Larger tables have more files and aren't moved; columns and
     filters reach the scan in either case.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if 0 < len(rows.inputFiles()) < cores else rows
+    return rows.repartition(cores) if 0 < len(rows.inputFiles()) < min(cores, FEW) else rows
