@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from papyra.operators.tables import dealt
+
 #: Texts are handled inside a task in slices of about this many bytes, whatever size the Arrow batches have.
 SLICE_BYTES = 4 << 20
 ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -21,11 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole input table, read by Spark alone (the folder may be in any store that Spark knows).
 
     Where the session doesn't say how many rows an Arrow batch holds, it is set to 1,000: rows are texts here, and a
-    batch is held in memory on both sides of the pipe.
+    batch is held in memory on both sides of the pipe. Tables of a few files are dealt out over all cores, as a file may
+    be a single row group; larger ones are read where they lie.
     """
     if spark.conf.get(ROWS_A_BATCH, None) is None:
         spark.conf.set(ROWS_A_BATCH, "1000")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def work_dir(spark: SparkSession) -> str:
