@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import ann, audio, binary_pack, bpe, jaccard, lm, mixture, repeats, token_counts, toxicity
+from papyra.llm import ann, audio, binary_pack, bpe, divergence, jaccard, lm, mixture, repeats, token_counts, toxicity
 from papyra.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,11 +67,40 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ in terms, over all documents."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB SQL of op13_divergence.
+DIVERGENCE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+w AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT k) AS docs FROM (SELECT k, lang, source, unnest(words) AS term FROM d) GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM w GROUP BY ALL HAVING sum(docs) >= 3),
+size AS (SELECT lang, coalesce(v, 0) AS v, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang FROM d) LEFT JOIN (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY 1) USING (lang)),
+own AS (SELECT lang, source, term, n FROM w SEMI JOIN kept USING (lang, term)),
+g AS (SELECT lang, source, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN (SELECT lang, source, sum(n) AS n FROM own GROUP BY ALL) USING (lang, source)),
+p AS (SELECT lang, source, term, coalesce(own.n, 0) AS count, 1 + 1000000000::HUGEINT * (coalesce(own.n, 0) + 1) // (g.n + size.v) AS p
+  FROM g JOIN size USING (lang) JOIN kept USING (lang) LEFT JOIN own USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source AS s, b.source AS o, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x
+  ON x.lang = a.lang AND s = a.source AND o = b.source),
+best AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value
+  FROM p JOIN (SELECT lang, term, 1 + 1000000000::HUGEINT * (kept.n + 1) // (size.n + size.v) AS q FROM kept JOIN size USING (lang)) USING (lang, term) WHERE count > 0 AND p > q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+  FROM (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM best))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def queries() -> dict[str, Query]:
     """Every query of this subpackage by its registered name."""
-    return {f.__name__: f for f in (op1_bpe, op2_ann, op3_brown_lm, op4_packed, op5_token_counts, op6_mixture, op7_jaccard, op8_audio, op9_repeats, op10_toxicity)}
+    return {f.__name__: f for f in (op1_bpe, op2_ann, op3_brown_lm, op4_packed, op5_token_counts, op6_mixture, op7_jaccard, op8_audio, op9_repeats, op10_toxicity, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those that SQL can express over whole tables."""
-    return {}
+    return {"op13_divergence": DIVERGENCE}
