@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import ann, audio, binary_pack, bpe, divergence, jaccard, lm, mixture, repeats, token_counts, toxicity
+from papyra.llm import ann, audio, binary_pack, bpe, collocations, divergence, jaccard, lm, mixture, repeats, token_counts, toxicity
 from papyra.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,6 +67,30 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 collocations of 2 and 3 words, over all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB SQL of op11_collocations.
+COLLOCATIONS = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(regexp_extract_all(text, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM d)),
+g AS (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM p, (VALUES (1), (2), (3)) s(size) WHERE len(w) >= size),
+f AS (SELECT lang, array_to_string(w[i : i + size - 1], ' ') AS phrase, size, count(*)::HUGEINT AS n FROM g GROUP BY ALL),
+total AS (SELECT lang, sum(n) AS n FROM f WHERE size = 1 GROUP BY 1),
+c AS (SELECT lang, phrase, size, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND n >= 10),
+cut AS (SELECT c.lang, c.phrase, c.size, a, k, x.n AS l, y.n AS r, 1000000 * a * a // (x.n * y.n) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1 : k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[k + 1 : c.size], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+gone AS (SELECT DISTINCT s.lang, s.phrase FROM c s JOIN c t ON s.lang = t.lang AND s.size = 2 AND t.size = 3 AND (s.w = t.w[1 : 2] OR s.w = t.w[2 : 3]) AND 100 * t.a >= 50 * s.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, total.n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT * FROM best ANTI JOIN gone USING (lang, phrase)) JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the sources of each language differ in terms, over all documents."""
     return divergence.audit(table(spark, sf_dir, "documents"))
@@ -98,9 +122,9 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank F
 
 def queries() -> dict[str, Query]:
     """Every query of this subpackage by its registered name."""
-    return {f.__name__: f for f in (op1_bpe, op2_ann, op3_brown_lm, op4_packed, op5_token_counts, op6_mixture, op7_jaccard, op8_audio, op9_repeats, op10_toxicity, op13_divergence)}
+    return {f.__name__: f for f in (op1_bpe, op2_ann, op3_brown_lm, op4_packed, op5_token_counts, op6_mixture, op7_jaccard, op8_audio, op9_repeats, op10_toxicity, op11_collocations, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those that SQL can express over whole tables."""
-    return {"op13_divergence": DIVERGENCE}
+    return {"op11_collocations": COLLOCATIONS, "op13_divergence": DIVERGENCE}
