@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from papyra.llm import ann, audio, binary_pack, bpe, collocations, divergence, jaccard, lm, mixture, repeats, token_counts, toxicity
+from papyra.llm import ann, audio, binary_pack, bpe, collocations, divergence, jaccard, language, lm, mixture, repeats, token_counts, toxicity
 from papyra.llm.common import fresh_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -91,6 +91,14 @@ FROM (SELECT * FROM best ANTI JOIN gone USING (lang, phrase)) JOIN total USING (
 """
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text of documents, learned from four fifths of the ids."""
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fit(language.training(docs)))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the sources of each language differ in terms, over all documents."""
     return divergence.audit(table(spark, sf_dir, "documents"))
@@ -122,7 +130,7 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank F
 
 def queries() -> dict[str, Query]:
     """Every query of this subpackage by its registered name."""
-    return {f.__name__: f for f in (op1_bpe, op2_ann, op3_brown_lm, op4_packed, op5_token_counts, op6_mixture, op7_jaccard, op8_audio, op9_repeats, op10_toxicity, op11_collocations, op13_divergence)}
+    return {f.__name__: f for f in (op1_bpe, op2_ann, op3_brown_lm, op4_packed, op5_token_counts, op6_mixture, op7_jaccard, op8_audio, op9_repeats, op10_toxicity, op11_collocations, op12_language, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
