@@ -1,18 +1,16 @@
 """Words and word shingles as 64-bit hashes, for whole batches at once.
 
-Words are the runs `[^\\x20\\x09-\\x0D]+` of a text's UTF-8 bytes with A-Z lower-cased. A word's hash is a polynomial in
-its bytes modulo 2^64, mixed with its length. Two different words, or two different shingles, share a hash with a
-probability of about 2^-64 a pair.
+Words are the runs `[^\\x20\\x09-\\x0D]+` of a text's UTF-8 bytes with A-Z lower-cased. A word's hash sums its blocks of
+eight bytes, each mixed with its place before, so no words share one by the structure of the sum; the total is mixed with
+the word's length. Two different words, or two different shingles, share a hash with a probability of about 2^-64 a pair.
 """
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 
-#: Bytes that are hashed at once; longer words extend a block.
-BLOCK_BYTES = 1 << 18
+#: Bytes that are hashed at once; a longer word is a turn of its own.
+BLOCK_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 GRAM = np.uint64(0xC2B2AE3D27D4EB4F)
 WHITE = np.zeros(256, bool)
@@ -29,18 +27,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of BASE, and of its inverse modulo 2^64."""
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    out = []
-    for base in (BASE, inverse):
-        x = np.full(n, base, np.uint64)
-        x[0] = 1
-        out.append(np.multiply.accumulate(x))
-    return out[0], out[1]
-
-
 #: Maps ASCII punctuation to blanks and A-Z to a-z, for joined(..., plain=True).
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
@@ -65,22 +51,31 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hash_spans(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of each word."""
+    """The hash of each word; words have a byte at least and follow one another."""
     out = np.empty(len(begins), np.uint64)
     k = 0
     while k < len(begins):
-        first = begins[k]
-        last = max(k + 1, int(np.searchsorted(ends, first + BLOCK_BYTES, "right")))
-        n = int(ends[last - 1] - first)
-        up, down = _powers(1 << max(BLOCK_BYTES.bit_length() - 1, (n - 1).bit_length()))
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((data[first : first + n].astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-        a, b = begins[k:last] - first, ends[k:last] - first
-        out[k:last] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * GRAM)
+        last = max(k + 1, int(np.searchsorted(ends, begins[k] + BLOCK_BYTES, "right")))
+        out[k:last] = _hash_some(data[begins[k] : ends[last - 1]], begins[k:last] - begins[k], ends[k:last] - begins[k])
         k = last
     return out
 
 
+def _hash_some(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    raw = np.zeros(len(data) + 8, np.uint8)
+    raw[: len(data)] = data
+    window = np.ndarray(len(data) + 1, "<u8", raw.data, strides=(1,))  # the eight bytes from each place
+    sizes = ends - begins
+    blocks = (sizes + 7) >> 3
+    first = np.cumsum(blocks) - blocks
+    place = np.arange(int(blocks.sum())) - np.repeat(first, blocks)
+    rest = np.repeat(sizes, blocks) - (place << 3)
+    values = window[np.repeat(begins, blocks) + (place << 3)]
+    values &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (np.uint64(8) - np.minimum(rest, 8).astype(np.uint64)))
+    values = mix(values ^ mix((place + 1).astype(np.uint64) * BASE))
+    return mix(np.add.reduceat(values, first) + sizes.astype(np.uint64) * GRAM)
+
+
 def hash_words(texts: list[str], plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words of all texts, number of words of each text)."""
     data, text_begins = joined(texts, plain)

@@ -244,3 +244,14 @@ def test_pipeline_on_the_smallest_tables(spark):
     sizes = [r.n for r in out.groupBy("sequence_id").agg({"length": "sum"}).withColumnRenamed("sum(length)", "n").orderBy("sequence_id").collect()]
     assert sizes and all(n == 1024 for n in sizes[:-1]) and 0 < sizes[-1] <= 1024
     assert out.select("doc_id").distinct().count() > 100
+
+
+def test_words_whose_polynomials_agree(spark):
+    """A word of 1,024 bytes and its complement are different words to either operator."""
+    one = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{k}" for k in range(49))
+    docs = spark.createDataFrame([(1, one), (2, two), (3, two), (4, f"{one} {rest}"), (5, f"{two} {rest}")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs.where("doc_id < 4")).collect()}
+    assert got == {1: 1, 2: 2, 3: 2}
+    assert repeats.repeated_passages(docs.where("doc_id > 3")).count() == 0

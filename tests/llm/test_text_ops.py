@@ -325,3 +325,97 @@ def test_columns_may_clash(docs):
     odd = docs.select(F.col("doc_id").alias("key"), F.col("text").alias("body"), F.lit("x").alias("doc_id"), F.lit("y").alias("text"))
     assert bpe.encode(odd, "byte_bpe_50k.tiktoken", "key", "body").count() == len(TEXTS)
     assert audio.store_audio(odd, "key", "body").count() == len(TEXTS)
+
+
+def test_every_code_point_as_library():
+    """All code points among letters, numbers, blanks and signs."""
+    name = "byte_bpe_multi_50k.tiktoken"
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f" X{chr(c)}a1{chr(c)} {chr(c)}!" for c in points[k : k + 2048]) for k in range(0, len(points), 2048)]
+    for k in range(0, len(texts), 32):
+        ids, counts, _, _ = bpe.ranks(name).encode(texts[k : k + 32])
+        want = [encoding(name).encode_ordinary(x) for x in texts[k : k + 32]]
+        assert counts.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+
+
+def complements(size):
+    """Two words whose polynomials in the bytes agree modulo 2^64, whatever the odd base."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(size))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("size", [512, 1024, 2048, 4096])
+def test_word_hashes_have_no_certain_collisions(size):
+    one, two = complements(size)
+    hashes = hash_words([f"{one} {two} {one}c {two}c"])[0].tolist()
+    assert len(set(hashes)) == 4
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab\x00é \n", max_size=30)))
+def test_word_hashes_follow_words(texts):
+    hashes, counts = hash_words(texts)
+    words = [x for t in texts for x in t.replace("\n", " ").split(" ") if x]
+    assert counts.sum() == len(words)
+    named = {}
+    for w, h in zip(words, hashes.tolist(), strict=True):
+        assert named.setdefault(w, h) == h
+    assert len(set(named.values())) == len(named)
+
+
+def test_complements_are_different_words(spark):
+    one, two = complements(1024)
+    held = next(k for k in range(100, 999) if zlib.crc32(str(k).encode()) % 10 == 0)
+    docs = spark.createDataFrame([(k, f"{one} seen", "x") for k in range(8)] + [(held, two, "x")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in lm.score(docs, classes=4, units=10, rounds=1).collect()}
+    assert got[held].n_known == 1 and got[held].n_tokens == 2  # the end alone
+
+
+def plain_ftrl(rows, labels, epochs, alpha, beta, l1, l2):
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        penalty = 0.0 if k == toxicity.DIMENSIONS else l1
+        return 0.0 if abs(z[k]) <= penalty else -(z[k] - math.copysign(penalty, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    for _ in range(epochs):
+        for row, label in zip(rows, labels, strict=True):
+            ws = {k: weight(k) for k in row}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(ws.values()))))) - label
+            for k in row:
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha * ws[k]
+                n[k] += g * g
+    return {k: weight(k) for k in z if weight(k)}
+
+
+@pytest.mark.parametrize(("alpha", "l1", "l2"), [(1.0, 4.0, 0.0), (0.3, 0.5, 0.1), (0.1, 0.0, 1.0)])
+def test_ftrl_by_hand(alpha, l1, l2):
+    random.seed(3)
+    texts = [" ".join(random.choice(["mild", "kind", "slur", "awfully", "bad"]) for _ in range(random.randint(0, 6))) for _ in range(60)]
+    labels = [int("slur" in x) for x in texts]
+    rows = [[*x.tolist(), toxicity.DIMENSIONS] for x in toxicity.documents(texts)]
+    want = plain_ftrl(rows, labels, 3, alpha, 1.0, l1, l2)
+    got = toxicity.ftrl(texts, labels, 3, alpha, 1.0, l1, l2)
+    found = dict(zip(got.index.tolist(), got.weight.tolist(), strict=True)) | {toxicity.DIMENSIONS: got.bias}
+    assert {k: pytest.approx(v) for k, v in want.items()} == {k: v for k, v in found.items() if v}
+    weight = np.append(got.dense(), 0.0)
+    for text, row, p in zip(texts, rows, toxicity.probabilities(texts, weight, got.bias), strict=True):
+        assert p == pytest.approx(1 / (1 + math.exp(-sum(found.get(k, 0.0) for k in row)))), text
+
+
+def test_features_by_hand():
+    """Distinct words, pairs, pairs over a gap and stems of a text."""
+    (one,) = toxicity.documents(["Awful awful words, here!"])
+    assert len(one) == 3 + 3 + 2 + len({("awful"[:k], k) for k in toxicity.STEMS} | {(w[:k], k) for w in ("words", "here") for k in toxicity.STEMS})
+    assert [len(x) for x in toxicity.documents(["", "a", "a a"])] == [0, 1 + len(toxicity.STEMS), 2 + len(toxicity.STEMS)]
+
+
+def test_calibration():
+    rng = np.random.default_rng(2)
+    total = rng.normal(0, 3, 20_000)
+    label = (rng.random(20_000) < 1 / (1 + np.exp(-(1.7 * total + 0.6)))).astype(int)
+    slope, shift = toxicity.calibrated(total, label)
+    assert abs(slope - 1.7) < 0.1 and abs(shift - 0.6) < 0.1
+    assert toxicity.calibrated(total, label * 0) == (1.0, 0.0) and toxicity.calibrated(-total, label) == (1.0, 0.0)
+    slope, shift = toxicity.calibrated(np.array([-5.0, -4.0, 4.0, 5.0]), np.array([0, 0, 1, 1]))
+    assert 0 < slope < 10 and abs(shift) < 10
