@@ -38,6 +38,13 @@ BEGIN, IN_LETTERS, IN_NUMBERS, IN_OTHERS, QUOTE, IN_WHITE, TAKEN, HALF = range(8
 STATES = 8
 #: White space by the Unicode property White_Space (fixed values).
 WHITE_SPACE = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+#: Letters and numbers of Unicode 16, which the library knows and Python's tables (15.1) don't (fixed values).
+NEW_LETTERS = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
+NEW_NUMBERS = [(0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA)]
 BLOCK = 256
 #: The rank of a pair that doesn't merge.
 NO_PAIR = 1 << 40
@@ -50,6 +57,9 @@ def classes() -> np.ndarray:
     """The class of each code point."""
     letters = {"L": LETTER, "N": NUMBER}
     out = np.fromiter((letters.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+    for kind, ranges in ((LETTER, NEW_LETTERS), (NUMBER, NEW_NUMBERS)):
+        for a, b in ranges:
+            out[a : b + 1] = kind
     out[WHITE_SPACE] = _WHITE
     for c, kind in ((" ", _SPACE), ("'", APOSTROPHE), ("s", CLOSER), ("t", CLOSER), ("m", CLOSER), ("d", CLOSER), ("r", _R_OR_V), ("v", _R_OR_V), ("l", _L), ("e", _E)):
         out[ord(c)] = kind
@@ -384,7 +394,7 @@ def encode(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
     One row per input row, repeated rows included. A null text counts as empty; an empty text has no ids. No special
     tokens are added or recognised. Texts are whole: a long one is encoded in one piece. Other columns are not read.
-    Characters that Unicode assigned after the version of Python's unicodedata count as neither letters nor numbers.
+    Letters and numbers are those of Unicode 16, as the library has them.
     """
     return id_text(df, id_col, text_col).mapInArrow(lambda batches: encoded(batches, vocabulary), ENCODED)
 
