@@ -19,6 +19,7 @@ from papyra.operators.tables import dealt
 SLICE_BYTES = 4 << 20
 ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A whole input table, read by Spark alone (the folder may be in any store that Spark knows).
 
@@ -145,6 +146,14 @@ def bit_table(rows: DataFrame, column: str, bits: int) -> np.ndarray:
     return gathered_bits(rows.select(column).mapInArrow(split, "bucket long, hashes binary").groupBy("bucket").applyInArrow(fold, "bucket long, bits binary").toArrow(), bits)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as it takes for df to have no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under names of its own, so that further columns can't clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

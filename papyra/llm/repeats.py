@@ -23,7 +23,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.llm.common import bit_slice, bucket_bits, dealt_by_range, gathered_bits, has_bit, slices, texts_of, written
+from papyra.llm.common import bit_slice, bucket_bits, dealt_by_range, gathered_bits, has_bit, slices, texts_of, unused, written
 from papyra.llm.words import BASE, GRAM, grams, hash_words, joined, mix, word_spans
 
 #: Words of the least passage; words of a key; places that a key can have in a window.
@@ -348,7 +348,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A text of which nothing but white space is left goes with its row; all other rows stay. length_col, where docs have
     it, is set to the new length of the texts that change.
     """
-    mark, spans = "papyra_row", "papyra_spans"
+    mark, spans, whole = (unused(docs, f"papyra_{x}") for x in ("row", "spans", "text"))
     gone = later_occurrences(docs, id_col, text_col).groupBy(F.col("row").alias(mark)).agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias(spans))
     text = F.col(text_col).cast("string")
     both = docs.withColumn(mark, F.xxhash64(F.col(id_col).cast("long"), text)).join(gone, mark, "left")
@@ -358,9 +358,9 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return texts.combine(spans_of, cut_words)
 
     rest = F.when(F.col(spans).isNotNull(), cut(text, F.col(spans))).otherwise(text)
-    columns = [rest.alias(c) if c == text_col else F.when(F.col(spans).isNotNull(), F.length("papyra_text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in docs.columns]
-    out = both.withColumn("papyra_text", rest).where(F.col(spans).isNull() | F.col("papyra_text").rlike("[^\\x20\\x09-\\x0D]"))
-    return out.select(*[F.col("papyra_text").alias(c) if c == text_col else x for c, x in zip(docs.columns, columns, strict=True)])
+    columns = [rest.alias(c) if c == text_col else F.when(F.col(spans).isNotNull(), F.length(whole)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == length_col else F.col(c) for c in docs.columns]
+    out = both.withColumn(whole, rest).where(F.col(spans).isNull() | F.col(whole).rlike("[^\\x20\\x09-\\x0D]"))
+    return out.select(*[F.col(whole).alias(c) if c == text_col else x for c, x in zip(docs.columns, columns, strict=True)])
 
 
 def cut_words(text: str, spans) -> str:

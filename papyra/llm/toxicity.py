@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import id_text, slices, texts_of
+from papyra.llm.common import id_text, slices, texts_of, unused
 from papyra.llm.words import GRAM, hash_spans, joined, mix, word_spans
 
 #: Hashed coordinates, the bias at the end.
@@ -198,7 +198,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7, text_col:
     Null and empty texts get the bias alone. Ids don't matter here: rows without one, and repeated rows, stay or go by
     their texts. An empty table gives no rows.
     """
-    shared, text = docs.sparkSession.sparkContext.broadcast(model), "papyra_text"
+    shared, text = docs.sparkSession.sparkContext.broadcast(model), unused(docs, "papyra_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, bias = np.append(shared.value.dense(), 0.0), shared.value.bias

@@ -255,3 +255,24 @@ def test_words_whose_polynomials_agree(spark):
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs.where("doc_id < 4")).collect()}
     assert got == {1: 1, 2: 2, 3: 2}
     assert repeats.repeated_passages(docs.where("doc_id > 3")).count() == 0
+
+
+def test_pipeline_stages_with_odd_rows_and_clashing_columns(spark):
+    """Each filtering stage on nulls, empty and repeated texts, and columns of the names that it would use itself."""
+    from papyra.llm import toxicity
+
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, text), (2, text), (2, text), (3, None), (None, "some words"), (4, ""), (5, text + " and more words here"), (6, "same " * 5000), (7, " ")]
+    names = ["papyra_kept_id", "papyra_row", "papyra_spans", "papyra_text", "papyra_text_", "label", "begin", "end"]
+    docs = spark.createDataFrame([(*r, *"abcdefgh") for r in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    model = toxicity.fit(docs, spark.createDataFrame([(1, 0)], "doc_id long, toxic int"))
+    for stage in (lambda d: toxicity.keep_clean(d, model), jaccard.keep_one, repeats.cut_repeats):
+        out = stage(docs)
+        assert out.columns == docs.columns and stage(docs.where("false")).count() == 0
+        kept = out.collect()
+        assert {r.label for r in kept} == {"f"} and {r.papyra_text_ for r in kept} == {"e"}
+    ids = lambda d: sorted(str(r.doc_id) for r in d.select("doc_id").collect())
+    assert ids(toxicity.keep_clean(docs, model)) == sorted(str(k) for k, _ in rows)
+    assert ids(jaccard.keep_one(docs)) == ["1", "3", "4", "6", "7", "None"]
+    cut = {r.doc_id: r.text for r in repeats.cut_repeats(docs).collect()}
+    assert cut[1] == text and 2 not in cut and cut[5].split() == ["and", "more", "words", "here"] and cut[6] == "same " * 5000
