@@ -32,32 +32,31 @@ IDS = {"section": ("sec", 3), "paragraph": ("p", 4), "equation": ("eq", 4), "fig
 FILE_KEYS = ("src", "data", "href", "xlink:href")
 #: Drawing code, the first that is found, by what betrays it (fixed values).
 DRAWN = (("pgfplots", ("pgfplots", "axis}")), ("tikz", ("tikz",)), ("pstricks", ("pstricks", "pspicture")))
+#: Prefixes that attributes of these namespaces go by (fixed values).
+PREFIXES = {"http://www.w3.org/1999/xlink": "xlink", "http://www.w3.org/XML/1998/namespace": "xml"}
+#: Elements that inline() reads as a whole.
+WHOLE = ("math", "br", "script", "style", "annotation")
 INLINE = {"b": "**", "strong": "**", "i": "*", "em": "*", "code": "`"}
 OPTION = re.compile(r"^\s*([A-Za-z][\w-]*)\s*=")
 CAPTION_KIND = re.compile(r"\s*(table|algorithm|figure)\s+\d+", re.I)
 CAPTION_TAG = re.compile(r"^\s*(?:figure|fig\.|table|algorithm|alg\.)\s+\d+[.:]\s*", re.I)
 
 
-#: Elements deeper than this are left out and their text goes to the one around them.
-DEEPEST = 200
-
-
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.out, self.open = ET.TreeBuilder(), ["document"]
+        self.out, self.open, self.count = ET.TreeBuilder(), ["document"], Counter()
         self.out.start("document", {})
 
     def handle_starttag(self, tag: str, attributes: list) -> None:
-        if tag in ENDS_PARAGRAPH and "p" in self.open:
+        if tag in ENDS_PARAGRAPH and self.count["p"]:
             self.handle_endtag("p")
-        if len(self.open) > DEEPEST:
-            return
         self.out.start(tag, {k: v or "" for k, v in attributes})
         if tag in VOID:
             self.out.end(tag)
         else:
             self.open.append(tag)
+            self.count[tag] += 1
 
     def handle_startendtag(self, tag: str, attributes: list) -> None:
         self.handle_starttag(tag, attributes)
@@ -65,10 +64,12 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.open[1:]:
-            while (top := self.open.pop()) != tag:
+        if self.count[tag]:
+            top = None
+            while top != tag:
+                top = self.open.pop()
+                self.count[top] -= 1
                 self.out.end(top)
-            self.out.end(tag)
 
     def handle_data(self, data: str) -> None:
         self.out.data(data)
@@ -87,6 +88,26 @@ def tree_of(html: str | None) -> ET.Element:
     return builder.tree()
 
 
+def xml_tree(text: str | None) -> ET.Element | None:
+    """A well-formed document as a tree of local names, its attributes with the usual prefixes; None for any other text."""
+    try:
+        root = ET.fromstring(text or "")
+    except (ET.ParseError, ValueError):  # what isn't XML, and declarations that contradict the text
+        return None
+    for e in root.iter():
+        e.tag = e.tag.rpartition("}")[2]
+        for key in [k for k in e.attrib if k.startswith("{")]:
+            space, _, name = key[1:].partition("}")
+            e.set(f"{PREFIXES[space]}:{name}" if space in PREFIXES else name, e.attrib.pop(key))
+    return root
+
+
+def page_tree(text: str | None) -> ET.Element:
+    """A page read as XML where it is well formed, else as HTML."""
+    root = xml_tree(text)
+    return tree_of(text) if root is None else root
+
+
 def classes(e: ET.Element) -> str:
     return e.get("class", "").lower()
 
@@ -115,27 +136,39 @@ def formulas(e: ET.Element) -> str | None:
     return rows[0] if len(rows) == 1 else "\\begin{aligned}\n" + " \\\\\n".join(rows) + "\n\\end{aligned}"
 
 
+def _whole(x: ET.Element) -> str:
+    """What an element of WHOLE becomes within a line."""
+    if x.tag != "math":
+        return " " if x.tag == "br" else ""
+    tex = tex_of(x)
+    return "$" + tex.replace("$", r"\$") + "$" if tex else plain(x)
+
+
+def _wrapped(x: ET.Element, inside: str) -> str:
+    """An element's inline content with its marks."""
+    text = " ".join(inside.split())
+    if text and x.tag == "a" and x.get("href"):
+        label = text[1:-1] if text.startswith("[") and text.endswith("]") else text
+        return f"[{label}]({x.get('href')})"
+    return INLINE[x.tag] + text + INLINE[x.tag] if text and x.tag in INLINE else inside
+
+
 def inline(e: ET.Element) -> str:
-    """An element's content as Markdown on one line: emphasis, code, links and formulas."""
-
-    def part(x: ET.Element) -> str:
-        if x.tag == "math":
-            tex = tex_of(x)
-            return "$" + tex.replace("$", r"\$") + "$" if tex else plain(x)
-        if x.tag == "br":
-            return " "
-        if x.tag in ("script", "style", "annotation"):
-            return ""
-        inside = (x.text or "") + "".join(part(c) + (c.tail or "") for c in x)
-        text = " ".join(inside.split())
-        if x is e or not text:
-            return inside
-        if x.tag == "a" and x.get("href"):
-            label = text[1:-1] if text.startswith("[") and text.endswith("]") else text
-            return f"[{label}]({x.get('href')})"
-        return INLINE[x.tag] + text + INLINE[x.tag] if x.tag in INLINE else inside
-
-    text = " ".join(part(e).split())
+    """An element's content as Markdown on one line: emphasis, code, links and formulas. Depth doesn't matter: elements wait on a list, not on the call stack."""
+    waiting, text = [(e, [e.text or ""], iter(e))], _whole(e)
+    while waiting and e.tag not in WHOLE:
+        x, parts, children = waiting[-1]
+        c = next(children, None)
+        if c is None:
+            waiting.pop()
+            text = "".join(parts)
+            if waiting:
+                waiting[-1][1].extend((_wrapped(x, text), x.tail or ""))
+        elif c.tag in WHOLE:
+            parts.extend((_whole(c), c.tail or ""))
+        else:
+            waiting.append((c, [c.text or ""], iter(c)))
+    text = " ".join(text.split())
     for bracket in "])":
         text = text.replace(f" {bracket}", bracket)
     for bracket in "[(":
@@ -207,20 +240,25 @@ def list_kind(e: ET.Element) -> str:
     return "ordered" if ordered else "description" if described else "unordered"
 
 
-def list_markdown(e: ET.Element, depth: int = 0) -> str:
+def list_markdown(e: ET.Element) -> str:
     """A list as Markdown lines; lists inside of items are indented, and markers of items aren't repeated."""
-    lines, ordered = [], list_kind(e) == "ordered"
-    for n, item in enumerate(filter(is_item, e), 1):
-        own, inner = ET.Element("item"), [c for c in item if is_list(c)]
-        own.text = item.text
-        for c in item:
+    lines, todo = [], [(e, 0, 0)]  # lists, and items with their number
+    while todo:
+        x, depth, number = todo.pop()
+        if not number:
+            ordered = list_kind(x) == "ordered"
+            todo.extend(reversed([(item, depth, n if ordered else -1) for n, item in enumerate(filter(is_item, x), 1)]))
+            continue
+        own, inner = ET.Element("item"), [c for c in x if is_list(c)]
+        own.text = x.text
+        for c in x:
             kept = ET.SubElement(own, "span")
             kept.tail = c.tail
             if not (is_list(c) or "ltx_tag_item" in classes(c) or "ltx_itemmarker" in classes(c)):
                 copy = ET.SubElement(kept, c.tag, c.attrib)
                 copy.text, copy[:] = c.text, list(c)
-        lines.append(f"{'  ' * depth}{f'{n}.' if ordered else '-'} {inline(own)}".rstrip())
-        lines += filter(None, (list_markdown(c, depth + 1) for c in inner))
+        lines.append(f"{'  ' * depth}{f'{number}.' if number > 0 else '-'} {inline(own)}".rstrip())
+        todo.extend((c, depth + 1, 0) for c in reversed(inner))
     return "\n".join(lines)
 
 
@@ -269,7 +307,7 @@ COLUMNS = "place long, block_uid string, block_type string, level int, label str
 def blocks_of(html: str | None, layout_keys: frozenset[str] = frozenset()) -> Iterator[tuple]:
     """The blocks of a page, as COLUMNS has them. Blocks without text are left out, and an environment without one is named by its kind."""
     counts, place = Counter(), 0
-    for kind, e in tops(tree_of(html)):
+    for kind, e in tops(page_tree(html)):
         level = items = shape = code = None
         numbers, shown = [], []
         if kind == "list":

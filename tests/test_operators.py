@@ -298,7 +298,7 @@ def test_tree(spark):
     }
     assert found[1, "fig-0001"].files == ["a.png"] and found[1, "fig-0002"].drawn == "tikz" and found[1, "eq-0001"].numbers == ["(1)"]
     assert (found[1, "lst-0001"].items, found[1, "lst-0001"].list_kind) == (2, "ordered") and found[1, "p-0001"].refs[0].text == "[Ann 2020]"
-    assert {k for k in found if k[0] != 1} == {(None, "p-0001")} and tree.document_blocks(pages.limit(0), "id", "html").count() == 0
+    assert {k for k in found if k[0] != 1} == {(None, "p-0001"), (4, "p-0001")} and tree.document_blocks(pages.limit(0), "id", "html").count() == 0
     asked = spark.createDataFrame([(1, "#S1"), (1, "fig-0001"), (1, "#no"), (9, "S1"), (1, None)], "id int, target string")
     at = {(r.id, r.target): r.block_uid for r in tree.located(asked, tree.document_blocks(pages, "id", "html"), "id", "target").collect()}
     assert at == {(1, "#S1"): "sec-001", (1, "fig-0001"): "fig-0001", (1, "#no"): None, (9, "S1"): None, (1, None): None}
