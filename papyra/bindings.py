@@ -7,10 +7,11 @@ from papyra.plans import papers as _papers
 from papyra.plans import pipelines as _pipelines
 from papyra.plans import registry
 from papyra.plans import relational as _relational
+from papyra.plans import terms as _terms
 from papyra.plans import texts as _texts
 
 __all__ = ["oracle_sql", "queries"]
-_ = (_layers, _papers, _pipelines, _relational, _texts)  # importing a module registers its queries
+_ = (_layers, _papers, _pipelines, _relational, _terms, _texts)  # importing a module registers its queries
 
 
 def queries() -> dict[str, registry.Query]:
