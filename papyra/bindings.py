@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from papyra.plans import changes as _changes
 from papyra.plans import layers as _layers
 from papyra.plans import papers as _papers
 from papyra.plans import pipelines as _pipelines
@@ -11,7 +12,7 @@ from papyra.plans import terms as _terms
 from papyra.plans import texts as _texts
 
 __all__ = ["oracle_sql", "queries"]
-_ = (_layers, _papers, _pipelines, _relational, _terms, _texts)  # importing a module registers its queries
+_ = (_changes, _layers, _papers, _pipelines, _relational, _terms, _texts)  # importing a module registers its queries
 
 
 def queries() -> dict[str, registry.Query]:
