@@ -5,9 +5,9 @@ DEPTH words of its pieces as a node: the node of its first words is its parent,
 suffix link, and its count the size of its set of end positions, summed over suffix links. A node with the same count as
 its link has the same end positions, so both are one state.
 
-Shards tell the hashes and counts of their nodes by ranges of hashes, as packed numbers; the answer marks those that may
-reach LEAST in all. Only these go on as strings, whose counts are then exact: hashes decide what is sent, never what is
-counted. Candidates find their parts, and the shorter phrases that they subsume, along parents and suffix links.
+Shards tell the hashes and counts of their nodes by ranges of hashes, as packed differences of as many bits as the number
+of all nodes asks for; the answer is a bit for each, whether it may reach LEAST in all. Only such nodes go on as strings,
+whose counts are then exact: hashes decide what is sent, never what is counted. Candidates find their parts, and the shorter phrases that they subsume, along parents and suffix links.
 """
 
 from __future__ import annotations
@@ -17,20 +17,21 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.llm.common import bucket_bits, dealt_by_range, slices, written
-from papyra.llm.terms import coded, encoded, folded, in_parts, spans
+from papyra.llm.common import bucket_bits, slices, written
+from papyra.llm.terms import coded, encoded, in_parts, spans
 from papyra.llm.words import GRAM, hash_spans, mix
 
 #: Words of the longest phrase, the least count of a candidate, rows of a language, and the percentage of subsumption.
 DEPTH, LEAST, TOP, SHARE = 3, 10, 2000, 50
 #: Words of a shard, about; bytes of text that are read into it at once.
 SHARD, SLICE = 1 << 20, 4 << 20
-#: Nodes that one task answers for, about.
-ANSWERED = 1 << 19
+#: Nodes that one task answers for, about; hashes have SPARE bits more than nodes need to be numbered.
+ANSWERED, SPARE = 1 << 19, 8
 STOPS = b".,;:!?\x0a\x0b\x0c\x0d"
 KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
@@ -63,8 +64,8 @@ class Automaton(NamedTuple):
 def automaton(letters: np.ndarray, begins: np.ndarray, alphabet: int, depth: int = DEPTH) -> Automaton:
     """The automaton of pieces: letters (below alphabet) one piece after the other, begins: whether a piece begins at each."""
     piece = np.cumsum(begins)
-    node = letters.astype(np.int64)  # of the substring of the present depth from each place, -1 across an end
-    columns = [(np.ones(alphabet, np.int64), np.arange(alphabet), np.full(alphabet, -1), np.full(alphabet, -1))]
+    letters, node = letters.astype(np.int64), letters.astype(np.int64)  # node: of the substring of the present depth from each place, -1 across an end
+    columns = [(np.ones(alphabet, np.int8), np.arange(alphabet, dtype=np.int32), np.full(alphabet, -1, np.int32), np.full(alphabet, -1, np.int32))]
     before, total, initial = np.full(len(letters), -1), alphabet, [np.bincount(letters[begins], minlength=alphabet)]
     for k in range(1, depth):
         n = max(0, len(letters) - k)
@@ -73,9 +74,9 @@ def automaton(letters: np.ndarray, begins: np.ndarray, alphabet: int, depth: int
         unique, place = np.unique(keys, return_inverse=True)
         before, node = node, np.full(len(letters), -1)
         node[at] = place + total
-        link = np.zeros(len(unique), np.int64)
+        link = np.zeros(len(unique), np.int32)
         link[place] = before[at + 1]
-        columns.append((np.full(len(unique), k + 1), unique % alphabet, unique // alphabet, link))
+        columns.append((np.full(len(unique), k + 1, np.int8), (unique % alphabet).astype(np.int32), (unique // alphabet).astype(np.int32), link))
         initial.append(np.bincount(place[begins[at]], minlength=len(unique)))
         total += len(unique)
     out = [np.concatenate(x) for x in zip(*columns, strict=True)]
@@ -104,11 +105,21 @@ def hashes_of(found: Automaton, words: pa.Array, langs: pa.Array, lang_of: np.nd
 
 
 def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all strings, and offsets."""
-    whole = pa.concat_arrays([strings.cast(pa.large_binary())])
-    offsets = np.zeros(len(whole) + 1, np.int64)
-    np.cumsum(np.fromiter(map(len, parts := whole.to_pylist()), np.int64, len(whole)), out=offsets[1:])
-    return np.frombuffer(b"".join(parts) + b"\n", np.uint8), offsets
+    """Bytes of all strings, with one more, and offsets."""
+    whole = strings.cast(pa.large_binary())
+    offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1] if len(whole) else np.zeros(1, np.int64)
+    data = np.frombuffer(whole.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return np.append(data, np.uint8(10)), offsets - offsets[0]
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as their lowest bytes, then their second bytes and so on: the high ones of small numbers compress to nothing."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    """The numbers of planes()."""
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
 
 
 def shards(docs: DataFrame) -> DataFrame:
@@ -141,64 +152,87 @@ def shard(number: int, held: list[tuple[str, str]]) -> pa.RecordBatch:
     first, last = spans(inside)
     codes, words = coded(data, inside, first, last)
     lang = np.array([at[x] for x, _ in held], np.int64)[np.searchsorted(begins, first, "right") - 1]
-    unique, letters = np.unique(lang * max(1, len(words)) + codes, return_inverse=True)
+    unique, letters, times = np.unique(lang * max(1, len(words)) + codes, return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")  # frequent words have small numbers
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    unique = unique[order]
     stops = np.cumsum(kind == 2)[first]  # the line feed after each text is a stop
     new = np.append(True, stops[1:] != stops[:-1])[: len(first)]
-    row = [[number], [langs], pa.array([words.take(pa.array(unique % max(1, len(words)))).to_pylist()], pa.list_(pa.string())), [(unique // max(1, len(words))).astype(np.int32).tobytes()], [letters.astype(np.int32).tobytes()], [np.packbits(new).tobytes()]]
-    kinds = [pa.int64(), pa.list_(pa.string()), None, pa.binary(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([x if k is None else pa.array(x, k) for x, k in zip(row, kinds, strict=True)], [x.split()[0] for x in SHARD_ROW.split(", ")])
+    own = words.take(pa.array(unique % max(1, len(words))))
+    columns = [pa.array([number]), pa.array([langs], pa.list_(pa.string())), pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)]
+    columns += [pa.array([x], pa.binary()) for x in (planes(unique // max(1, len(words))), planes(rank[letters]), np.packbits(new).tobytes())]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SHARD_ROW.split(", ")])
 
 
-def _read(rows: pa.RecordBatch | pa.Table, k: int) -> tuple[Automaton, pa.Array, pa.Array, np.ndarray, np.ndarray]:
-    """(automaton, words, languages, language of each word, all letters) of a shard."""
-    words, langs = (pa.array(rows.column(c)[k].as_py(), pa.string()) for c in ("words", "langs"))
-    lang_of, letters = (np.frombuffer(rows.column(c)[k].as_py(), np.int32) for c in ("lang_of", "letters"))
+def _read(rows: pa.RecordBatch | pa.Table, k: int) -> tuple[Automaton, pa.Array, pa.Array, np.ndarray]:
+    """(automaton, words, languages, language of each word) of a shard."""
+    words, langs = (rows.column(c)[k].values for c in ("words", "langs"))
+    letters = from_planes(rows.column("letters")[k].as_py())
     begins = np.unpackbits(np.frombuffer(rows.column("begins")[k].as_py(), np.uint8), count=len(letters)).astype(bool)
-    return automaton(letters, begins, len(words)), words, langs, lang_of, letters
+    return automaton(letters, begins, len(words)), words, langs, from_planes(rows.column("lang_of")[k].as_py())
+
+
+def told(hashes: np.ndarray, counts: np.ndarray, wide: int, bits: int, kind: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the distinct first `bits` bits of hashes, ascending; their counts, at most what `kind` holds; bounds of the 2^wide ranges)."""
+    keys = np.sort(hashes >> np.uint64(64 - bits) << np.uint64(16) | counts.astype(np.uint64))
+    short = keys >> np.uint64(16)
+    first = np.flatnonzero(np.append(True, short[1:] != short[:-1])) if len(short) else np.zeros(0, np.int64)
+    counts = np.add.reduceat((keys & np.uint64(0xFFFF)).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+    edges = np.arange(1, 1 << wide, dtype=np.uint64) << np.uint64(bits - wide)
+    return short[first], np.minimum(counts, np.iinfo(kind).max).astype(kind), np.concatenate([[0], np.searchsorted(short[first], edges), [len(first)]])
 
 
 def frequent_phrases(shard_rows: DataFrame, nodes: int, least: int = LEAST) -> DataFrame:
     """lang, phrase, size, n: the phrases of up to DEPTH words that occur `least` times and more. nodes: of all shards, about."""
     wide = max(bucket_bits(shard_rows.sparkSession), (nodes // ANSWERED).bit_length())
+    bits = min(wide + 32, 48, max(wide + 16, nodes.bit_length() + SPARE))
+    enough = min(least, 0xFFFF)  # counts beyond it needn't be told: sums are compared with it alone
+    kind = np.dtype(np.uint8 if enough < 256 else np.uint16)
 
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 found, *rest = _read(batch, k)
-                hashes, counts = folded(hashes_of(found, *rest[:3]), np.minimum(found.count, least))
-                _, bounds = dealt_by_range(hashes, wide)
-                some = [(b, hashes[x:y].tobytes(), np.minimum(counts[x:y], least).astype(np.uint8).tobytes()) for b, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)) if y > x]
+                short, counts, bounds = told(hashes_of(found, *rest), np.minimum(found.count, enough), wide, bits, kind)
+                some = [(b, planes(np.diff(short[x:y], prepend=np.uint64(b << bits - wide))), counts[x:y].tobytes()) for b, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)) if y > x]
                 b, h, n = zip(*some, strict=True) if some else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array([batch.column("shard")[k].as_py()] * len(b), pa.int64()), pa.array(h, pa.binary()), pa.array(n, pa.binary())], ["bucket", "shard", "hashes", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
-        told = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("counts").to_pylist()])
-        unique, place = np.unique(np.concatenate(told), return_inverse=True)
-        enough = (np.bincount(place, counts, len(unique)) >= least)[place]
-        marks = np.split(enough, np.cumsum([len(x) for x in told])[:-1])
-        return pa.table([table.column("shard"), pa.array([x[m].tobytes() for x, m in zip(told, marks, strict=True)], pa.binary())], ["shard", "hashes"])
+        hashes = [np.cumsum(from_planes(x), dtype=np.uint64) for x in table.column("hashes").to_pylist()]
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), kind)
+        unique, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        marks = np.split((np.bincount(place, counts, len(unique)) >= enough)[place], np.cumsum([len(x) for x in hashes])[:-1])
+        return pa.table([table.column("shard"), table.column("bucket"), pa.array([np.packbits(x).tobytes() for x in marks], pa.binary())], ["shard", "bucket", "marks"])
 
     def finish(rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())]).empty_table()
-        frequent = np.frombuffer(b"".join(replies.column("hashes").to_pylist()), np.uint64)
-        found, words, langs, lang_of, _ = _read(rows, 0)
-        at = np.flatnonzero(np.isin(hashes_of(found, words, langs, lang_of), frequent))
-        phrases = []
+        found, words, langs, lang_of = _read(rows, 0)
+        hashes = hashes_of(found, words, langs, lang_of)
+        short, _, bounds = told(hashes, found.count * 0, wide, bits, kind)
+        marked = np.zeros(len(short), bool)
+        for bucket, marks in zip(replies.column("bucket").to_pylist(), replies.column("marks").to_pylist(), strict=True):
+            x, y = bounds[bucket : bucket + 2]
+            marked[x:y] = np.unpackbits(np.frombuffer(marks, np.uint8), count=y - x).astype(bool)
+        frequent, hashes = short[marked], hashes >> np.uint64(64 - bits)
+        place = np.minimum(np.searchsorted(frequent, hashes), max(0, len(frequent) - 1))
+        at = np.flatnonzero(frequent[place] == hashes) if len(frequent) else np.zeros(0, np.int64)
+        phrases, root = [], []
         for depth in range(1, DEPTH + 1):
             node, columns = at[found.depth[at] == depth], []
             for _ in range(depth):
                 columns.append(words.take(pa.array(found.letter[node])))
+                root.append(node)
                 node = found.parent[node]
-            phrases.append(columns[0] if depth == 1 else pa.compute.binary_join_element_wise(*columns[::-1], " "))
-        root = at.copy()
-        for _ in range(DEPTH - 1):
-            root = np.where(found.depth[root] > 1, found.parent[root], root)
-        return pa.table([langs.take(pa.array(lang_of[root])), pa.concat_arrays(phrases), pa.array(found.depth[at].astype(np.int32)), pa.array(found.count[at])], ["lang", "phrase", "size", "n"])
-
-    told = shard_rows.mapInArrow(tell, "bucket long, shard long, hashes binary, counts binary")
-    replies = told.groupBy("bucket").applyInArrow(answer, "shard long, hashes binary")
+            root[-depth:] = [root[-1]]
+            phrases.append(columns[0] if depth == 1 else pc.binary_join_element_wise(*columns[::-1], " "))
+        root = np.concatenate(root)
+        return pa.table([langs.take(pa.array(lang_of[found.letter[root]].astype(np.int64))), pa.concat_arrays(phrases), pa.array(found.depth[at].astype(np.int32)), pa.array(found.count[at].astype(np.int64))], ["lang", "phrase", "size", "n"])
+
+    asked = shard_rows.mapInArrow(tell, "bucket long, shard long, hashes binary, counts binary")
+    replies = asked.groupBy("bucket").applyInArrow(answer, "shard long, bucket long, marks binary")
     found = shard_rows.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(finish, PHRASE)
     return found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
 
@@ -227,7 +261,7 @@ def totals(shard_rows: DataFrame) -> DataFrame:
         for batch in batches:
             for k in range(batch.num_rows):
                 langs = batch.column("langs")[k].as_py()
-                lang_of, letters = (np.frombuffer(batch.column(c)[k].as_py(), np.int32) for c in ("lang_of", "letters"))
+                lang_of, letters = (from_planes(batch.column(c)[k].as_py()).astype(np.int64) for c in ("lang_of", "letters"))
                 yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(np.bincount(lang_of[letters], minlength=len(langs)))], ["lang", "total"])
 
     return shard_rows.mapInArrow(run, "lang string, total long").groupBy("lang").agg(F.sum("total").alias("total"))
