@@ -29,7 +29,7 @@ from papyra.llm.words import GRAM, hash_spans, mix
 #: Words of the longest phrase, the least count of a candidate, rows of a language, and the percentage of subsumption.
 DEPTH, LEAST, TOP, SHARE = 3, 10, 2000, 50
 #: Words of a shard, about; bytes of text that are read into it at once.
-SHARD, SLICE = 1 << 20, 4 << 20
+SHARD, SLICE = 3 << 19, 4 << 20
 #: Nodes that one task answers for, about; hashes have SPARE bits more than nodes need to be numbered.
 ANSWERED, SPARE = 1 << 19, 8
 STOPS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -37,7 +37,8 @@ KIND = np.zeros(256, np.uint8)
 KIND[[0x20, 0x09]] = 1
 KIND[list(STOPS)] = 2
 SHARD_ROW = "shard long, langs array<string>, words array<string>, lang_of binary, letters binary, begins binary"
-PHRASE = "lang string, phrase string, size int, n long"
+#: A language and a phrase in one string; phrases hold no line feed.
+PHRASE = "key string, n long"
 
 
 class Automaton(NamedTuple):
@@ -184,7 +185,7 @@ def told(hashes: np.ndarray, counts: np.ndarray, wide: int, bits: int, kind: np.
 
 
 def frequent_phrases(shard_rows: DataFrame, nodes: int, least: int = LEAST) -> DataFrame:
-    """lang, phrase, size, n: the phrases of up to DEPTH words that occur `least` times and more. nodes: of all shards, about."""
+    """number, lang, phrase, size, n: the phrases of up to DEPTH words that occur `least` times and more, numbered as they are written. nodes: of all shards, about."""
     wide = max(bucket_bits(shard_rows.sparkSession), (nodes // ANSWERED).bit_length())
     bits = min(wide + 32, 48, max(wide + 16, nodes.bit_length() + SPARE))
     enough = min(least, 0xFFFF)  # counts beyond it needn't be told: sums are compared with it alone
@@ -208,7 +209,7 @@ def frequent_phrases(shard_rows: DataFrame, nodes: int, least: int = LEAST) -> D
 
     def finish(rows: pa.Table, replies: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())]).empty_table()
+            return pa.schema([("key", pa.string()), ("n", pa.int64())]).empty_table()
         found, words, langs, lang_of = _read(rows, 0)
         hashes = hashes_of(found, words, langs, lang_of)
         short, _, bounds = told(hashes, found.count * 0, wide, bits, kind)
@@ -229,12 +230,16 @@ def frequent_phrases(shard_rows: DataFrame, nodes: int, least: int = LEAST) -> D
             root[-depth:] = [root[-1]]
             phrases.append(columns[0] if depth == 1 else pc.binary_join_element_wise(*columns[::-1], " "))
         root = np.concatenate(root)
-        return pa.table([langs.take(pa.array(lang_of[found.letter[root]].astype(np.int64))), pa.concat_arrays(phrases), pa.array(found.depth[at].astype(np.int32)), pa.array(found.count[at].astype(np.int64))], ["lang", "phrase", "size", "n"])
+        lang = langs.take(pa.array(lang_of[found.letter[root]].astype(np.int64)))
+        return pa.table([pc.binary_join_element_wise(lang, pa.concat_arrays(phrases), "\n"), pa.array(found.count[at].astype(np.int64))], ["key", "n"])
 
     asked = shard_rows.mapInArrow(tell, "bucket long, shard long, hashes binary, counts binary")
     replies = asked.groupBy("bucket").applyInArrow(answer, "shard long, bucket long, marks binary")
     found = shard_rows.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(finish, PHRASE)
-    return found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    exact = found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    phrase = F.substring_index("key", "\n", -1)
+    lang = F.expr("substring(key, 1, length(key) - length(substring_index(key, '\n', -1)) - 1)")
+    return exact.select(F.monotonically_increasing_id().alias("number"), lang.alias("lang"), phrase.alias("phrase"), F.size(F.split(phrase, " ")).alias("size"), "n")
 
 
 def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, top: int = TOP, share: int = SHARE) -> DataFrame:
@@ -268,23 +273,33 @@ def totals(shard_rows: DataFrame) -> DataFrame:
 
 
 def ranked(counts: DataFrame, total: DataFrame, least: int, top: int, share: int) -> DataFrame:
-    """The result of collocations() from exact counts of phrases and of all words."""
-    words = F.split("phrase", " ")
-    # each cut after k words has the parent side `l` and the side along suffix links `r`
-    cut = F.transform(F.sequence(F.lit(1), F.col("size") - 1), lambda k: F.array(
-        F.struct(k.alias("k"), F.lit("l").alias("side"), F.array_join(F.slice("words", F.lit(1), k), " ").alias("part")),
-        F.struct(k.alias("k"), F.lit("r").alias("side"), F.array_join(F.slice("words", k + 1, F.col("size") - k), " ").alias("part")),
-    ))
-    candidates = counts.where("size > 1").withColumn("words", words)
-    sides = candidates.select("lang", "phrase", "size", F.col("n").alias("a"), F.inline(F.flatten(cut)))
-    parts = counts.select("lang", F.col("phrase").alias("part"), F.col("size").alias("part_size"), F.col("n").alias("of"))
-    known = sides.join(parts, ["lang", "part"])
-    cuts = known.groupBy("lang", "phrase", "size", "a", "k").agg(F.max(F.when(F.col("side") == "l", F.col("of"))).alias("l"), F.max(F.when(F.col("side") == "r", F.col("of"))).alias("r"))
-    exact = lambda c: F.col(c).cast("decimal(19,0)")
-    score = F.expr("CAST(a AS DECIMAL(19,0)) * CAST(a AS DECIMAL(19,0)) * CAST(1000000 AS DECIMAL(7,0)) div (CAST(l AS DECIMAL(19,0)) * CAST(r AS DECIMAL(19,0)))")
-    best = cuts.withColumn("score", score).groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("best"))
-    gone = known.where((F.col("part_size") > 1) & (100 * exact("a") >= share * exact("of"))).select("lang", F.col("part").alias("phrase")).distinct()
-    kept = best.join(gone, ["lang", "phrase"], "left_anti").select("lang", "phrase", "a", "best.l", "best.r", "best.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    """The result of collocations() from written exact counts of phrases and from those of all words.
+
+    Candidates go to their parts by number; what a part knows comes back as numbers alone, and phrases are looked up again
+    for those that may rank.
+    """
+    # each cut after k words has the parent side (2k) and the side along suffix links (2k + 1)
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.col("size") - 1), lambda k: F.array(
+        F.struct((2 * k).alias("side"), F.array_join(F.slice("words", F.lit(1), k), " ").alias("part")),
+        F.struct((2 * k + 1).alias("side"), F.array_join(F.slice("words", k + 1, F.col("size") - k), " ").alias("part")),
+    )))
+    candidates = counts.where("size > 1").withColumn("words", F.split("phrase", " "))
+    sides = candidates.select("lang", F.col("number").alias("whole"), F.col("n").alias("a"), F.inline(parts))
+    of = counts.select("lang", F.col("phrase").alias("part"), F.col("size").alias("part_size"), F.col("n").alias("of"), "number")
+    known = sides.join(of, ["lang", "part"])
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    subsumes = (F.col("part_size") > 1) & (100 * wide("a") >= share * wide("of"))
+    # a candidate's own sides, and word from the longer ones that it goes
+    told = F.array(F.struct(F.col("whole").alias("to"), "side", "of", F.lit(False).alias("gone")), F.struct(F.col("number").alias("to"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("of"), F.lit(True).alias("gone")))
+    news = known.select("lang", "a", F.inline(F.filter(told, lambda x: ~x["gone"] | subsumes)))
+    side = lambda k: F.max(F.when(F.col("side") == k, F.col("of")))
+    facts = [side(k).alias(f"of_{k}") for k in range(2, 2 * DEPTH)]
+    found = news.groupBy("lang", "to").agg(F.max(F.when(~F.col("gone"), F.col("a"))).alias("a"), F.max("gone").alias("gone"), *facts).where("NOT gone")
+    score = lambda k: F.expr(f"CAST(a AS DECIMAL(19,0)) * CAST(a AS DECIMAL(19,0)) * CAST(1000000 AS DECIMAL(7,0)) div (CAST(of_{2 * k} AS DECIMAL(19,0)) * CAST(of_{2 * k + 1} AS DECIMAL(19,0)))")
+    cuts = [F.when(F.col(f"of_{2 * k}").isNotNull(), F.struct(score(k).alias("score"), F.lit(k).alias("k"), F.col(f"of_{2 * k}").alias("l"), F.col(f"of_{2 * k + 1}").alias("r"))) for k in range(1, DEPTH)]
+    best = found.select("lang", "to", "a", F.array_min(F.array(*cuts)).alias("best")).select("lang", "to", "a", "best.l", "best.r", "best.score")
+    order = [F.desc("score"), F.desc("a")]
+    near = best.withColumn("rank", F.rank().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
+    named = near.drop("rank").join(counts.select(F.col("number").alias("to"), "phrase"), "to")
+    first = named.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order, "phrase"))).where(F.col("rank") <= top)
     return first.join(total, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score")
