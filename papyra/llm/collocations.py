@@ -29,7 +29,9 @@ from papyra.llm.words import GRAM, hash_spans, mix
 #: Words of the longest phrase, the least count of a candidate, rows of a language, and the percentage of subsumption.
 DEPTH, LEAST, TOP, SHARE = 3, 10, 2000, 50
 #: Words of a shard, about; bytes of text that are read into it at once.
-SHARD, SLICE = 3 << 19, 4 << 20
+SHARD, SLICE = 1 << 20, 4 << 20
+#: Shards whose phrases one task sends, about: what several of them hold is sent once.
+TOGETHER = 8
 #: Nodes that one task answers for, about; hashes have SPARE bits more than nodes need to be numbered.
 ANSWERED, SPARE = 1 << 19, 8
 STOPS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -184,8 +186,8 @@ def told(hashes: np.ndarray, counts: np.ndarray, wide: int, bits: int, kind: np.
     return short[first], np.minimum(counts, np.iinfo(kind).max).astype(kind), np.concatenate([[0], np.searchsorted(short[first], edges), [len(first)]])
 
 
-def frequent_phrases(shard_rows: DataFrame, nodes: int, least: int = LEAST) -> DataFrame:
-    """number, lang, phrase, size, n: the phrases of up to DEPTH words that occur `least` times and more, numbered as they are written. nodes: of all shards, about."""
+def frequent_phrases(shard_rows: DataFrame, number: int, nodes: int, least: int = LEAST) -> DataFrame:
+    """number, lang, phrase, size, n: the phrases of up to DEPTH words that occur `least` times and more, numbered as they are written. number: of shards; nodes: of all shards, about."""
     wide = max(bucket_bits(shard_rows.sparkSession), (nodes // ANSWERED).bit_length())
     bits = min(wide + 32, 48, max(wide + 16, nodes.bit_length() + SPARE))
     enough = min(least, 0xFFFF)  # counts beyond it needn't be told: sums are compared with it alone
@@ -208,9 +210,13 @@ def frequent_phrases(shard_rows: DataFrame, nodes: int, least: int = LEAST) -> D
         return pa.table([table.column("shard"), table.column("bucket"), pa.array([np.packbits(x).tobytes() for x in marks], pa.binary())], ["shard", "bucket", "marks"])
 
     def finish(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return pa.schema([("key", pa.string()), ("n", pa.int64())]).empty_table()
-        found, words, langs, lang_of = _read(rows, 0)
+        out = [pa.schema([("key", pa.string()), ("n", pa.int64())]).empty_table()]
+        for k in range(rows.num_rows):
+            out.append(phrases_of(rows, k, replies.filter(pc.equal(replies.column("shard"), rows.column("shard")[k]))))
+        return pa.concat_tables(out)
+
+    def phrases_of(rows: pa.Table, k: int, replies: pa.Table) -> pa.Table:
+        found, words, langs, lang_of = _read(rows, k)
         hashes = hashes_of(found, words, langs, lang_of)
         short, _, bounds = told(hashes, found.count * 0, wide, bits, kind)
         marked = np.zeros(len(short), bool)
@@ -235,7 +241,8 @@ def frequent_phrases(shard_rows: DataFrame, nodes: int, least: int = LEAST) -> D
 
     asked = shard_rows.mapInArrow(tell, "bucket long, shard long, hashes binary, counts binary")
     replies = asked.groupBy("bucket").applyInArrow(answer, "shard long, bucket long, marks binary")
-    found = shard_rows.groupBy("shard").cogroup(replies.groupBy("shard")).applyInArrow(finish, PHRASE)
+    pack = F.pmod(F.xxhash64("shard"), F.lit(max(1, number // TOGETHER)))
+    found = shard_rows.groupBy(pack).cogroup(replies.groupBy(pack)).applyInArrow(finish, PHRASE)
     exact = found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     phrase = F.substring_index("key", "\n", -1)
     lang = F.expr("substring(key, 1, length(key) - length(substring_index(key, '\n', -1)) - 1)")
@@ -254,8 +261,8 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     """
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     parts = shards(rows)
-    nodes = parts.select(F.sum(F.length("letters") / 4 * DEPTH).cast("long")).first()[0] or 0
-    counts = written(frequent_phrases(parts, nodes, least), "phrases")
+    number, nodes = parts.select(F.count(F.lit(1)), F.coalesce(F.sum(F.length("letters") / 4 * DEPTH), F.lit(0)).cast("long")).first()
+    counts = written(frequent_phrases(parts, number, nodes, least), "phrases")
     return ranked(counts, totals(parts), least, top, share)
 
 
