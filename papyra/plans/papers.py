@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from papyra.functions import texmath
 from papyra.plans.registry import query
 from papyra.sources import figures
 
@@ -67,3 +68,18 @@ def figure_hydrated(t):
     rows = papers(t)
     images = figures.image_rows(figures.document_figures(rows, "page_id", "html"), "page_id")
     return figures.hydrated(images, figures.graphics(rows, "page_id", "xml"), "page_id").select("page_id", "place", "reference", "panel_pt", "origin", "source")
+
+
+#: Formulas with a number x in them, and what becomes of them.
+FORMULAS = [
+    (r"\mbox{if $x_{#}$ is}\mathds R", r"\text{if }x_{#}\text{ is}\mathbb{R}"), (r"\begin{eqnarray*}a_#\\[2pt]b\end{eqnarray*}\label{eq:#}", r"\begin{aligned}a_#\\b\end{aligned}"),
+    (r"\cancelto{0}{\ensuremath{#}}+{\rm max}", r"\overset{0}{#}+\mathrm{max}"), (r"\buildrel #\over= \textsc{ab}", r"\buildrel #\over= \text{AB}"), (r"\big{(}\eqref{#}\raisebox{1pt}[2pt]{$#$}\cr\iddots", r"\big((\text{?})#\\\ddots"),
+]
+
+
+@query("WITH f AS (SELECT k, tex FROM (VALUES " + ", ".join(f"({k}, '{want}')" for k, (_, want) in enumerate(FORMULAS)) + ") x(k, tex)) SELECT p_partkey, replace(tex, '#', p_size::VARCHAR) AS tex FROM part JOIN f ON k = p_partkey % 5")
+def math_rules(t):
+    """Formulas after the rules for commands, by part."""
+    k = F.col("p_partkey") % len(FORMULAS)
+    tex = F.get(F.array(*[F.lit(x) for x, _ in FORMULAS]), k.cast("int"))
+    return t("part").select("p_partkey", texmath.math(F.replace(tex, F.lit("#"), F.col("p_size").cast("string"))).alias("tex"))

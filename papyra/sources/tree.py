@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.functions.latex import normal_math
+from papyra.functions.texmath import normal_math
 from papyra.sources.html import VOID
 
 #: Keys of options that lay out authors (fixed values).

@@ -249,13 +249,9 @@ def test_empty_tables(spark, op):
 def test_latex(spark):
     from papyra.functions import latex
 
-    assert latex.normal_math(r"\displaystyle a \label{x{y}} \mbox{b {c}} 50\% of % note" + "\n d%\n e") == r"a b {c} 50\% of % note d e"
-    assert latex.normal_math(r"\mbox{open") == r"\mbox{open" and latex.normal_math(None) is None
-    assert latex.group_end(r"{a\}b}c", 0) == 6
     files = spark.createDataFrame([("x/ms.tex", r"\documentclass{a}\begin{document}"), ("supp.tex", r"\documentclass{a}"), ("b.tex", "")], "path string, content string")
     best = files.orderBy(F.desc(latex.main_file_score(F.col("path"), F.col("content")))).first()
     assert best["path"] == "x/ms.tex"
-    assert one(spark, latex.math(F.lit(r"\tag{1}x"))) == "x"
     assert latex.main_files(files.withColumn("a", F.lit(1)), "a", "path", "content").collect() == [(1, "x/ms.tex", 30)]
     scores = {r.path: r.s for r in files.withColumn("s", latex.main_file_score(F.col("path"), F.col("content"))).collect()}
     assert scores == {"x/ms.tex": 30, "supp.tex": -6, "b.tex": -18}
