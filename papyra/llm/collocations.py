@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyra.llm.common import bucket_bits, slices, written
+from papyra.llm.common import bucket_bits, release, slices, written
 from papyra.llm.terms import coded, encoded, in_parts, spans
 from papyra.llm.words import GRAM, hash_spans, mix
 
@@ -31,7 +31,7 @@ DEPTH, LEAST, TOP, SHARE = 3, 10, 2000, 50
 #: Words of a shard, about; bytes of text that are read into it at once.
 SHARD, SLICE = 1 << 20, 4 << 20
 #: Shards whose phrases one task sends, about: what several of them hold is sent once.
-TOGETHER = 8
+TOGETHER = 6
 #: Nodes that one task answers for, about; hashes have SPARE bits more than nodes need to be numbered.
 ANSWERED, SPARE = 1 << 19, 8
 STOPS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -201,6 +201,8 @@ def frequent_phrases(shard_rows: DataFrame, number: int, nodes: int, least: int
                 some = [(b, planes(np.diff(short[x:y], prepend=np.uint64(b << bits - wide))), counts[x:y].tobytes()) for b, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)) if y > x]
                 b, h, n = zip(*some, strict=True) if some else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array([batch.column("shard")[k].as_py()] * len(b), pa.int64()), pa.array(h, pa.binary()), pa.array(n, pa.binary())], ["bucket", "shard", "hashes", "counts"])
+                del found, rest, short, counts, some, h, n
+                release()
 
     def answer(table: pa.Table) -> pa.Table:
         hashes = [np.cumsum(from_planes(x), dtype=np.uint64) for x in table.column("hashes").to_pylist()]
@@ -213,6 +215,7 @@ def frequent_phrases(shard_rows: DataFrame, number: int, nodes: int, least: int
         out = [pa.schema([("key", pa.string()), ("n", pa.int64())]).empty_table()]
         for k in range(rows.num_rows):
             out.append(phrases_of(rows, k, replies.filter(pc.equal(replies.column("shard"), rows.column("shard")[k]))))
+            release()
         return pa.concat_tables(out)
 
     def phrases_of(rows: pa.Table, k: int, replies: pa.Table) -> pa.Table:
