@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import id_text, slices, texts_of, unused
+from papyra.llm.common import id_text, release, slices, texts_of, unused
 from papyra.llm.words import GRAM, hash_spans, joined, mix, word_spans
 
 #: Hashed coordinates, the bias at the end.
@@ -65,18 +65,25 @@ def features(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def documents(texts: list[str]) -> Iterator[np.ndarray]:
-    """The distinct coordinates of each text."""
-    kinds, counts = features(texts)
-    ends = np.cumsum(counts)
-    for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
-        found = np.unique(np.concatenate([x[a:b] for x in kinds]))
-        yield found[found >= 0]
+    """The distinct coordinates of each text; texts are worked on in slices of about SLICE characters."""
+    first = 0
+    while first < len(texts):
+        last, size = first, 0
+        while last < len(texts) and (last == first or size + len(texts[last]) <= SLICE):
+            size += len(texts[last])
+            last += 1
+        kinds, counts = features(texts[first:last])
+        ends = np.cumsum(counts)
+        for a, b in zip((ends - counts).tolist(), ends.tolist(), strict=True):
+            found = np.unique(np.concatenate([x[a:b] for x in kinds]))
+            yield found[found >= 0].astype(np.int32)
+        first = last
 
 
 def ftrl(texts: list[str], labels: list[int], epochs: int = 8, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.0) -> Model:
     """Weights of a logistic regression over the distinct coordinates of each text."""
     z, n = np.zeros(DIMENSIONS + 1), np.zeros(DIMENSIONS + 1)
-    rows = [np.append(x, DIMENSIONS) for x in documents(texts)]
+    rows = [np.append(x, np.int32(DIMENSIONS)) for x in documents(texts)]
     penalty = lambda at: np.where(at == DIMENSIONS, 0.0, l1)  # noqa: E731  none on the bias
 
     def weights(at: np.ndarray) -> np.ndarray:
@@ -122,7 +129,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
             index, weight, labels_ = np.append(model.index, DIMENSIONS), np.append(model.weight, model.bias), np.zeros(len(model.index) + 1, np.int64)
         else:
             index, labels_ = np.full(out.sum(), -1), label[out].astype(np.int64)
-            weight = sums([x for x, o in zip(texts, out, strict=True) if o], np.append(model.dense(), 0.0), model.bias)
+            dense, left = np.append(model.dense(), 0.0), [x for x, o in zip(texts, out, strict=True) if o]
+            weight = np.concatenate([sums(left[a : a + 256], dense, model.bias) for a in range(0, len(left), 256)] or [np.zeros(0)])
+        release()
         return pa.table([pa.array(index), pa.array(weight), pa.array(labels_)], ["index", "weight", "label"])
 
     got = copies.groupBy("part").applyInArrow(run, "index long, weight double, label long").toArrow()
