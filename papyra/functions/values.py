@@ -49,13 +49,53 @@ def expired(until: Column, now: Column) -> Column:
     return F.coalesce(until <= now, F.lit(True))
 
 
+def json_map(text: Column) -> Column:
+    """A JSON object's values by key, each of its own kind; null for anything but an object."""
+    return F.from_json(text, "map<string,variant>")
+
+
 def merged(old: Column, new: Column) -> Column:
-    """Two JSON objects as one map, the newer value where both have a key."""
-    kind = "map<string,string>"
-    left, right = (F.coalesce(F.from_json(x, kind), F.create_map().cast(kind)) for x in (old, new))
+    """Two JSON objects as one map of variants, the newer value where both have a key; numbers, lists and objects stay what they are. What isn't an object counts as an empty one."""
+    left, right = (F.coalesce(json_map(x), F.create_map().cast("map<string,variant>")) for x in (old, new))
     return F.map_concat(F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k)), right)
 
 
+def without_low(preferences: Column, key: str, low: Column) -> Column:
+    """A JSON object of preferences whose list of strings under `key` lacks the items that `low`, an array, has; null where it isn't an object."""
+    kept = F.filter(F.from_json(F.get_json_object(preferences, f"$.{key}"), "array<string>"), lambda x: ~F.array_contains(low, F.lower(x)))
+    return F.when(json_map(preferences).isNotNull(), F.when(kept.isNull(), preferences).otherwise(F.to_json(merged(preferences, F.to_json(F.create_map(F.lit(key), kept))))))
+
+
+#: Names under which replies give what a citation has, the first that holds text (fixed values).
+REFERENCE_KEYS = {"title": ["title"], "url": ["url"], "doi": ["doi"], "arxiv_id": ["arxiv_id", "arxivId", "arxiv"], "raw_snippet": ["raw_snippet", "snippet", "text"]}
+#: Names under which replies give their citations, the first that holds any (fixed values).
+REFERENCE_LISTS = ["citations", "external_refs"]
+
+
+def external_refs(reply: Column) -> Column:
+    """The citations of a JSON reply as structs: title, url, doi, arxiv_id and raw_snippet, with what else they say, of whatever kind, in `metadata` as JSON.
+
+    Items that aren't objects are left out; blank and other values than text are null (a snippet is empty). Replies without
+    a list of citations have none.
+    """
+    lists = [F.from_json(F.get_json_object(reply, f"$.{k}"), "array<variant>") for k in REFERENCE_LISTS]
+    found = F.coalesce(*[F.when(F.size(x) > 0, x) for x in lists], F.array().cast("array<variant>"))
+    known = [k for keys in REFERENCE_KEYS.values() for k in keys]
+
+    def text(item: Column, keys: list[str]) -> Column:
+        values = [F.when(F.schema_of_variant(F.try_element_at(item, F.lit(k))) == "STRING", F.trim(F.try_element_at(item, F.lit(k)).cast("string"))) for k in keys]
+        return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
+
+    def one(item: Column) -> Column:
+        rest = F.map_filter(item, lambda k, _: ~k.isin(known))
+        fields = [text(item, keys).alias(name) for name, keys in REFERENCE_KEYS.items()]
+        fields[-1] = F.coalesce(text(item, REFERENCE_KEYS["raw_snippet"]), F.lit("")).alias("raw_snippet")
+        return F.struct(*fields, F.to_json(rest).alias("metadata"))
+
+    maps = F.filter(F.transform(found, lambda x: json_map(F.to_json(x))), lambda m: m.isNotNull())
+    return F.transform(maps, one)
+
+
 def repaired_json(text: Column) -> Column:
     """The object that a reply holds: that of a fenced block, else what lies between the outermost braces."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)

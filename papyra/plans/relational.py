@@ -219,7 +219,7 @@ def heat_limit(t):
     return t("events").groupBy("user_id").agg(F.round(F.greatest(F.avg("value") + (F.max("value") - F.avg("value")) * 0.5, F.lit(60.0)), 6).alias("heat"))
 
 
-@query("SELECT event_id, to_json(MAP {'k': json_extract_string(props, '$.k'), 'type': event_type}) AS metadata FROM events")
+@query("SELECT event_id, '{\"k\":' || json_extract(props, '$.k') || ',\"type\":\"' || event_type || '\"}' AS metadata FROM events")
 def metadata_merge(t):
     """JSON with a second object's values over it."""
     from papyra.functions.values import merged
