@@ -4,13 +4,33 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: What folding makes of letters that lower case keeps apart (fixed values of Unicode's full case folding for those in common use).
+FOLDED = {"ß": "ss", "ẞ": "ss", "ſ": "s", "ς": "σ", "µ": "μ", "ŉ": "ʼn", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
 def fold(text: Column) -> Column:
-    """Case-folded key of a text: lower case with sharp s as ss."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Case-folded key of a text, for letters in common use without leaving the JVM: lower case, and FOLDED. casefolded() folds all."""
+    low = F.lower(text)
+    one, many = ({k: v for k, v in FOLDED.items() if (len(v) > 1) == several} for several in (False, True))
+    out = F.translate(low, "".join(one), "".join(one.values()))
+    for letter, to in many.items():
+        out = F.replace(out, F.lit(letter), F.lit(to))
+    return F.when(low.rlike(f"[{''.join(FOLDED)}]"), out).otherwise(low)
+
+
+def casefolded(text: Column) -> Column:
+    """A text's full case folding, as Unicode has it. Null stays null."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(str.casefold, na_action="ignore")
+
+    return run(text)
 
 
 def collapse(text: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,3 +160,55 @@ def aligned_progress(progress: DataFrame, blocks: DataFrame, owner: str, uid: st
     rows = order.join(progress, owner, "left").withColumn("segments", rules.aligned(F.coalesce("seconds", F.create_map().cast("map<string,int>")), F.col("uids")))
     rows = rows.withColumn("active", rules.position(F.col("uids"), F.col("active_uid"))).withColumn("total", F.aggregate("segments", F.lit(0), lambda s, x: s + x))
     return rows.select(owner, "segments", "active", "total", rules.read_percent(F.col("active"), F.col("segments"), F.col("total")).alias("percent"))
+
+
+def listed(articles: DataFrame, shown: str = "all", sort: str = "updated", most: int = 500) -> DataFrame:
+    """The first `most` articles of one filter in one order, with read_percent and place.
+
+    articles: (id, title, external_id, status, updated, translatable, translated, state, seconds, segments, active). shown:
+    all, reading (read for some time), needs_translation or translated; sort: updated (newest first), title (blind to case
+    and accents first, as readers sort) or progress (furthest first). Ties go by id.
+    """
+    seconds, segments = F.coalesce("seconds", F.lit(0)), F.coalesce("segments", F.lit(0))
+    # halves go up
+    done = F.least(F.lit(100), F.floor((F.col("active") + 1) * 100.0 / segments + 0.5))
+    rows = articles.withColumn("read_percent", F.when((segments > 0) & (seconds > 0) & F.col("active").isNotNull(), done).otherwise(0).cast("long"))
+    tests = {"all": F.lit(True), "reading": seconds > 0, "needs_translation": F.greatest(F.col("translatable") - F.col("translated"), F.lit(0)) > 0, "translated": F.col("state") == "translated"}
+    name = F.coalesce("title", "external_id")
+    orders = {"updated": [F.desc_nulls_last("updated")], "title": [F.collate(name, "UNICODE_CI_AI"), F.collate(name, "UNICODE")], "progress": [F.desc("read_percent")]}
+    first = rows.where(tests[shown]).orderBy(*orders[sort], "id").limit(most)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*orders[sort], "id")))
+
+
+def list_counts(articles: DataFrame) -> DataFrame:
+    """source, articles, reading, translated, archived of listed() articles (source)."""
+    return articles.groupBy("source").agg(F.count(F.lit(1)).alias("articles"), F.count_if(F.coalesce("seconds", F.lit(0)) > 0).alias("reading"), F.count_if(F.col("state") == "translated").alias("translated"), F.count_if(F.col("status") == "archived").alias("archived"))
+
+
+def usable_variants(variants: DataFrame) -> DataFrame:
+    """The renderings that a reader can show: ok, with the uid of a block."""
+    return variants.where((F.col("status") == "ok") & rules.filled(F.col("seen_uid")))
+
+
+def seed_categories(articles: DataFrame, library: str, place: str, most: int = 8) -> DataFrame:
+    """library, category, weight, rank of each library's first categories: 2 for each article's primary one, 1 for each of its categories; ties go to the one that was met first.
+
+    articles: (library, place, primary, categories). An article's primary category is met before its others.
+    """
+    main = F.array(F.struct(F.lit(0).alias("at"), F.col("primary").alias("category"), F.lit(2).alias("weight")))
+    others = F.transform(F.coalesce("categories", F.array().cast("array<string>")), lambda c, k: F.struct((k + 1).alias("at"), c.alias("category"), F.lit(1).alias("weight")))
+    rows = articles.select(library, place, F.inline(F.concat(main, others))).where(rules.filled(F.col("category")))
+    sums = rows.groupBy(library, "category").agg(F.sum("weight").alias("weight"), F.min(F.struct(place, "at")).alias("papyra_first"))
+    ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy(library).orderBy(F.desc("weight"), "papyra_first")))
+    return ranked.where(F.col("rank") <= most).drop("papyra_first")
+
+
+def cache_key(prefix: str, fields: Column, ascii: bool = True) -> Column:
+    """A key for what was asked: the prefix and the SHA-256 of a struct's fields as JSON with sorted keys, null ones too, other characters than ASCII as escapes if asked for."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        plain = texts.map(lambda t: json.dumps(json.loads(t), sort_keys=True, ensure_ascii=ascii))
+        return prefix + plain.map(lambda t: hashlib.sha256(t.encode()).hexdigest())
+
+    return run(F.to_json(fields, {"ignoreNullFields": "false"}))

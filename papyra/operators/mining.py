@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,8 +102,6 @@ def affected(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> D
 
 def protected_glossary(terms: dict[str, str]):
     """A pandas UDF that replaces terms outside code and math."""
-    import re
-
     guard = re.compile(r"(```.*?```|`[^`]*`|\$\$.*?\$\$|\$[^$]*\$)", re.S)
     ordered = [(re.compile(rf"(?<![\w-]){re.escape(s)}(?![\w-])", re.I), terms[s]) for s in sorted(terms, key=lambda s: (-len(s), s))]
 
@@ -151,7 +150,8 @@ def weighted_top(rows: DataFrame, key: str, weight: Column, place: Column, k: in
 def hint_scores(docs: DataFrame, hints: dict[str, dict[str, float]], id_col: str, text_col: str) -> DataFrame:
     """id, category, score: weighted counts of each category's hints in a text, those above zero."""
     text = F.lower(F.col(text_col))
-    count = lambda h: F.regexp_count(text, F.lit(rf"(?<![\w-]){h.replace(' ', chr(92) + 's+')}(?![\w-])"))
+    spaced = lambda h: r"\s+".join(re.escape(w) for w in h.split())
+    count = lambda h: F.regexp_count(text, F.lit(rf"(?<![\w-]){spaced(h)}(?![\w-])"))
     scores = F.array(*[F.struct(F.lit(c).alias("category"), sum((count(h) * w for h, w in hs.items()), F.lit(0.0)).alias("score")) for c, hs in hints.items()])
     return docs.select(id_col, F.explode(scores).alias("s")).select(id_col, "s.category", "s.score").where("score > 0")
 

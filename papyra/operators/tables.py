@@ -85,8 +85,11 @@ def single_default(rows: DataFrame, group: list[str], id_col: str, chosen_id, fl
 
 
 def both_differences(expected: DataFrame, returned: DataFrame) -> DataFrame:
-    """Rows that one side alone has, with the side."""
-    return expected.exceptAll(returned).withColumn("side", F.lit("missing")).unionByName(returned.exceptAll(expected).withColumn("side", F.lit("unexpected")))
+    """Rows that one side alone has, or has more often, with the side: both sides are counted in one aggregation, null equal to null."""
+    side = lambda rows, sign: rows.select(*expected.columns).withColumn("papyra_sign", F.lit(sign))
+    sums = side(expected, 1).unionByName(side(returned, -1)).groupBy(*expected.columns).agg(F.sum("papyra_sign").alias("papyra_sum")).where("papyra_sum <> 0")
+    rows = sums.select(*expected.columns, F.when(F.col("papyra_sum") > 0, "missing").otherwise("unexpected").alias("side"), F.explode(F.sequence(F.lit(1).cast("long"), F.abs("papyra_sum"))).alias("papyra_n"))
+    return rows.drop("papyra_n")
 
 
 def first_spellings(rows: DataFrame, text: Column, place: str, most: int = 80) -> DataFrame:

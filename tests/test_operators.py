@@ -52,8 +52,8 @@ def test_values(spark):
     assert one(spark, values.dot(F.array(F.lit(1.0)), F.array(F.lit(3.0), F.lit(4.0)))) == 0.0
     assert one(spark, values.percent(F.lit(1), F.lit(8))) == 13
     assert one(spark, values.percent(F.lit(1), F.lit(0))) == 0
-    assert one(spark, values.merged(F.lit('{"a":"1","b":"2"}'), F.lit('{"b":"3"}'))) == {"a": "1", "b": "3"}
-    assert one(spark, values.merged(F.lit(None).cast("string"), F.lit('{"b":"3"}'))) == {"b": "3"}
+    assert one(spark, F.to_json(values.merged(F.lit('{"a":"1","b":"2"}'), F.lit('{"b":"3"}')))) == '{"a":"1","b":"3"}'
+    assert one(spark, F.to_json(values.merged(F.lit(None).cast("string"), F.lit('{"b":"3"}')))) == '{"b":"3"}'
     assert one(spark, values.repaired_json(F.lit('x {"a": 1} y'))) == '{"a": 1}'
     assert one(spark, values.repaired_json(F.lit("none"))) is None
     assert one(spark, values.expired(F.lit(None).cast("timestamp"), F.current_timestamp())) is True
