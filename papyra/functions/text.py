@@ -99,6 +99,26 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?。！？])\s+"), F.trim), lambda s: s != "")
 
 
+#: What a full stop after it doesn't end a sentence, and what may close a sentence after its end (fixed values).
+ABBREVIATIONS = ["e\\.g", "i\\.e", "fig", "eq", "eqn", "sec", "ref", "dr", "prof", "vs", "no", "al"]
+CLOSERS = "[\"'”’)\\]}]*"
+
+
+def read_sentences(text: Column) -> Column:
+    """Sentences as they are read aloud: by Latin and CJK terminators, white space or not, with the quotes and brackets that close them; points within numbers and after abbreviations end none."""
+    short = rf"(?<!(?i)(?<![A-Za-z0-9_])(?:{'|'.join(ABBREVIATIONS)}))"
+    ends = rf"(?:[。！？；!?;]|{short}(?:(?<![0-9])\.|\.(?![0-9]))){CLOSERS}"
+    parts = F.split(F.regexp_replace(F.translate(text, "\u0001", " "), ends, "$0\u0001"), "\u0001")
+    return F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
+
+
+def spoken(markdown: Column) -> Column:
+    """Markdown as sentences are read from it: code blocks go, code, images and links leave their text, marks go."""
+    for pattern, by in ((r"(?s)```.*?```", " "), (r"`([^`]+)`", "$1"), (r"!\[([^\]]*)\]\([^)]+\)", "$1"), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"[*_~#>|-]+", " ")):
+        markdown = F.regexp_replace(markdown, pattern, by)
+    return collapse(markdown)
+
+
 def title_key(text: Column) -> Column:
     """Letters and digits of a title in lower case, all else as single blanks."""
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "))

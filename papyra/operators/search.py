@@ -63,6 +63,17 @@ def substring_scores(docs: DataFrame, query: str, id_col: str, text_col: str) ->
     return docs.select(id_col, total.alias("score")).where("score > 0")
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The rows of batches (key, words) in runs of about `most` words; a row of more is a run of its own."""
+    for batch in batches:
+        ends, start = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)), 0
+        while start < batch.num_rows:
+            done = ends[start - 1] if start else 0
+            stop = max(int(np.searchsorted(ends, done + most, "right")), start + 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def hashed_embeddings(docs: DataFrame, id_col: str, text_col: str, dimensions: int = 64) -> DataFrame:
     """id, slot, value: signed hashed term frequencies of unit length, without the zeros.
 
@@ -71,7 +82,7 @@ def hashed_embeddings(docs: DataFrame, id_col: str, text_col: str, dimensions: i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             key, words = batch.columns
             coded = words.flatten().dictionary_encode()
             if not len(coded):
@@ -118,3 +129,12 @@ def best_title(pages: DataFrame, wanted: str, id_col: str, title: Column) -> Dat
 
     key, want = title_key(title), title_key(F.lit(wanted))
     return pages.select(id_col, F.when(key == want, 0).when((key != "") & (F.contains(key, want) | F.contains(want, key)), 1).otherwise(2).alias("tier"))
+
+
+def picked_title(candidates: DataFrame, group: str, wanted: Column, title: Column, order: str) -> DataFrame:
+    """group, order, tier: of each group's candidates the first whose folded title is the wanted one, else the first of which one holds the other, else the first of all."""
+    from papyra.functions.text import title_key
+
+    key, want = title_key(F.coalesce(title, F.lit(""))), title_key(wanted)
+    tier = F.when(key == want, 0).when(F.contains(key, want) | F.contains(want, key), 1).otherwise(2)
+    return candidates.select(group, order, tier.alias("tier")).groupBy(group).agg(F.min(F.struct("tier", order)).alias("best")).select(group, f"best.{order}", "best.tier")

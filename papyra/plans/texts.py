@@ -299,3 +299,27 @@ def json_repair(t):
     """Fields of the objects that replies hold."""
     reply = F.concat(F.lit("Here:\n```json\n"), "props", F.lit("\n```"))
     return t("events").select("event_id", F.get_json_object(repaired_json(reply), "$.k").alias("k"))
+
+
+SPOKEN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)```.*?```', ' ', 'g'), '`([^`]+)`', '\\1', 'g'), '!\\[([^\\]]*)\\]\\([^)]+\\)', '\\1', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g'), '[*_~#>|-]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+KEPT = f"regexp_replace(regexp_replace(regexp_replace({SPOKEN}, '([0-9])\\.([0-9])', '\\1' || chr(2) || '\\2', 'g'), '([0-9])\\.([0-9])', '\\1' || chr(2) || '\\2', 'g'), '(?i)(^|[^A-Za-z0-9_])(e\\.g|i\\.e|fig|eq|eqn|sec|ref|dr|prof|vs|no|al)\\.', '\\1\\2' || chr(2), 'g')"
+
+
+@query(f"SELECT doc_id, len(s) AS sentences, sha256(array_to_string(s, chr(1))) AS digest FROM (SELECT doc_id, list_transform(list_filter(list_transform(string_split(regexp_replace({KEPT}, '[。！？；.!?;][\"''”’)\\]}}]*', '\\0' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), lambda x: replace(x, chr(2), '.')) AS s FROM documents)")
+def sentences_read(t):
+    """Sentences of documents as they are read aloud: their number and a digest of them all."""
+    s = tx.read_sentences(tx.spoken(F.col("text")))
+    return t("documents").select("doc_id", F.size(s).alias("sentences"), F.sha2(F.array_join(s, "\u0001"), 256).alias("digest"))
+
+
+@query(f"SELECT search, page_id, tier FROM (SELECT page_id % 20 AS search, page_id, CASE WHEN k = 'the and' THEN 0 WHEN contains(k, 'the and') OR contains('the and', k) THEN 1 ELSE 2 END AS tier FROM (SELECT page_id, {TITLE} AS k FROM pages)) QUALIFY row_number() OVER (PARTITION BY search ORDER BY tier, page_id) = 1")
+def title_pick(t):
+    """Of each search's pages the one whose title fits best."""
+    rows = t("pages").select((F.col("page_id") % 20).alias("search"), "page_id", F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("title"))
+    return search.picked_title(rows, "search", F.lit("The and"), F.col("title"), "page_id")
+
+
+@query("SELECT doc_id, contains(t, 'that')::INT + contains(t, 'ation')::INT + contains(t, 'of the')::INT + contains(t, 'strasse')::INT AS hits FROM (SELECT doc_id, replace(lower(text), 'ß', 'ss') AS t FROM documents)")
+def keyword_hits(t):
+    """Keywords that stand in documents, within words too."""
+    return t("documents").select("doc_id", mining.keyword_hits(F.col("text"), ["That", "ation", " of  the ", "that", "", "STRASSE"]).alias("hits"))

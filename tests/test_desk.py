@@ -95,3 +95,25 @@ def test_keys(spark):
     for ascii in (True, False):
         text = json.dumps({"z": ["a", "é"], "n": 3, "m": None, "f": True}, sort_keys=True, ensure_ascii=ascii)
         assert row.select(library.cache_key("p:", F.struct("*"), ascii)).first()[0] == "p:" + hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_sentences(spark):
+    from papyra.functions.text import read_sentences, spoken
+
+    cases = {
+        "One. Two!Three?": ["One.", "Two!", "Three?"], "Pi is 3.14. See Fig. 2, eq. 1.2.3; no.": ["Pi is 3.14.", "See Fig. 2, eq. 1.2.3;", "no."], 'He said "so." Then (yes!) left': ['He said "so."', "Then (yes!)", "left"],
+        "一。二！三": ["一。", "二！", "三"], "config. Next": ["config.", "Next"], "Et al. write": ["Et al. write"], "a...": ["a.", ".", "."], "": [], "  ": [], "no end": ["no end"],
+    }
+    rows = spark.createDataFrame([(k,) for k in [*cases, None]], "t string").select("t", read_sentences(F.col("t")).alias("s")).collect()
+    assert {r.t: r.s for r in rows} == cases | {None: None}
+    text = "a `code` ```x\ny``` ![alt](u) [link](v) **b**"
+    assert spark.range(1).select(spoken(F.lit(text))).first()[0] == "a code alt link b"
+
+
+def test_picked_titles(spark):
+    from papyra.operators import search
+
+    rows = [(1, 3, "The Net"), (1, 1, "other"), (1, 2, "the net!"), (2, 1, "x"), (2, 2, "a the net b"), (3, 5, "y"), (3, 4, "x"), (4, 1, "x"), (4, 2, None)]
+    table = spark.createDataFrame(rows, "search int, id int, title string")
+    got = {r.search: (r.id, r.tier) for r in search.picked_title(table, "search", F.lit("The net"), F.col("title"), "id").collect()}
+    assert got == {1: (2, 0), 2: (2, 1), 3: (4, 2), 4: (2, 1)}
