@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -128,7 +128,14 @@ def file_names(assets: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["package", "asset", "place", "file"])
 
     rows = assets.select(F.col("package").cast("string"), F.col("asset").cast("string"), F.col("place").cast("long"), slug(F.col("asset")).alias("stem"), F.coalesce("suffix", F.lit("")).alias("suffix"))
-    return rows.groupBy("package").applyInPandas(run, "package string, asset string, place long, file string")
+    stem = F.when(F.col("stem") == "", "asset").otherwise(F.col("stem"))
+    number = F.row_number().over(Window.partitionBy("package", stem, "suffix").orderBy("place", "asset"))
+    named = rows.withColumn("papyra_n", number).withColumn("file", F.concat(stem, F.when(F.col("papyra_n") > 1, F.concat(F.lit("-"), F.col("papyra_n").cast("string"))).otherwise(""), "suffix"))
+    # only where a numbered name is another asset's own are names given one after the other
+    odd = named.groupBy("package", "file").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("package").distinct()
+    plain = named.join(odd, "package", "left_anti").select("package", "asset", "place", "file")
+    loop = rows.join(odd, "package", "left_semi").select(*rows.columns).groupBy("package").applyInPandas(run, "package string, asset string, place long, file string")
+    return plain.unionByName(loop)
 
 
 def package_entries(bodies: DataFrame, assets: DataFrame, mark: str) -> DataFrame:

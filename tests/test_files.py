@@ -131,3 +131,11 @@ def test_typed_json(spark):
     low = F.array(F.lit("the"))
     kept = [r[0] for r in spark.createDataFrame([('{"k": ["The", "net"], "n": 1}',), ('{"n": 1}',), ("[1]",)], "p string").select(values.without_low(F.col("p"), "k", low)).collect()]
     assert kept == ['{"n":1,"k":["net"]}', '{"n": 1}', None]
+
+
+def test_file_names(spark):
+    """Numbered names that are another asset's own are passed over."""
+    rows = [("a", "Fig", 1, ".png"), ("a", "fig", 2, ".png"), ("a", "fig 2", 3, ".png"), ("a", "", 4, None), ("a", "--", 5, None), ("b", "fig", 1, ".png"), ("b", "FIG", 2, ".png"), ("b", "fig", 3, ".pdf")]
+    assets = spark.createDataFrame(rows, "package string, asset string, place long, suffix string")
+    got = {(r.package, r.place): r.file for r in packages.file_names(assets).collect()}
+    assert got == {("a", 1): "fig.png", ("a", 2): "fig-2.png", ("a", 3): "fig-2-2.png", ("a", 4): "asset", ("a", 5): "asset-2", ("b", 1): "fig.png", ("b", 2): "fig-2.png", ("b", 3): "fig.pdf"}
