@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from papyra.functions import values
+from papyra.functions import cleanup, values
 from papyra.operators import compare
 from papyra.plans.registry import query
 from papyra.sources import lookup, packages
@@ -60,3 +60,13 @@ def external_refs(t):
     k = F.col("doc_id").cast("string")
     reply = F.concat(F.lit('{"citations":[{"title":" T'), k, F.lit(' ","arxivId":"'), k, F.lit('","n":'), F.col("quality").cast("string"), F.lit(',"o":{"x":[1,"2"]}},3,{"text":"s","url":'), F.col("toxic").cast("string"), F.lit(',"flag":true}]}'))
     return t("labels").select("doc_id", F.posexplode(values.external_refs(reply)).alias("at", "r")).select("doc_id", (F.col("at") + 1).alias("place"), "r.title", "r.url", "r.arxiv_id", "r.raw_snippet", "r.metadata")
+
+
+@query("""SELECT p_partkey, 'See [https://x.org/' || p_partkey || '](https://x.org/' || p_partkey || '). and [Key' || p_partkey || '], by [A et al. (2020)](#bib.b' || p_size || ') end' AS line, p_name || chr(10) || chr(10) || 'b' || chr(10) || '- ' || p_size || chr(10) || chr(10) || 'c' AS block FROM part""")
+def markdown_clean(t):
+    """Converted Markdown with its addresses linked and without what conversion leaves, and blocks with single gaps."""
+    k, n = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    line = F.concat(F.lit("See  https://x.org/"), k, F.lit(". and Key"), k, F.lit(" [Key"), k, F.lit("] ,\n by [A  et al.(2020), p. 1](#bib.b"), n, F.lit(") \\citeauthor{x}end "))
+    block = F.concat("p_name", F.lit(" \r\n\n\n b \n \n- "), n, F.lit("\n\n\nc\n\n"))
+    lines = F.regexp_replace(cleanup.compact(block), r"(?m)^ b", "b")
+    return t("part").select("p_partkey", cleanup.clean(line).alias("line"), lines.alias("block"))

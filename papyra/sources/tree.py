@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyra.functions.cleanup import compact_label
 from papyra.functions.texmath import normal_math
 from papyra.sources.html import VOID
 
@@ -144,11 +145,35 @@ def _whole(x: ET.Element) -> str:
     return "$" + tex.replace("$", r"\$") + "$" if tex else plain(x)
 
 
+#: Marks and tags of notes, which readers don't see within a line, and notes at the foot, which they read in brackets (fixed values).
+NOTE_MARKS, FOOTNOTE = ("ltx_note_mark", "ltx_tag_note"), "ltx_role_footnote"
+#: Citations that nothing in the bibliography answers (fixed values).
+UNANSWERED = ("ltx_missing_citation", "ltx_ref_self")
+
+
+def _cited(x: ET.Element, inside: str) -> str:
+    """A citation without the brackets around its links, or in brackets where the bibliography has no answer."""
+    text = " ".join(inside.split())
+    bare = text[1:-1].strip() if text.startswith("[") and text.endswith("]") else text
+    if any(a.get("href", "").startswith("#bib.") for a in x.iter("a")):
+        return bare if not bare.startswith("[") or text.startswith("[[") else inside
+    if not any(m in classes(e).split() for e in x.iter() for m in UNANSWERED) or not bare:
+        return inside
+    return "[" + re.sub(r"([,;:])(?=\S)", r"\1 ", re.sub(r"\s+([,.;:])", r"\1", bare)) + "]"
+
+
 def _wrapped(x: ET.Element, inside: str) -> str:
     """An element's inline content with its marks."""
-    text = " ".join(inside.split())
+    text, names = " ".join(inside.split()), classes(x).split()
+    if any(m in names for m in NOTE_MARKS):
+        return ""
+    if FOOTNOTE in names:
+        return f" ({text.removesuffix('.').strip()})" if text else ""
+    if x.tag == "cite":
+        return _cited(x, inside)
     if text and x.tag == "a" and x.get("href"):
         label = text[1:-1] if text.startswith("[") and text.endswith("]") else text
+        label = compact_label(label) if x.get("href").startswith("#bib.") else label
         return f"[{label}]({x.get('href')})"
     return INLINE[x.tag] + text + INLINE[x.tag] if text and x.tag in INLINE else inside
 
