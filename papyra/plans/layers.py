@@ -293,7 +293,8 @@ def reference_kinds(t):
 def enriched(t):
     """Rows with what a later step found out about them."""
     found = t("labels").select("doc_id", F.when(F.col("quality") == 1, "q1").otherwise("q0").alias("lang"))
-    return library.merged_by_id(t("documents").select("doc_id", "lang", "source"), found.unionByName(found.limit(1).withColumn("doc_id", F.lit(-1).cast("long"))), "doc_id", "lang")
+    unknown = found.sparkSession.range(1).select(F.lit(-1).cast("long").alias("doc_id"), F.lit("q0").alias("lang"))
+    return library.merged_by_id(t("documents").select("doc_id", "lang", "source"), found.unionByName(unknown), "doc_id", "lang")
 
 
 @query("""SELECT doc_id, sha256(concat_ws(chr(10), '### p-' || doc_id, '', '> [!note] Idea · p-' || doc_id, '> **Source**', '> ' || replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), chr(10), chr(10) || '> '), '>', '> **Translation (zh)**',

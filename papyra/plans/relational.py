@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from papyra.functions.text import content_hash, fold
@@ -247,7 +246,8 @@ def single_default(t):
 def source_counts(t):
     """Documents by source, with the busiest."""
     sums = t("documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    return sums.withColumn("busiest", F.first("source").over(Window.orderBy(F.desc("n"), "source")))
+    busiest = sums.agg(F.min_by("source", F.struct(-F.col("n"), "source")).alias("busiest"))  # one row
+    return sums.crossJoin(F.broadcast(busiest))
 
 
 @query("SELECT lang, collapse AS lines, count(*) AS n FROM (SELECT lang, len(string_split(trim(text), chr(10))) AS collapse FROM documents) GROUP BY 1, 2")
