@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from papyra.functions import texmath
@@ -12,14 +13,16 @@ from papyra.sources import figures
 def papers(t):
     """page_id, html, xml: of each order a figure whose panels are its lines; every other page isn't well-formed."""
     part, w = F.col("l_partkey").cast("string"), F.col("w").cast("string")
-    place = F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey")
+    place = F.col("place").cast("string")
     img = lambda more: F.concat(F.lit('<img id="i'), place, F.lit('" src="p'), part, F.lit(f'.png" {more}width="'), F.col("l_suppkey").cast("string"), F.lit('px" height="'), w, F.lit('"/>'))
     panel = F.concat(F.lit('<div style="color: red; width: '), w, F.lit('.5pt"><span>'), img(""), F.lit("</span></div>"))
     own = F.concat(F.lit('<img id="i'), place, F.lit('" src="p'), part, F.lit('.png" style="width:'), w, F.lit('pt;" width="'), F.col("l_suppkey").cast("string"), F.lit('px" height="'), w, F.lit('"/>'))
     bare = F.concat(F.lit('<img id="i'), place, F.lit('"/>'))
     line = F.when(F.col("l_partkey") % 4 == 0, panel).when(F.col("l_partkey") % 4 == 1, own).when(F.col("l_partkey") % 4 == 2, img("")).otherwise(bare)
     graphic = F.concat(F.lit('<graphics xml:id="i'), place, F.lit('" graphic="./g'), part, F.lit('.pdf rest" options="scale=1,width='), w, F.lit('pt"/>'))
-    lines = t("lineitem").withColumn("w", F.col("l_quantity").cast("int")).select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey", "w", line.alias("line"), graphic.alias("graphic")).alias("x"))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    lines = t("lineitem").withColumn("w", F.col("l_quantity").cast("int")).withColumn("place", F.row_number().over(order))
+    lines = lines.select("l_orderkey", F.struct("place", line.alias("line"), graphic.alias("graphic")).alias("x"))
     own_lines = lines.groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_sort(F.collect_list("x")).alias("xs"))
     key = F.col("page_id")
     style = F.when(key % 5 == 0, F.lit(' style="width:400pt"')).otherwise(F.lit(""))
@@ -31,7 +34,7 @@ def papers(t):
     return own_lines.select("page_id", html.alias("html"), xml.alias("xml"))
 
 
-L = """l AS (SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)::INTEGER AS place, 'i' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS element, l_partkey % 4 AS k, l_quantity::INTEGER AS w,
+L = """l AS (SELECT l_orderkey AS page_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity)::INTEGER AS place, 'i' || row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS element, l_partkey % 4 AS k, l_quantity::INTEGER AS w,
   CASE WHEN l_partkey % 4 < 3 THEN 'p' || l_partkey || '.png' END AS reference, CASE WHEN l_partkey % 4 < 3 THEN nullif(l_suppkey, 0)::DOUBLE END AS width, CASE WHEN l_partkey % 4 < 3 THEN l_quantity::INTEGER::DOUBLE END AS height,
   CASE l_partkey % 4 WHEN 0 THEN l_quantity::INTEGER + 0.5 WHEN 1 THEN l_quantity::INTEGER ELSE CASE WHEN l_orderkey % 5 = 0 THEN 400 END END::DOUBLE AS panel_pt,
   CASE l_partkey % 4 WHEN 0 THEN 'inherited' WHEN 1 THEN 'own' ELSE CASE WHEN l_orderkey % 5 = 0 THEN 'inherited' END END AS origin, 'g' || l_partkey || '.pdf' AS graphic FROM lineitem)"""
