@@ -87,10 +87,10 @@ def glossary_candidates(docs: DataFrame, text_col: str, least: int = 2, sizes: t
     return sums.where((F.col("uses") >= least) & worded(F.col("phrase")))
 
 
-def apply_glossary(text: Column, terms: dict[str, str]) -> Column:
-    """Terms replaced by their targets, the longest first."""
+def apply_glossary(text: Column, terms: dict[str, str], apart: bool = False) -> Column:
+    """Terms replaced by their targets, the longest first; apart: as replace_term() has it."""
     for source in sorted(terms, key=lambda s: (-len(s), s)):
-        text = replace_term(text, source, terms[source])
+        text = replace_term(text, source, terms[source], apart=apart)
     return text
 
 
