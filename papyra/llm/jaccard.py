@@ -179,34 +179,48 @@ def shared_tokens(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -
 
 
 def reaches(rows: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """digest, n, reach of the sets of the rows (token, digest): how many tokens a set that is linked to them can have.
+    """digest, n, reach, start of the sets of the rows (token, digest): a linked set that isn't larger has `reach` tokens at most, one that isn't smaller has `start` at least.
 
-    Of a set's prefix only the tokens listed here can be in another set, so no overlap is larger than `rest`, and an
-    overlap of `rest` allows a partner of `reach` tokens at most. Sets without such a partner are left out.
+    Linked sets of overlap o list the first o - g tokens that they have in common in both prefixes, where g is the larger
+    one's number of tokens beyond its prefix; a token of the smaller one's prefix may lie beyond the prefix of the larger.
+    So each lists o - g tokens at least, and o follows from their sizes. Sets without a possible partner are left out.
     """
     sizes = members.groupBy("digest").agg(F.first("n_shingles").alias("n"))
     prefix = F.expr(f"n - (n * {percent} + 99) div 100 + n div {EXTRA} + 1")
-    rest = F.col("n") - (F.least(prefix, F.col("n")) - F.col("common"))
+    # where n div EXTRA has just grown, a slightly smaller set may have one more token beyond its prefix
+    more = F.expr(f"CASE WHEN n % {EXTRA} < {-(-100 // percent)} THEN 1 ELSE 0 END")
+    rest = F.col("n") - (F.least(prefix, F.col("n")) - F.col("common")) + more
+    share = percent / (100 + percent)
+    slope, most = percent / 100 - 1 / EXTRA - share, 0.99 - 1 / EXTRA  # g is below size * (percent / 100 - 1 / EXTRA) + most
+    start = F.ceil((share * F.col("n") - most - F.col("common")) / slope - 1e-6) if slope > 0 else F.col("n")
     found = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("common")).join(sizes, "digest").withColumn("rest", rest)
-    return found.select("digest", "n", F.expr(f"(rest * {100 + percent}) div {percent} - n").alias("reach")).where(F.col("reach") * 100 >= F.col("n") * percent)
+    found = found.select("digest", "n", F.least("n", F.expr(f"(rest * {100 + percent}) div {percent} - n")).alias("reach"), F.greatest("n", start).alias("start"))
+    return found.where((F.col("reach") * 100 >= F.col("n") * percent) | (F.col("start") * percent <= F.col("n") * 100))
 
 
 def overlapping(shared: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """The rows of sets that may be linked to another set of one of their prefix tokens, with n and reach. Written once.
+    """The rows of sets that may be linked to another set of one of their prefix tokens, with n, reach and start. Written once.
 
-    Two sets can only be linked if each one's size is within the other's reach. For each token the sizes and reaches of
-    its sets are summed up by steps of a hundredth in size, so a token of any number of sets is held against a few
-    hundred steps. What a set that falls out leaves behind may leave others short, so all of this is done twice.
+    Two sets can only be linked if the smaller one's size is within the larger one's reach, and the larger one's from the
+    smaller one's start on. For each token these are summed up by steps of a hundredth in size, so a token of any number
+    of sets is held against a few hundred steps. What a set that falls out leaves behind may leave others short, so all
+    of this is done twice.
     """
-    shared = shared.withColumns({"n": F.lit(0).cast("long"), "reach": F.lit(0).cast("long")})
+    shared = shared.withColumns({c: F.lit(0).cast("long") for c in ("n", "reach", "start")})
     step = F.floor(F.log("n") / np.log(1.03))
     for _ in range(2):
-        wide = shared.drop("n", "reach").join(reaches(shared, members, percent), "digest").withColumn("step", step)
-        # of each step: its least size and largest reach, and how many of its sets reach sets of the step
-        steps = wide.groupBy("token", "step").agg(F.min("n").alias("least"), F.max("reach").alias("top"), F.count_if(F.col("reach") >= F.floor(F.pow(F.lit(1.03), "step"))).alias("able"))
-        steps = steps.groupBy("token").agg(F.collect_list(F.struct("step", "least", "top", "able")).alias("steps"))
-        partner = F.exists("steps", lambda x: F.when(x["step"] == F.col("step"), x["able"] > 1).otherwise((x["least"] <= F.col("reach")) & (x["top"] >= F.col("n"))))
-        before, shared = shared, written(wide.join(steps, "token").where(partner).select("token", "digest", "many", "n", "reach"), "overlapping")
+        wide = shared.drop("n", "reach", "start").join(reaches(shared, members, percent), "digest").withColumn("step", step)
+        # whether a set may be the larger or the smaller one of a pair within its step; a step's sizes go by floating point, so a token more
+        wide = wide.withColumns({"larger": F.col("reach") >= F.floor(F.pow(F.lit(1.03), "step")) - 1, "smaller": F.col("start") <= F.ceil(F.pow(F.lit(1.03), F.col("step") + 1)) + 1})
+        # of each step: its sizes, largest reach, least start, and how many of its sets may be the one or the other
+        steps = wide.groupBy("token", "step").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("reach").alias("top"), F.min("start").alias("low"), F.count_if("larger").alias("larger"), F.count_if("smaller").alias("smaller"))
+        steps = steps.groupBy("token").agg(F.collect_list(F.struct("step", "least", "most", "top", "low", "larger", "smaller")).alias("steps"))
+        others = lambda x, name: x[name] - F.col(name).cast("long") > 0
+        beside = lambda x: F.col("smaller") & others(x, "larger") | F.col("larger") & others(x, "smaller")
+        above = lambda x: (x["top"] >= F.col("n")) & (x["most"] >= F.col("start")) & (x["least"] * percent <= F.col("n") * 100)
+        below = lambda x: (x["least"] <= F.col("reach")) & (x["low"] <= F.col("n")) & (x["most"] * 100 >= F.col("n") * percent)
+        partner = F.exists("steps", lambda x: F.when(x["step"] == F.col("step"), beside(x)).otherwise(above(x) | below(x)))
+        before, shared = shared, written(wide.join(steps, "token").where(partner).select("token", "digest", "many", "n", "reach", "start"), "overlapping")
         discard(before)
     return shared
 
@@ -339,33 +353,37 @@ def across_groups(shared: DataFrame, sets: DataFrame, groups: DataFrame, labels:
     # a document in no group is a group of its own
     where = sets.select("digest").join(groups.select("digest", "key", "part"), "digest", "left").join(label, "digest", "left")
     where = written(where.select("digest", F.coalesce("key", "digest").alias("key"), F.coalesce("part", F.lit(-1).cast("long")).alias("part"), F.coalesce("root", "digest").alias("root"), F.coalesce("members", F.lit(1).cast("long")).alias("members")), "where")
-    rows = shared.select("token", "digest", "n", "reach").join(where, "digest")
-    number, spark = ["token", "digest", "n", "reach", "key", "part", "root", "members"], shared.sparkSession
+    rows = shared.select("token", "digest", "n", "reach", "start").join(where, "digest")
+    number, spark = ["token", "digest", "n", "reach", "start", "key", "part", "root", "members"], shared.sparkSession
 
     wide = max(4, bucket_bits(spark) - 2)
 
     def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each document with the groups of components of higher rank in which one of a token's sets is within its reach, and it within that one's."""
+        """Each document with the groups of components of higher rank in which one of a token's sets may be linked to it, by size, reach and start."""
         rest, found = np.zeros((len(number), 0), np.int64), []
 
         def close(rows: np.ndarray) -> None:
-            digest, n, reach, key, part, root, members = rows[1:]
+            digest, n, reach, start, key, part, root, members = rows[1:]
+            least, most = -(-n * percent // 100), n * 100 // percent
             order = np.lexsort((n, part, key))
             starts = np.flatnonzero(np.append(True, (np.diff(key[order]) != 0) | (np.diff(part[order]) != 0)))
             for group in np.split(order, starts[1:]):
                 rank = max(zip(members[group].tolist(), root[group].tolist(), strict=True))
                 lower = (members < rank[0]) | ((members == rank[0]) & (root < rank[1]))
                 lower &= (key != key[group[0]]) | (part != part[group[0]])
-                # of the sets no larger than the reach the one of largest reach
-                at = np.searchsorted(n[group], reach, "right")
-                top = np.append(np.int64(-1), np.maximum.accumulate(reach[group]))[at]
-                some = digest[lower & (top >= n)]
+                # larger ones: the largest reach of those that aren't too large, and whether one is large enough
+                high = np.searchsorted(n[group], most, "right")
+                top = np.append(np.int64(-1), np.maximum.accumulate(reach[group]))[high]
+                above = (top >= n) & (np.searchsorted(n[group], start) < high)
+                # smaller ones: whether there is one within the reach
+                below = np.searchsorted(n[group], reach, "right") > np.searchsorted(n[group], least)
+                some = digest[lower & (above | below)]
                 found.append(np.stack([some, np.full(len(some), key[group[0]]), np.full(len(some), part[group[0]])]))
 
         def close_all(rows: np.ndarray, starts: np.ndarray) -> None:
             """Of the tokens that begin at `starts`, those that several components have."""
             ends = np.append(starts[1:], rows.shape[1])
-            several = np.maximum.reduceat(rows[6], starts) != np.minimum.reduceat(rows[6], starts)
+            several = np.maximum.reduceat(rows[7], starts) != np.minimum.reduceat(rows[7], starts)
             for x, y in zip(starts[several].tolist(), ends[several].tolist(), strict=True):
                 close(rows[:, x:y])
 

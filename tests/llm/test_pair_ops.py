@@ -276,3 +276,17 @@ def test_pipeline_stages_with_odd_rows_and_clashing_columns(spark):
     assert ids(jaccard.keep_one(docs)) == ["1", "3", "4", "6", "7", "None"]
     cut = {r.doc_id: r.text for r in repeats.cut_repeats(docs).collect()}
     assert cut[1] == text and 2 not in cut and cut[5].split() == ["and", "more", "words", "here"] and cut[6] == "same " * 5000
+
+
+def test_jaccard_at_the_threshold(spark):
+    """Pairs that just meet the threshold, of which the larger text has tokens of its own before or behind those in common."""
+    random.seed(5)
+    rows = []
+    for k in range(120):
+        more = random.choice([5, 10, 20, 60])  # 4 * more of 5 * more shingles are in common
+        words = [f"w{k}x{i}" for i in range(5 * more + 4)]
+        part = words[more:] if k % 2 else words[: 4 * more + 4]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(part[1:] if k % 5 == 4 else part))]  # every fifth has a shingle too few
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table).collect()}
+    assert got == links_by_hand(rows)
