@@ -7,12 +7,14 @@ import xml.etree.ElementTree as ET
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from papyra.functions.latex import page_layout
-from papyra.sources.tree import FILE_KEYS, IDS, classes, files, page_tree, tops, xml_tree
+from papyra.sources.tree import FILE_KEYS, IDS, classed, classes, files, page_tree, tops, xml_tree
 
 #: Elements that are images, environments that hold them, and names under which an element has its id (fixed values).
 IMAGES, FLOATS, ID_KEYS = ("img", "image", "object"), ("figure", "table", "algorithm"), ("id", "xml:id")
@@ -28,7 +30,9 @@ COLUMNS = f"block_uid string, block_type string, label string, flexible boolean,
 
 def _number(pattern: re.Pattern, text: str | None) -> float | None:
     """The positive number that a pattern finds, None for anything else."""
-    found = pattern.match(text or "") if pattern is LEADING else pattern.search(text or "")
+    if not text:
+        return None
+    found = pattern.match(text) if pattern is LEADING else pattern.search(text)
     try:
         value = float(found[1]) if found else 0.0
     except ValueError:  # such as 1.2.3
@@ -67,26 +71,32 @@ def environments(html: str | None) -> Iterator[tuple]:
             counts[kind] += 1
             prefix, width = IDS[kind]
             widths = [w for w in (_number(STYLE_WIDTH, x.get("style")) for x in e.iter()) if w is not None]
-            flexible = any(FLEX.search(classes(x)) for x in e.iter())
+            flexible = any(FLEX.search(classes(x)) for x in classed(e))
             yield f"{prefix}-{counts[kind]:0{width}}", kind, e.get("id") or e.get("label") or None, flexible, files(e), widths, images_of(e)
 
 
 def document_figures(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """id and COLUMNS of each environment of converted papers; a page is parsed in one call and nothing is shuffled. Null and empty pages have none."""
-    names = ["block_uid", "block_type", "label", "flexible", "files", "style_widths", "images"]
-    fields = ["place", "element", "reference", "width", "height", "panel_pt", "origin"]
+    names = ["papyra_key", "block_uid", "block_type", "label", "flexible", "files", "style_widths", "images"]
+    image = {"place": pa.int32(), "element": pa.string(), "reference": pa.string(), "width": pa.float64(), "height": pa.float64(), "panel_pt": pa.float64(), "origin": pa.string()}
+    kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.float64())]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def columns(rows: list[tuple], size: int, types: list[pa.DataType]) -> list[pa.Array]:
+        return [pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [()] * size, types, strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.iloc[at : at + 256]
-                rows = []
-                for key, html in zip(part["papyra_key"], part["papyra_html"], strict=True):
-                    rows += [(key, *row[:-1], [dict(zip(fields, x, strict=True)) for x in row[-1]]) for row in environments(html)]
-                yield pd.DataFrame(rows, columns=["papyra_key", *names])
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                found = [(at, row) for at, html in enumerate(part.column(1).to_pylist()) for row in environments(html)]
+                images = [x for _, row in found for x in row[-1]]
+                parts = pa.StructArray.from_arrays(columns(images, len(image), list(image.values())), list(image))
+                ends = pa.array(np.cumsum([0, *(len(row[-1]) for _, row in found)]), pa.int32())
+                rest = columns([row[:-1] for _, row in found], len(kinds), kinds)
+                yield pa.record_batch([part.column(0).take(pa.array([at for at, _ in found], pa.int64())), *rest, pa.ListArray.from_arrays(ends, parts)], names)
 
     kind = pages.schema[id_col].dataType.simpleString()
-    found = pages.select(F.col(id_col).alias("papyra_key"), F.col(html_col).alias("papyra_html")).mapInPandas(run, f"papyra_key {kind}, {COLUMNS}")
+    found = pages.select(F.col(id_col).alias("papyra_key"), F.col(html_col).cast("string").alias("papyra_html")).mapInArrow(run, f"papyra_key {kind}, {COLUMNS}")
     return found.withColumnRenamed("papyra_key", id_col)
 
 
