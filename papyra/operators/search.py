@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from papyra.functions.text import fold, occurrences, tokens
+from papyra.functions.text import fold_lower, occurrences, once, tokens
 from papyra.functions.values import bm25, dot, idf
 
 
@@ -58,9 +58,9 @@ def top(scored: DataFrame, id_col: str, k: int) -> DataFrame:
 
 def substring_scores(docs: DataFrame, query: str, id_col: str, text_col: str) -> DataFrame:
     """id, score: how often the query's terms occur in a text, within words too; where none does, no row."""
-    text = fold(F.col(text_col))
-    total = sum((occurrences(text, F.lit(t)) for t in query_terms(query)), F.lit(0))
-    return docs.select(id_col, total.alias("score")).where("score > 0")
+    total = lambda text: sum((occurrences(text, F.lit(t)) for t in query_terms(query)), F.lit(0))
+    score = once(once(F.lower(F.col(text_col)), fold_lower), total)
+    return docs.select(id_col, F.explode(F.filter(F.array(score), lambda n: n > 0)).alias("score"))  # a filter on top would work it out again
 
 
 def slices(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
