@@ -143,7 +143,7 @@ def reader_cards(blocks: DataFrame, group: str, uid: str, place: str, kind: str,
     card go too. Order: pairs first, then by uses, then by folded title, then by place. Null texts have no candidates.
     """
     cards = folded(found_candidates(blocks, group, uid, place, kind, text), group)
-    spelled = cards.where("abbreviation is not null").select(group, "norm", F.lit(True).alias("papyra_spelled")).distinct()
+    spelled = F.max(F.col("abbreviation").isNotNull()).over(Window.partitionBy(group, "norm"))  # blocks are gone through once
 
     @F.pandas_udf("boolean")
     def valuable(terms: pd.Series) -> pd.Series:
@@ -153,7 +153,7 @@ def reader_cards(blocks: DataFrame, group: str, uid: str, place: str, kind: str,
     def casefold(titles: pd.Series) -> pd.Series:
         return titles.map(str.casefold)
 
-    rows = cards.join(spelled, [group, "norm"], "left").where(F.col("abbreviation").isNotNull() | F.col("papyra_spelled").isNull())
+    rows = cards.withColumn("papyra_spelled", spelled).where(F.col("abbreviation").isNotNull() | ~F.col("papyra_spelled"))
     rows = rows.where(valuable(F.coalesce("full_form", "title")))
     order = [F.col("abbreviation").isNull(), F.desc("uses"), casefold(F.col("title")), "papyra_first", "key"]
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))

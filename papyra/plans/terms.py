@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from papyra.operators import cards, linking
+from papyra.operators.tables import dealt
 from papyra.plans.registry import query
 
 PARTS = "p AS (SELECT p_partkey, p_brand, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, upper(p_name[1]) || lower(p_name[2:]) AS n, upper(p_type[1]) || lower(p_type[2:]) AS t FROM part)"
@@ -16,7 +17,7 @@ def introductions(t):
     full = F.concat_ws(" ", F.initcap("p_name"), F.initcap("p_type"))
     initials = F.array_join(F.transform(F.split(full, " "), lambda w: F.substring(w, 1, 1)), "")
     text = F.concat(F.lit("Using the *"), full, F.lit("* ("), initials, F.lit("), with "), F.replace(F.initcap("p_name"), F.lit(" "), F.lit("")), F.lit(" by `Code Name (CN)`, Smith2020."))
-    return t("part").select("p_brand", F.concat(F.lit("p-"), F.col("p_partkey").cast("string")).alias("uid"), F.col("p_partkey").alias("place"), F.when(F.col("p_partkey") % 7 == 0, "code").otherwise("paragraph").alias("kind"), text.alias("text"))
+    return dealt(t("part")).select("p_brand", F.concat(F.lit("p-"), F.col("p_partkey").cast("string")).alias("uid"), F.col("p_partkey").alias("place"), F.when(F.col("p_partkey") % 7 == 0, "code").otherwise("paragraph").alias("kind"), text.alias("text"))
 
 
 @query(f"""WITH {NAMED}, c AS (
@@ -35,7 +36,7 @@ def instructions(t):
     """Parts as texts that name them outside and within code and formulas, whole and as a part of other words."""
     name, last = F.col("p_name"), F.substring_index("p_name", " ", -1)
     text = F.concat(F.lit("Take the "), name, F.lit(", `"), name, F.lit("`, $"), name, F.lit("$, "), last, F.lit("-like "), F.upper(last), F.lit(" or "), last, F.lit("s."))
-    return t("part").select("p_partkey", text.alias("text"))
+    return dealt(t("part")).select("p_partkey", text.alias("text"))
 
 
 def glossary(t):

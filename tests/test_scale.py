@@ -5,7 +5,8 @@ from __future__ import annotations
 import contextlib
 import io
 
-from papyra.operators import search
+from papyra.operators import cards, search
+from papyra.plans import terms
 
 
 def plan(df) -> str:
@@ -21,3 +22,9 @@ def test_substring_scores_lowers_a_text_once(spark):
     assert [tuple(r) for r in found.collect()] == [(1, 5)]
     made = docs.repartition(2)  # else the plan is a table of constants
     assert plan(search.substring_scores(made, "ation tr tra", "id", "text")).count("lower(") == 1
+
+
+def test_reader_cards_read_blocks_once_and_over_all_cores(spark):
+    blocks = terms.introductions(lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet"))
+    assert blocks.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert plan(cards.reader_cards(blocks, "p_brand", "uid", "place", "kind", "text")).count("MapInPandas") == 1
