@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,8 @@ from papyra.functions.text import canonical_key, collapse, fold, mentions, repla
 
 #: Words that neither begin nor end a phrase (fixed values).
 STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "can", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "we", "with"]
+#: Phrases are dealt into 2 to this number of buckets, which are summed one after the other.
+BUCKET_BITS = 12
 
 
 def bare_phrases(docs: DataFrame, id_col: str, text_col: str, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
@@ -40,7 +43,7 @@ def worded(phrase: Column) -> Column:
     return F.regexp_count(phrase, F.lit(r"(?U)(?<!\w)[\p{L}]{2,}(?!\w)")) >= 2
 
 
-def _spans(words: pa.ListArray, most: int = 1_000_000) -> Iterator[pa.ListArray]:
+def _spans(words: pa.ListArray, most: int = 500_000) -> Iterator[pa.ListArray]:
     """Slices of whole rows, of `most` words in all unless one row has more."""
     ends, start = np.cumsum(pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)), 0
     while start < len(words):
@@ -50,41 +53,109 @@ def _spans(words: pa.ListArray, most: int = 1_000_000) -> Iterator[pa.ListArray]
         start = stop
 
 
-def _phrase_sums(words: pa.ListArray, sizes: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """phrase, uses, documents of the n-grams of rows of words, a batch for each size."""
-    flat, row = words.flatten(), pc.list_parent_indices(words).to_numpy()
-    inner, now = pc.invert(pc.is_in(flat, value_set=pa.array(STOPWORDS))), flat
+def _phrase_sums(words: pa.ListArray, sizes: tuple[int, ...]) -> tuple[np.ndarray, pa.StringArray, np.ndarray, np.ndarray] | None:
+    """bucket, phrase, uses, documents of the n-grams of rows of words, by bucket.
+
+    Words have numbers, and n-grams those of their first n - 1 words and their last; only phrases that are told become text.
+    """
+    coded, row = words.flatten().dictionary_encode(), pc.list_parent_indices(words).to_numpy().astype("int64")
+    known, code = coded.dictionary, coded.indices.to_numpy().astype("int64")
+    inner = ~pc.is_in(known, value_set=pa.array(STOPWORDS, known.type)).to_numpy(zero_copy_only=False)[code]
+    ends = np.concatenate([[0], np.cumsum(pc.utf8_length(known).to_numpy().astype("int64")[code])])
+    hashed = np.fromiter((crc32(w.encode()) for w in known.to_pylist()), "uint64", len(known))
+    rows, levels, now, out = len(words), [], code, []
     for n in range(2, max(sizes) + 1):
-        count = len(flat) - n + 1
+        count = len(code) - n + 1
         if count <= 0:
-            return
-        now = pc.binary_join_element_wise(now[:count], flat[n - 1 :], " ")
+            break
+        key = now[:count] * len(known) + code[n - 1 :]
         if n in sizes:
-            size = pc.utf8_length(now)
-            good = pc.and_(pc.and_(inner[:count], inner[n - 1 :]), pc.and_(pc.greater_equal(size, 4), pc.less_equal(size, 100)))
-            good = pc.and_(good, pa.array(row[:count] == row[n - 1 :]))
-            coded = now.filter(good).dictionary_encode()
-            code, at = coded.indices.to_numpy(), row[:count][good.to_numpy(zero_copy_only=False)]
-            found = len(coded.dictionary)
-            held = np.unique(at * np.int64(max(found, 1)) + code) % max(found, 1)  # a row and phrase once
-            yield pa.record_batch({"phrase": coded.dictionary, "uses": np.bincount(code, minlength=found), "documents": np.bincount(held, minlength=found)})
+            size = ends[n:] - ends[:count] + n - 1
+            good = inner[:count] & inner[n - 1 :] & (size >= 4) & (size <= 100) & (row[:count] == row[n - 1 :])
+            held, uses = np.unique(key[good] * rows + row[:count][good], return_counts=True)  # a phrase and row once
+            rest, at, documents = np.unique(held // rows, return_index=True, return_counts=True)
+            parts = []
+            for level in reversed(levels):
+                rest, last = np.divmod(rest, len(known))
+                parts, rest = [last, *parts], level[rest]
+            parts = [*np.divmod(rest, len(known)), *parts]
+            mixed = np.zeros(len(at), "uint64")
+            for x in parts:
+                mixed = (mixed + hashed[x]) * np.uint64(0x9E3779B97F4A7C15)
+            if len(at):
+                out.append(((mixed >> np.uint64(64 - BUCKET_BITS)).astype("uint16"), parts, np.add.reduceat(uses, at), documents))
+        if n < max(sizes):
+            level, now = np.unique(key, return_inverse=True)
+            levels.append(level)
+    if not out:
+        return None
+    bucket = np.concatenate([x[0] for x in out])
+    order = np.argsort(bucket, kind="stable")
+    phrase = pa.concat_arrays([pc.binary_join_element_wise(*[known.take(pa.array(x)) for x in parts], " ") for _, parts, _, _ in out])
+    return bucket[order], phrase.take(pa.array(order)), np.concatenate([x[2] for x in out])[order], np.concatenate([x[3] for x in out])[order]
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _phrase_counts(docs: DataFrame, text_col: str, least: int, sizes: tuple[int, ...], group: str | None = None) -> DataFrame:
+    """(group,) phrase, uses, documents of the phrases used `least` times or more, before their words are looked at; each row is a document.
+
+    Counts are taken within slices of half a million words of a batch. Most phrases are used once, so they are shuffled
+    packed, one row a slice and bucket of phrases, and only what is used often enough leaves the sums as rows.
+    """
+    owner = f"papyra_group {docs.schema[group].dataType.simpleString()}" if group else "papyra_group int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners = batch.column(1).dictionary_encode("encode")
+            for k, value in enumerate(owners.dictionary):
+                for part in _spans(batch.column(0).filter(pc.equal(owners.indices, k)) if len(owners.dictionary) > 1 else batch.column(0)):
+                    if (sums := _phrase_sums(part, sizes)) is None:
+                        continue
+                    starts = np.flatnonzero(np.diff(sums[0].astype("int32"), prepend=-1))
+                    counts = pa.record_batch({"phrase": sums[1], "uses": pa.array(sums[2], pa.int32()), "documents": pa.array(sums[3], pa.int32())})
+                    packed = [_packed(counts.slice(first, stop - first)) for first, stop in zip(starts, [*starts[1:], len(counts)], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(value, len(starts)), pa.array(sums[0][starts].astype("int32")), pa.array(packed, pa.binary())], ["papyra_group", "bucket", "sums"])
+
+    def summed(parts: list[pa.Table]) -> pa.RecordBatch:
+        sums = pa.concat_tables(parts).group_by(["papyra_group", "phrase"]).aggregate([("uses", "sum"), ("documents", "sum")]).rename_columns({"uses_sum": "uses", "documents_sum": "documents"})
+        sums = sums.filter(pc.greater_equal(sums["uses"], least)).select(["papyra_group", "phrase", "uses", "documents"]).combine_chunks()
+        return sums.to_batches()[0] if len(sums) else pa.RecordBatch.from_pylist([], sums.schema)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, last = [], 0, None
+        for batch in batches:
+            for owner, bucket, sums in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if held > 500_000 and bucket != last:  # all of a bucket's rows have come
+                    yield summed(parts)
+                    parts, held = [], 0
+                part = pa.ipc.open_stream(sums.as_buffer()).read_all()
+                parts.append(part.append_column("papyra_group", pa.repeat(owner, len(part))))
+                held, last = held + len(part), bucket
+        if parts:
+            yield summed(parts)
+
+    split = docs.select(tokens(F.col(text_col), 1).alias("papyra_words"), (F.col(group) if group else F.lit(0)).alias("papyra_group"))
+    packed = split.mapInArrow(run, f"{owner}, bucket int, sums binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(add, f"{owner}, phrase string, uses long, documents long")
 
 
 def glossary_candidates(docs: DataFrame, text_col: str, least: int = 2, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
     """phrase, uses, documents of phrases used `least` times or more; each row is a document, and null texts have none.
 
-    Uses and documents are counted within batches of rows, so one row a phrase and slice of some million words is
-    shuffled, and only once; the words of a phrase are looked at once for each phrase that is left.
+    The words of a phrase are looked at once for each phrase that is left.
     """
+    return _phrase_counts(docs, text_col, least, sizes).where(worded(F.col("phrase"))).drop("papyra_group")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in _spans(batch.column(0)):
-                yield from _phrase_sums(part, sizes)
 
-    counted = docs.select(tokens(F.col(text_col), 1).alias("words")).mapInArrow(run, "phrase string, uses long, documents long")
-    sums = counted.groupBy("phrase").agg(F.sum("uses").alias("uses"), F.sum("documents").alias("documents"))
-    return sums.where((F.col("uses") >= least) & worded(F.col("phrase")))
+def phrase_uses(docs: DataFrame, group: str, text_col: str, least: int = 2, sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
+    """group, phrase, uses of phrases() used `least` times or more in a group."""
+    return _phrase_counts(docs, text_col, least, sizes, group).where(worded(F.col("phrase"))).select(F.col("papyra_group").alias(group), "phrase", "uses")
 
 
 def apply_glossary(text: Column, terms: dict[str, str], apart: bool = False) -> Column:
@@ -185,8 +256,7 @@ def seed_keywords(counts: DataFrame, library: str, most: int = 8, words: int = 4
             for row in batch.itertuples(index=False, name=None):
                 if (row[0],) != last:
                     last, held = (row[0],), set()
-                new = set(row[1].split(" "))
-                if len(held) <= (most - 1) * words and not new <= held:
+                if len(held) <= (most - 1) * words and not (new := set(row[1].split(" "))) <= held:
                     held |= new
                     rows.append(row)
             yield pd.DataFrame(rows, columns=batch.columns)

@@ -5,7 +5,9 @@ from __future__ import annotations
 import contextlib
 import io
 
-from papyra.operators import cards, search
+from pyspark.sql import functions as F
+
+from papyra.operators import cards, mining, search
 from papyra.plans import terms
 
 
@@ -28,3 +30,16 @@ def test_reader_cards_read_blocks_once_and_over_all_cores(spark):
     blocks = terms.introductions(lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet"))
     assert blocks.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert plan(cards.reader_cards(blocks, "p_brand", "uid", "place", "kind", "text")).count("MapInPandas") == 1
+
+
+def odd_texts(spark):
+    rows = [(1, "en", "fast sparse models of fast sparse models"), (2, "en", "Fast sparse 2 models, the a b c"), (3, None, "sparse models x " * 30), (4, "de", None), (5, "de", ""), (6, None, "of sparse models"), (7, "fr", "été à été à " + "w" * 101 + " w")]
+    return spark.createDataFrame(rows, "id long, lang string, text string").repartition(3)
+
+
+def test_glossary_candidates_shuffle_no_row_for_each_phrase(spark):
+    docs = odd_texts(spark)
+    found = mining.glossary_candidates(docs, "text")
+    want = mining.phrases(docs, "id", "text").groupBy("phrase").agg(F.count("id").alias("uses"), F.countDistinct("id").alias("documents")).where("uses >= 2")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) != []
+    assert "HashAggregate" not in plan(found)
