@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from papyra.functions.text import collapse, fold
+from papyra.functions.text import collapse, fold, once
 
 #: Kinds of blocks that are translated, and those that are embedded or serve as evidence (fixed values).
 TRANSLATABLE = ["paragraph", "list", "figure", "table"]
@@ -81,8 +81,9 @@ def candidate(phrase: Column) -> Column:
 def is_candidate(phrase: Column, stopwords: list[str]) -> Column:
     """Whether a phrase has two to six words and 4 to 100 characters, no stop word at its ends, and two words with letters."""
     words = F.transform(F.filter(F.split(phrase, r"\s+"), lambda w: w != ""), lambda w: F.regexp_replace(fold(w), "^-+|-+$", ""))
-    ends = [F.element_at(words, 1), F.element_at(words, -1)]
-    return F.size(words).between(2, 6) & F.length(phrase).between(4, 100) & ~ends[0].isin(stopwords) & ~ends[1].isin(stopwords) & (F.size(F.filter(words, lambda w: w.rlike("[a-z]"))) >= 2)
+    stop = lambda w, at: F.element_at(w, at).isin(stopwords)
+    fits = lambda w: F.size(w).between(2, 6) & ~stop(w, 1) & ~stop(w, -1) & (F.size(F.filter(w, lambda x: x.rlike("[a-z]"))) >= 2)
+    return F.length(phrase).between(4, 100) & once(words, fits)
 
 
 def sorted_json(**values: Column | str | None) -> Column:

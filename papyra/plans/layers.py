@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from papyra.functions import rules
-from papyra.operators import library, mining, search, vault
+from papyra.operators import library, mining, search, tables, vault
 from papyra.plans.registry import query
 from papyra.sources import sinks
 
@@ -224,8 +224,9 @@ q AS (SELECT *, list_transform(list_filter(string_split_regex(phrase, '\\s+'), l
 SELECT phrase, count(*) AS uses FROM q WHERE len(w) BETWEEN 2 AND 6 AND length(phrase) BETWEEN 4 AND 100 AND NOT list_contains({STOP}, w[1]) AND NOT list_contains({STOP}, w[-1]) AND len(list_filter(w, lambda x: regexp_matches(x, '[a-z]'))) >= 2 GROUP BY 1""")
 def phrase_candidates(t):
     """Clauses that can be terms."""
-    found = t("documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^.,;:\n]+"), F.lit(0))).alias("x")).select(rules.candidate(F.col("x")).alias("phrase"))
-    return found.where(rules.is_candidate(F.col("phrase"), mining.STOPWORDS)).groupBy("phrase").agg(F.count(F.lit(1)).alias("uses"))
+    clauses = F.transform(F.regexp_extract_all("text", F.lit(r"[^.,;:\n]+"), F.lit(0)), rules.candidate)
+    kept = F.filter(clauses, lambda p: rules.is_candidate(p, mining.STOPWORDS))  # within the array, where a clause is cleaned once
+    return tables.dealt(t("documents")).select(F.explode(kept).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("uses"))
 
 
 @query("""SELECT event_id, sha256('{"content_hash": "' || sha256(props) || '", "context_markdown_hash": "' || sha256(event_type) || '", "custom_prompt_hash": ' || CASE WHEN user_id % 2 = 0 THEN 'null' ELSE '"' || sha256('be brief') || '"' END || ', "glossary_version": "g1", "model": ' || CASE WHEN user_id % 3 = 0 THEN 'null' ELSE '"m"' END || ', "prompt_version": "translation.v1", "provider_profile_id": "' || user_id || '", "target_language": "zh"}') AS "hash" FROM events""")

@@ -7,6 +7,7 @@ import io
 
 from pyspark.sql import functions as F
 
+from papyra import bindings
 from papyra.operators import cards, mining, search
 from papyra.plans import terms
 
@@ -51,3 +52,11 @@ def test_seed_keywords_count_phrases_by_language_where_they_lie(spark):
     want = mining.phrases(docs, "lang", "text").groupBy("lang", "phrase").agg(F.count("phrase").alias("uses")).where("uses > 1")
     assert sorted(map(tuple, found.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) != []
     assert "HashAggregate" not in plan(found)
+
+
+def test_phrase_candidates_clean_a_clause_once(spark, tmp_path):
+    texts = ["(Fast  Models), of it; -sparse\tnets-: a b: the end of. x1 y2.", None, "Fast Models.\nFast Models"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = bindings.queries()["phrase_candidates"](spark, str(tmp_path))
+    assert plan(found).count("split(") == 1
+    assert sorted(map(tuple, found.collect())) == [("Fast Models", 3), ("sparse nets", 1), ("x1 y2", 1)]
