@@ -24,8 +24,25 @@ def query_terms(query: str, most: int = 12) -> list[str]:
 
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, term, tf."""
-    return docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """id, term, tf.
+
+    A row's terms are counted where it lies; only where an id has several rows are their counts shuffled and summed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            key, words = batch.columns
+            coded = words.flatten().dictionary_encode()
+            if terms := len(coded.dictionary):
+                pairs, tf = np.unique(pc.list_parent_indices(words).to_numpy() * np.int64(terms) + coded.indices.to_numpy(), return_counts=True)
+                row, term = np.divmod(pairs, terms)
+                yield pa.record_batch([key.take(pa.array(row)), coded.dictionary.take(pa.array(term)), pa.array(tf)], ["papyra_key", "term", "tf"])
+
+    split = docs.select(F.col(id_col).alias("papyra_key"), tokens(F.col(text_col)).alias("papyra_words"))
+    schema = T.StructType([T.StructField("papyra_key", docs.schema[id_col].dataType), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])
+    counts = split.mapInArrow(run, schema).withColumnRenamed("papyra_key", id_col)
+    several = docs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count()
+    return counts.groupBy(id_col, "term").agg(F.sum("tf").alias("tf")) if several else counts
 
 
 def term_uses(folded: Column, term: str) -> Column:
@@ -63,7 +80,7 @@ def substring_scores(docs: DataFrame, query: str, id_col: str, text_col: str) ->
     return docs.select(id_col, F.explode(F.filter(F.array(score), lambda n: n > 0)).alias("score"))  # a filter on top would work it out again
 
 
-def slices(batches: Iterator[pa.RecordBatch], most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], most: int = 250_000) -> Iterator[pa.RecordBatch]:
     """The rows of batches (key, words) in runs of about `most` words; a row of more is a run of its own."""
     for batch in batches:
         ends, start = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)), 0

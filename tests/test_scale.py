@@ -60,3 +60,11 @@ def test_phrase_candidates_clean_a_clause_once(spark, tmp_path):
     found = bindings.queries()["phrase_candidates"](spark, str(tmp_path))
     assert plan(found).count("split(") == 1
     assert sorted(map(tuple, found.collect())) == [("Fast Models", 3), ("sparse nets", 1), ("x1 y2", 1)]
+
+
+def test_tokens_tf_are_counted_within_a_row(spark):
+    docs = spark.createDataFrame([(1, "b aa aa cc"), (2, None), (3, "aa")], "id long, text string").repartition(2)
+    found = search.term_counts(docs, "id", "text")
+    assert "Exchange hashpartitioning" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == [(1, "aa", 2), (1, "cc", 1), (3, "aa", 1)]
+    assert sorted(map(tuple, search.term_counts(docs.unionByName(docs), "id", "text").collect())) == [(1, "aa", 4), (1, "cc", 2), (3, "aa", 2)]
