@@ -5,11 +5,13 @@ from __future__ import annotations
 import contextlib
 import io
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from papyra import bindings
 from papyra.operators import cards, mining, search
 from papyra.plans import terms
+from papyra.sources import html, tree
 
 
 def plan(df) -> str:
@@ -68,3 +70,11 @@ def test_tokens_tf_are_counted_within_a_row(spark):
     assert "Exchange hashpartitioning" not in plan(found)
     assert sorted(map(tuple, found.collect())) == [(1, "aa", 2), (1, "cc", 1), (3, "aa", 1)]
     assert sorted(map(tuple, search.term_counts(docs.unionByName(docs), "id", "text").collect())) == [(1, "aa", 4), (1, "cc", 2), (3, "aa", 2)]
+
+
+def test_pages_come_to_python_in_small_pieces(spark):
+    batch = pa.record_batch({"k": list(range(300)), "html": ["<p>x</p>"] * 300})
+    assert [p.num_rows for p in html.pieces(iter([batch]))] == [128, 128, 44]
+    pages = spark.createDataFrame([(k, "<h2 id='a'>T</h2><p>x <a href='#b'>y</a></p>" if k % 2 else None) for k in range(300)], "id long, html string").coalesce(1)
+    assert html.html_blocks(pages, "id", "html").groupBy("block_type", "level", "label").count().orderBy("block_type").collect() == [("paragraph", None, None, 150), ("section", 2, "a", 150)]
+    assert tree.document_blocks(pages, "id", "html").where("place = 2").select("level", F.col("refs")[0]["href"]).distinct().collect() == [(None, "#b")]
