@@ -78,3 +78,8 @@ def test_pages_come_to_python_in_small_pieces(spark):
     pages = spark.createDataFrame([(k, "<h2 id='a'>T</h2><p>x <a href='#b'>y</a></p>" if k % 2 else None) for k in range(300)], "id long, html string").coalesce(1)
     assert html.html_blocks(pages, "id", "html").groupBy("block_type", "level", "label").count().orderBy("block_type").collect() == [("paragraph", None, None, 150), ("section", 2, "a", 150)]
     assert tree.document_blocks(pages, "id", "html").where("place = 2").select("level", F.col("refs")[0]["href"]).distinct().collect() == [(None, "#b")]
+
+
+def test_hash_embedding_takes_words_in_bounded_runs():
+    batch = pa.record_batch({"k": list(range(6)), "w": pa.array([["w"] * 100_000] * 6)})
+    assert [b.num_rows for b in search.slices(iter([batch]))] == [2, 2, 2]
