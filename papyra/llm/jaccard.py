@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from papyra.llm.common import bit_slice, bit_table, bucket_bits, dealt_by_range, discard, gathered_bits, has_bit, id_text, packed_rest, slices, texts_of, unpacked_rest, unused, written
+from papyra.llm.common import bit_slice, bit_table, bucket_bits, dealt_by_range, discard, gathered_bits, has_bit, id_text, packed_rest, release, slices, texts_of, unpacked_rest, unused, written
 from papyra.llm.graph import components
 from papyra.llm.words import mix, shingle_sets
 
@@ -36,6 +36,8 @@ FREQUENT = 64
 SAMPLED, FREQUENT_BITS = 1 << 62, 22
 #: A table of 2^INVOLVED_BITS bits says which documents have candidates; false positives are sorted out by a join.
 INVOLVED_BITS = 26
+#: Tokens of a group from which the worker gives freed memory back.
+FREED = 1 << 17
 SLICE = 1 << 19
 SETS = "digest long, n long, tokens binary"
 
@@ -104,7 +106,7 @@ def frequent_table(docs: DataFrame, n: int) -> np.ndarray:
         counts = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("counts").to_pylist()])
         unique, place = np.unique(rest, return_inverse=True)
         hot = unique[np.bincount(place, counts) >= FREQUENT] << np.uint64(24) >> np.uint64(wide) | np.uint64(bucket[0].as_py()) << np.uint64(64 - wide)
-        return pa.table({"bucket": pa.array([bucket[0].as_py()], pa.int64()), "bits": pa.array([bit_slice(hot, wide, FREQUENT_BITS)], pa.binary())})
+        return _freed(pa.table({"bucket": pa.array([bucket[0].as_py()], pa.int64()), "bits": pa.array([bit_slice(hot, wide, FREQUENT_BITS)], pa.binary())}), len(rest))
 
     found = docs.select("text").mapInArrow(run, "bucket long, tokens binary, counts binary").groupBy("bucket").applyInArrow(often, "bucket long, bits binary")
     return gathered_bits(found.toArrow(), FREQUENT_BITS)
@@ -172,7 +174,7 @@ def shared_tokens(docs: DataFrame, n: int, percent: int, frequent: np.ndarray) -
         token, digest = token[keep], digest[keep]
         _, place, counts = np.unique(token, return_inverse=True, return_counts=True)
         name = (token | np.uint64(bucket[0].as_py()) << np.uint64(40)).view(np.int64)
-        return pa.table({"token": name, "digest": digest, "many": counts[place] >= FREQUENT if len(token) else np.zeros(0, bool)})
+        return _freed(pa.table({"token": name, "digest": digest, "many": counts[place] >= FREQUENT if len(token) else np.zeros(0, bool)}), len(new))
 
     rows = docs.select("text").mapInArrow(run, "bucket long, tokens binary, digests binary, steps binary")
     return written(rows.groupBy("bucket").applyInArrow(runs, "token long, digest long, many boolean"), "shared")
@@ -250,44 +252,47 @@ def involved_sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
 
 
 class Group:
-    """Sets of one group as a matrix over the union of their tokens."""
+    """Sets of one group as a matrix over the union of their tokens, its entries in order of the union: the sets as 32-bit numbers, and where each token's begin."""
 
     def __init__(self, digests: np.ndarray, sizes: np.ndarray, raw: list[bytes]):
         self.digests, self.sizes = digests, sizes
         tokens = np.frombuffer(b"".join(raw), np.uint64)
-        self.union, self.place = np.unique(tokens, return_inverse=True)
-        self.owner = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.argsort(tokens)
+        self.owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        tokens = tokens[order]
+        del order
+        starts = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])[: len(tokens)])
+        self.union, self.starts = tokens[starts], np.append(starts, len(tokens)).astype(np.int32)
 
     def overlaps(self, sizes: np.ndarray, raw: list[bytes], low: int) -> tuple[np.ndarray, np.ndarray]:
         """(which of other sets overlap the union by `low` percent of their own size; overlaps of those with each member)."""
         tokens = np.frombuffer(b"".join(raw), np.uint64)
-        owner = np.repeat(np.arange(len(sizes)), sizes)
+        owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         at = np.minimum(np.searchsorted(self.union, tokens), len(self.union) - 1)
         here = self.union[at] == tokens
         opens = np.bincount(owner[here], minlength=len(sizes)) >= _least_overlap(sizes, low)
-        rows, columns = owner[here], at[here]
-        keep = opens[rows]
-        number = np.cumsum(opens) - 1
-        return opens, self._product(number[rows[keep]], columns[keep], int(opens.sum()))
+        keep = here & opens[owner]
+        rows, columns = (np.cumsum(opens) - 1)[owner[keep]], at[keep]
+        order = np.argsort(columns)
+        return opens, self._product(rows[order], columns[order], int(opens.sum()))
 
     def _product(self, rows: np.ndarray, columns: np.ndarray, n: int, width: int = 1 << 13) -> np.ndarray:
-        """Members that share each token of other sets, summed in bands of the union."""
+        """Members that share each token of other sets, given in order of columns, summed in bands of the union."""
         out = np.zeros((n, len(self.sizes)), np.float32)
-        a, b = np.argsort(columns, kind="stable"), np.argsort(self.place, kind="stable")
-        ca, cb = columns[a], self.place[b]
         for x in range(0, len(self.union), width):
-            i, j = np.searchsorted(ca, [x, x + width]), np.searchsorted(cb, [x, x + width])
-            if i[1] == i[0]:
+            i = slice(*np.searchsorted(columns, [x, x + width]))
+            if i.stop == i.start:
                 continue
+            starts = self.starts[x : x + width + 1]
             left, right = np.zeros((n, width), np.float32), np.zeros((len(self.sizes), width), np.float32)
-            left[rows[a[i[0] : i[1]]], ca[i[0] : i[1]] - x] = 1
-            right[self.owner[b[j[0] : j[1]]], cb[j[0] : j[1]] - x] = 1
+            left[rows[i], columns[i] - x] = 1
+            right[self.owner[starts[0] : starts[-1]], np.repeat(np.arange(len(starts) - 1), np.diff(starts))] = 1
             out += left @ right.T
         return out.astype(np.int64)
 
     def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Digests of the linked pairs, reduced to those that connect the group's components."""
-        both = self._product(self.owner, self.place, len(self.sizes))
+        both = self._product(self.owner, np.repeat(np.arange(len(self.union), dtype=np.int32), np.diff(self.starts)), len(self.sizes))
         linked = both * 100 >= percent * (self.sizes[:, None] + self.sizes - both)
         return self.forest(*np.nonzero(np.triu(linked, 1)))
 
@@ -307,6 +312,13 @@ class Group:
         return self.digests[a[keep]], self.digests[b[keep]]
 
 
+def _freed(made: pa.Table, n: int) -> pa.Table:
+    """made, after a group of n tokens: what a large one has freed goes back at once, as groups come in one task after the other."""
+    if n > FREED:
+        release()
+    return made
+
+
 def _group(table: pa.Table) -> Group:
     return Group(table.column("digest").to_numpy(), table.column("n").to_numpy(), table.column("tokens").to_pylist())
 
@@ -320,8 +332,9 @@ def within_groups(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame
     def run(table: pa.Table) -> pa.Table:
         if table.num_rows < 2:
             return LINKS.empty_table()
-        a, b = _group(table).pairs(percent)
-        return pa.table([pa.array(a), pa.array(b)], schema=LINKS)
+        group = _group(table)
+        a, b = group.pairs(percent)
+        return _freed(pa.table([pa.array(a), pa.array(b)], schema=LINKS), len(group.owner))
 
     return sets.join(groups, "digest").groupBy("key", "part").applyInArrow(run, "a long, b long")
 
@@ -407,10 +420,11 @@ def across_groups(shared: DataFrame, sets: DataFrame, groups: DataFrame, labels:
         if rest.shape[1]:
             close_all(rest, np.zeros(1, np.int64))
         yield flush()
+        release()
 
     def once(table: pa.Table) -> pa.Table:
         out = unique_columns(np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in table.column("asks").to_pylist()], axis=1))
-        return pa.table([pa.array(x) for x in out], ["digest", "key", "part"])
+        return _freed(pa.table([pa.array(x) for x in out], ["digest", "key", "part"]), out.size)
 
     named = rows.select(*(F.col(c).cast("long").alias(c) for c in number)).repartition("token").sortWithinPartitions("token").mapInArrow(asks, "bucket long, asks binary")
     named = named.groupBy("bucket").applyInArrow(once, "digest long, key long, part long")
@@ -439,7 +453,7 @@ def across_groups(shared: DataFrame, sets: DataFrame, groups: DataFrame, labels:
             _, first = np.unique(np.stack([own[i], roots[j]]), axis=1, return_index=True) if len(i) else (None, [])
             a.append(digests[i[first]])
             b.append(group.digests[j[first]])
-        return pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=LINKS)
+        return _freed(pa.table([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], schema=LINKS), len(group.owner))
 
     grouping = ["key", "part", "lot"]
     members = members.toDF(*(f"member_{c}" for c in members.columns)).toDF(*members.columns)  # columns of its own, for the cogroup

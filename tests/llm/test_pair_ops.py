@@ -290,3 +290,17 @@ def test_jaccard_at_the_threshold(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(table).collect()}
     assert got == links_by_hand(rows)
+
+
+def test_group_holds_little_beside_its_tokens():
+    rng = np.random.default_rng(3)
+    pool = np.unique(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
+    sets = [np.sort(rng.choice(pool, n, replace=False)) for n in (900, 1000, 1100, 40, 1)]
+    sets += [np.sort(np.append(sets[0][:-20], np.arange(20, dtype=np.uint64))), sets[3]]
+    sizes = np.array([len(x) for x in sets])
+    group = jaccard.Group(np.arange(len(sets)), sizes, [x.tobytes() for x in sets])
+    assert sum(x.nbytes for x in (group.union, group.starts, group.owner)) <= 16 * sizes.sum() + 4
+    assert sorted(zip(*(x.tolist() for x in group.pairs(80)), strict=True)) == [(0, 5), (3, 6)]
+    opens, both = group.overlaps(sizes[:4], [np.sort(np.append(x[: len(x) // 2], x[: len(x) // 2] ^ np.uint64(1 << 63))).tobytes() for x in sets[:4]], 40)
+    assert opens.all() and both.tolist() == [[len(np.intersect1d(x[: len(x) // 2], y)) for y in sets] for x in sets[:4]]
+    assert jaccard.Group(np.zeros(0, int), np.zeros(0, int), []).pairs(80)[0].tolist() == []
