@@ -419,3 +419,15 @@ def test_calibration():
     assert toxicity.calibrated(total, label * 0) == (1.0, 0.0) and toxicity.calibrated(-total, label) == (1.0, 0.0)
     slope, shift = toxicity.calibrated(np.array([-5.0, -4.0, 4.0, 5.0]), np.array([0, 0, 1, 1]))
     assert 0 < slope < 10 and abs(shift) < 10
+
+
+def test_slices_are_merged_once_while_the_cache_lasts(monkeypatch):
+    known, merged = bpe.Ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), []
+    merge_all = known.merge_all
+    monkeypatch.setattr(known, "merge_all", lambda pieces: merged.append(len(pieces)) or merge_all(pieces))
+    texts = [" ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)}{chr(97 + k // 17576)}" for k in range(n, n + 60_000)) for n in range(0, 240_000, 60_000)]
+    first = [known.encode([x])[0] for x in texts]
+    assert sum(merged) > 200_000 and all((known.encode([x])[0] == y).all() for x, y in zip(texts, first, strict=True))
+    assert sum(merged[4:]) == 0
+    for x in ("\0", "\0" * 2, "\0" * 8, "\0" * 9, "\0" * 15, "\0" * 16, "a\0", "a" * 15, "a" * 16, "abcdefgh\0", "abcdefgh"):
+        assert known.decode(*known.encode([x])[:2]) == [x.encode()]
