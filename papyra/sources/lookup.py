@@ -31,10 +31,12 @@ def resolved(references: DataFrame, listing: DataFrame, id_col: str, reference:
     endings = F.when(leaf.rlike(r"^.+\.[^.]+$"), F.array(F.lit(""))).otherwise(F.array(F.lit(""), *[F.lit(s) for s in SUFFIXES]))
     bases = F.when(absolute, F.array(F.lit(""))).otherwise(F.array(*[F.lit(r.rstrip("/") + "/") for r in roots]))
     tried = F.flatten(F.transform(bases, lambda b: F.transform(endings, lambda e: F.concat(b, F.col("papyra_name"), e))))
-    asked = rows.where("papyra_status IS NULL").select(F.col(id_col).alias("papyra_id"), "papyra_row", F.posexplode(tried).alias("papyra_rank", "path"))
-    known = listing.select(F.col(id_col).alias("papyra_id"), "path").distinct()
-    first = asked.join(known, ["papyra_id", "path"]).groupBy("papyra_row").agg(F.min_by("path", "papyra_rank").alias("papyra_path"))
-    out = rows.join(first, "papyra_row", "left")
+    asked = rows.where("papyra_status IS NULL").select(F.col(id_col).alias("papyra_id"), "papyra_row", F.posexplode(tried).alias("papyra_rank", "papyra_path"))
+    # a file that is listed twice needs no distinct in a semi join; Spark takes a listing or answer made from a small file for small, and would broadcast it
+    known = listing.select(F.col(id_col).alias("papyra_known"), F.col("path").alias("papyra_there")).hint("merge")
+    there = asked.join(known, (F.col("papyra_id") == F.col("papyra_known")) & (F.col("papyra_path") == F.col("papyra_there")), "left_semi")
+    first = there.groupBy("papyra_row").agg(F.min("papyra_rank").alias("papyra_rank"))
+    out = rows.join(first.hint("merge"), "papyra_row", "left").withColumn("papyra_path", F.get(tried, F.col("papyra_rank")))
     return out.select(*references.columns, F.col("papyra_path").alias("path"), F.coalesce("papyra_status", F.when(F.col("papyra_path").isNotNull(), "found").otherwise("missing")).alias("status"))
 
 

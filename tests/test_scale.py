@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from papyra import bindings
 from papyra.operators import cards, mining, search
 from papyra.plans import terms
-from papyra.sources import html, tree
+from papyra.sources import html, lookup, tree
 
 
 def plan(df) -> str:
@@ -83,3 +83,11 @@ def test_pages_come_to_python_in_small_pieces(spark):
 def test_hash_embedding_takes_words_in_bounded_runs():
     batch = pa.record_batch({"k": list(range(6)), "w": pa.array([["w"] * 100_000] * 6)})
     assert [b.num_rows for b in search.slices(iter([batch]))] == [2, 2, 2]
+
+
+def test_listings_are_joined_without_distinct_or_broadcast(spark):
+    refs = spark.createDataFrame([(1, "fig"), (1, "fig"), (2, "fig")], "id int, reference string")
+    listing = spark.createDataFrame([(1, "/r/fig.png"), (1, "/r/fig.png"), (1, "/r/fig.gif")], "id int, path string")
+    found = lookup.resolved(refs, listing, "id", "reference", ["/r"])
+    assert "Broadcast" not in plan(found) and plan(found).count("Aggregate(") == 2
+    assert sorted(map(tuple, found.collect()), key=str) == [(1, "fig", "/r/fig.png", "found")] * 2 + [(2, "fig", None, "missing")]
