@@ -33,9 +33,9 @@ SELECT 'o' || o_orderkey AS package, 0 AS place, 'o' || o_orderkey || '.md' AS p
 UNION ALL SELECT package, 1, package || '.assets/' || file, content FROM n""")
 def package_files(t):
     """Entries of packages: texts with links to their files, and the files under names of their own."""
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    name = F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))
-    assets = t("lineitem").select(name.alias("package"), F.concat(F.lit("Part "), "l_returnflag").alias("asset"), F.row_number().over(order).cast("long").alias("place"), F.lit(".png").alias("suffix"), F.col("l_partkey").cast("string").alias("content"))
+    order = Window.partitionBy("package").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    lines = t("lineitem").withColumn("package", F.concat(F.lit("o"), F.col("l_orderkey").cast("string")))
+    assets = lines.select("package", F.concat(F.lit("Part "), "l_returnflag").alias("asset"), F.row_number().over(order).cast("long").alias("place"), F.lit(".png").alias("suffix"), F.col("l_partkey").cast("string").alias("content"))
     bodies = t("orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("package"), F.lit("Text <!-- papyra-asset:Part A --> and <!-- papyra-asset:none --> end").alias("body"))
     return packages.package_entries(bodies, assets, "papyra").select("package", "place", "path", F.col("content").cast("string").alias("content"))
 

@@ -114,41 +114,77 @@ def write_packages(entries: DataFrame, path: str) -> None:
     rows.repartition("package").sortWithinPartitions("package", "place", "path").write.format(FORMAT).mode("append").save(path)
 
 
-def file_names(assets: DataFrame) -> DataFrame:
-    """package, asset, place, file: safe names of assets (package, asset, place, suffix), in order of place; a name that is taken gets the next number that is free."""
+def _stems(assets: DataFrame) -> DataFrame:
+    """Assets with stem, what their names begin with, and papyra_doubt: whether a name may look like another's with a number."""
+    rows = assets.withColumns({"package": F.col("package").cast("string"), "asset": F.col("asset").cast("string"), "place": F.col("place").cast("long"), "suffix": F.coalesce("suffix", F.lit(""))})
+    rows = rows.withColumn("stem", slug(F.col("asset"))).withColumn("stem", F.when(F.col("stem") == "", "asset").otherwise(F.col("stem")))
+    ends = F.contains(F.translate("asset", "123456789", "000000000"), F.lit("0")) & F.col("stem").rlike("-[0-9]+$")
+    return rows.withColumn("papyra_doubt", F.coalesce(ends | ~((F.col("suffix") == "") | F.col("suffix").startswith(".")), F.lit(False)))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with file: the first of a stem and suffix has no number, the others are counted from 2."""
+    number = F.row_number().over(Window.partitionBy("package", "stem", "suffix").orderBy("place", "asset"))
+    named = rows.withColumn("papyra_n", number)
+    return named.withColumn("file", F.concat("stem", F.when(F.col("papyra_n") > 1, F.concat(F.lit("-"), F.col("papyra_n").cast("string"))).otherwise(""), "suffix"))
+
+
+def _parted(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of packages without doubt, with file, and package, asset, place, file of the others, None if there are none.
+
+    Stems without a number at their end, and suffixes from a point on, part again in one way, so no two names are equal.
+    """
+    if rows.where("papyra_doubt").isEmpty():
+        return _numbered(rows), None
+    doubt = F.max("papyra_doubt").over(Window.partitionBy("package"))
+    return _numbered(rows.withColumn("papyra_doubt", doubt).where(~F.col("papyra_doubt"))), _careful(rows)
+
+
+def _careful(rows: DataFrame) -> DataFrame:
+    """package, asset, place, file of packages with rows in doubt."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         taken, out = set(), []
         for row in group.sort_values(["place", "asset"]).itertuples(index=False):
-            stem, number, name = row.stem or "asset", 2, f"{row.stem or 'asset'}{row.suffix}"
+            number, name = 2, f"{row.stem}{row.suffix}"
             while name in taken:
-                name, number = f"{stem}-{number}{row.suffix}", number + 1
+                name, number = f"{row.stem}-{number}{row.suffix}", number + 1
             taken.add(name)
             out.append((row.package, row.asset, row.place, name))
         return pd.DataFrame(out, columns=["package", "asset", "place", "file"])
 
-    rows = assets.select(F.col("package").cast("string"), F.col("asset").cast("string"), F.col("place").cast("long"), slug(F.col("asset")).alias("stem"), F.coalesce("suffix", F.lit("")).alias("suffix"))
-    stem = F.when(F.col("stem") == "", "asset").otherwise(F.col("stem"))
-    number = F.row_number().over(Window.partitionBy("package", stem, "suffix").orderBy("place", "asset"))
-    named = rows.withColumn("papyra_n", number).withColumn("file", F.concat(stem, F.when(F.col("papyra_n") > 1, F.concat(F.lit("-"), F.col("papyra_n").cast("string"))).otherwise(""), "suffix"))
+    some = rows.select("package", "asset", "place", "stem", "suffix").join(rows.where("papyra_doubt").select("package").distinct(), "package", "left_semi")
+    named = _numbered(some)
     # only where a numbered name is another asset's own are names given one after the other
     odd = named.groupBy("package", "file").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("package").distinct()
     plain = named.join(odd, "package", "left_anti").select("package", "asset", "place", "file")
-    loop = rows.join(odd, "package", "left_semi").select(*rows.columns).groupBy("package").applyInPandas(run, "package string, asset string, place long, file string")
+    loop = some.join(odd, "package", "left_semi").select(*some.columns).groupBy("package").applyInPandas(run, "package string, asset string, place long, file string")
     return plain.unionByName(loop)
 
 
+def file_names(assets: DataFrame) -> DataFrame:
+    """package, asset, place, file: safe names of assets (package, asset, place, suffix), in order of place; a name that is taken gets the next number that is free."""
+    plain, careful = _parted(_stems(assets))
+    names = plain.select("package", "asset", "place", "file")
+    return names if careful is None else names.unionByName(careful)
+
+
 def package_entries(bodies: DataFrame, assets: DataFrame, mark: str) -> DataFrame:
     """ENTRY of documents (package, body) with their assets (package, asset, place, suffix, content): the text first, its marks of assets as links, then the files by name.
 
     mark: what marks of assets begin with. Documents without assets are packages of a text; assets of no document are left
-    out. Contents meet their names by package, asset and place.
+    out. Contents go along with their rows while these are named; only where names are in doubt do they meet by package, asset
+    and place. Where assets lie by package already, as after a window over it, they aren't shuffled again.
     """
-    names = file_names(assets)
+    rows, kept = _stems(assets), ["package", "asset", "place", "file"]
+    files, careful = _parted(rows)
+    names = files.select(*kept)
+    if careful is not None:
+        names, files = names.unionByName(careful), files.select(*kept, "content").unionByName(rows.join(careful, kept[:3]).select(*kept, "content"))
     links = names.groupBy("package", "asset").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "file"))), lambda x: x["file"]).alias("files"))
     links = links.groupBy("package").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("asset", "files")))).alias("papyra_links"))
     folder: Column = F.concat(F.col("package"), F.lit(".assets"))
     text = with_assets(F.col("body"), F.col("papyra_links"), folder, mark)
     texts = bodies.join(links, "package", "left").select("package", F.lit(0).alias("place"), F.concat("package", F.lit(".md")).alias("path"), F.encode(text, "UTF-8").alias("content"))
-    files = assets.join(names, ["package", "asset", "place"]).join(bodies.select("package"), "package", "left_semi")
+    files = files.where("asset IS NOT NULL AND place IS NOT NULL").join(bodies.select("package"), "package", "left_semi")
     return texts.unionByName(files.select("package", F.lit(1).alias("place"), F.concat(folder, F.lit("/"), F.col("file")).alias("path"), F.col("content").cast("binary").alias("content")))

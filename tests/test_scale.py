@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from papyra import bindings
 from papyra.operators import cards, mining, search
 from papyra.plans import terms
-from papyra.sources import html, lookup, tree
+from papyra.sources import html, lookup, packages, tree
 
 
 def plan(df) -> str:
@@ -91,3 +91,20 @@ def test_listings_are_joined_without_distinct_or_broadcast(spark):
     found = lookup.resolved(refs, listing, "id", "reference", ["/r"])
     assert "Broadcast" not in plan(found) and plan(found).count("Aggregate(") == 2
     assert sorted(map(tuple, found.collect()), key=str) == [(1, "fig", "/r/fig.png", "found")] * 2 + [(2, "fig", None, "missing")]
+
+
+def test_assets_are_shuffled_once_by_package(spark):
+    found = bindings.queries()["package_files"](spark, "/root/testdata/sf0.001")
+    lines = [x for x in plan(found).splitlines() if "Exchange hashpartitioning" in x]
+    assert 2 <= len(lines) <= 4 and not any("asset" in x or "stem" in x for x in lines)
+
+
+def test_names_in_doubt_are_given_with_care_and_others_by_windows(spark):
+    rows = [("a", "Fig", 1, ".png"), ("a", "fig", 2, ".png"), ("a", "fig 2", 3, ".png"), ("b", "fig", 1, ".png"), ("b", "FIG", 2, ".png"), ("c", "a", 1, "b.png"), ("c", "ab", 2, ".png"), ("d", "fig-7", 1, ""), ("e", "--", 1, None), ("f", "x", 1, "")]
+    assets = spark.createDataFrame([(*r, f"{r[0]}{r[2]}") for r in rows], "package string, asset string, place long, suffix string, content string")
+    bodies = spark.createDataFrame([(p, "<!-- m-asset:fig --> <!-- m-asset:FIG -->") for p in "abcde"], "package string, body string")
+    got = {(r.path, bytes(r.content).decode()) for r in packages.package_entries(bodies, assets, "m").where("place = 1").collect()}
+    want = {("a", "fig.png", "a1"), ("a", "fig-2.png", "a2"), ("a", "fig-2-2.png", "a3"), ("b", "fig.png", "b1"), ("b", "fig-2.png", "b2"), ("c", "ab.png", "c1"), ("c", "ab-2.png", "c2"), ("d", "fig-7", "d1"), ("e", "asset", "e1")}
+    assert got == {(f"{p}.assets/{f}", c) for p, f, c in want}
+    texts = {r.package: bytes(r.content).decode() for r in packages.package_entries(bodies, assets, "m").where("place = 0").collect()}
+    assert texts["a"] == "![fig](a.assets/fig-2.png) \n" and texts["b"] == "![fig](b.assets/fig.png) ![FIG](b.assets/fig-2.png)" and texts["e"] == "\n \n"
