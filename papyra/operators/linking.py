@@ -128,26 +128,55 @@ def _shared_matcher(terms: DataFrame):
     return get
 
 
+def _matchers(most: int = 20_000):
+    """A function that gives the matcher of terms (sources, targets) and keeps those of up to about `most` terms for others with the same."""
+    held: dict[tuple, Matcher] = {}
+    size = 0
+
+    def get(sources, targets) -> Matcher:
+        nonlocal size
+        if (found := held.get(key := (*sources, *targets))) is None:
+            if (size := size + len(sources)) > most:
+                held.clear()
+                size = len(sources)
+            found = held[key] = Matcher(sorted(zip(sources, targets, strict=True)))
+        return found
+
+    return get
+
+
 def with_terms(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, papyra_terms: of each distinct (id, text) the terms (source, target) that may come up while they are replaced.
+    """id, papyra_terms: of each id the terms (source, target) that may come up while they are replaced.
 
-    A term comes up only if its first word stands in the text or in the target of a term that comes up. Texts, terms and
-    targets meet by word; texts that share all their words with nothing have no row.
+    A term comes up only if its first word stands in the text or in the target of a term that comes up. Which words lead to
+    which is worked out over words alone, those that texts hold; texts meet a word's terms as one row, so what is moved are a
+    few rows for each text, not one for each of its terms. Texts that share all their words with nothing have no row.
     """
     runs = _runs()
-    keyed = terms.withColumn("run", F.get(_first_runs()(F.col("source")), F.lit(0))).where("run IS NOT NULL")
-    if terms.join(keyed, "source", "left_anti").limit(1).count():
+    keyed = _kept(terms.select("source", "target", F.get(_first_runs()(F.col("source")), F.lit(0)).alias("run")))
+    if not keyed.where("run IS NULL").isEmpty():
         raise ValueError("terms without a word are replaced only where the table is small enough to be broadcast")
-    words = docs.select(id_col, F.explode(runs(F.col(text_col))).alias("run")).distinct()
-    found = words.join(keyed, "run").select(id_col, "source", "target").distinct()
-    leads = keyed.select(F.col("source").alias("papyra_from"), F.explode(runs(F.col("target"))).alias("run")).join(keyed, "run").select("papyra_from", "source", "target").distinct()
+    firsts = keyed.select("run").distinct().hint("merge")
+    words = docs.select(id_col, F.explode(runs(F.col(text_col))).alias("run"))
+    steps = keyed.select(F.col("run").alias("papyra_from"), F.explode(runs(F.col("target"))).alias("run")).distinct().join(firsts, "run", "left_semi")
+    steps = _kept(steps.select("papyra_from", "run"))
+    found = _kept(words.select("run").distinct().join(firsts, "run").select(F.col("run").alias("papyra_word"), "run"))  # a semi join would go before distinct
+    more = found
     while True:
-        more = found.select(id_col, F.col("source").alias("papyra_from")).join(leads, "papyra_from").select(id_col, "source", "target").join(found, [id_col, "source"], "left_anti").distinct()
-        more = more.checkpoint() if docs.sparkSession.sparkContext.getCheckpointDir() else more.cache()
-        if not more.limit(1).count():
+        more = more.select("papyra_word", F.col("run").alias("papyra_from")).join(steps, "papyra_from").select("papyra_word", "run").distinct()
+        more = _kept(more.join(found, ["papyra_word", "run"], "left_anti"))
+        if more.isEmpty():
             break
         found = found.unionByName(more)
-    return found.groupBy(id_col).agg(F.collect_list(F.struct("source", "target")).alias("papyra_terms"))
+    own = found.join(keyed.hint("merge"), "run").groupBy("papyra_word").agg(F.array_sort(F.collect_set(F.struct("source", "target"))).alias("papyra_own"))
+    # neither side is broadcast: what texts grow to by their words isn't known beforehand
+    met = words.join(own.hint("merge"), F.col("run") == F.col("papyra_word")).groupBy(id_col).agg(F.collect_set("papyra_own").alias("papyra_own"))
+    return met.select(id_col, F.array_distinct(F.flatten("papyra_own")).alias("papyra_terms"))
+
+
+def _kept(rows: DataFrame) -> DataFrame:
+    """Rows that are worked out once."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.cache()
 
 
 def _first_runs():
@@ -176,11 +205,12 @@ def glossary_applied(docs: DataFrame, terms: DataFrame, id_col: str, text_col: s
         return docs.withColumn(text_col, run(F.col(text_col)))
 
     @F.pandas_udf("string")
-    def own(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None or f is None else Matcher(_pairs_of(list(f))).replaced_outside(t) for t, f in zip(texts, found, strict=True)], dtype="object")
+    def own(texts: pd.Series, sources: pd.Series, targets: pd.Series) -> pd.Series:
+        get = _matchers()
+        return pd.Series([t if t is None or s is None else get(s, u).replaced_outside(t) for t, s, u in zip(texts, sources, targets, strict=True)], dtype="object")
 
-    joined = docs.join(with_terms(docs, table, id_col, text_col), id_col, "left")
-    return joined.withColumn(text_col, own(F.col(text_col), F.col("papyra_terms"))).select(*docs.columns)
+    joined = docs.join(with_terms(docs, table, id_col, text_col).hint("merge"), id_col, "left")
+    return joined.withColumn(text_col, own(F.col(text_col), F.col("papyra_terms.source"), F.col("papyra_terms.target"))).select(*docs.columns)
 
 
 def mentions(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, source: str = "source", most: int = BROADCAST_BYTES) -> DataFrame:
@@ -198,17 +228,18 @@ def mentions(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str, sour
                 yield pd.DataFrame(found, columns=["papyra_id", "source"])
 
         return rows.mapInPandas(run, kind).distinct().withColumnRenamed("papyra_id", id_col)
-    found = with_terms(rows, table.withColumn("target", F.lit("")), "papyra_id", "papyra_text")
+    found = with_terms(rows, table.withColumn("target", F.lit("")), "papyra_id", "papyra_text").select("papyra_id", F.col("papyra_terms.source").alias("papyra_sources"))
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = _matchers()
         for batch in batches:
             out = []
-            for i, t, f in zip(batch["papyra_id"], batch["papyra_text"], batch["papyra_terms"], strict=True):
-                m = Matcher(_pairs_of(list(f)))
+            for i, t, f in zip(batch["papyra_id"], batch["papyra_text"], batch["papyra_sources"], strict=True):
+                m = get(f, [""] * len(f))
                 out += [(i, m.pairs[k][0]) for k in m.mentioned(t or "")]
             yield pd.DataFrame(out, columns=["papyra_id", "source"])
 
-    return rows.join(found, "papyra_id").mapInPandas(check, kind).distinct().withColumnRenamed("papyra_id", id_col)
+    return rows.join(found.hint("merge"), "papyra_id").mapInPandas(check, kind).distinct().withColumnRenamed("papyra_id", id_col)
 
 
 #: How a text names a block by its kind (fixed values).

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from papyra import bindings
-from papyra.operators import cards, mining, search
+from papyra.operators import cards, linking, mining, search
 from papyra.plans import terms
 from papyra.sources import html, lookup, packages, tree
 
@@ -108,3 +108,19 @@ def test_names_in_doubt_are_given_with_care_and_others_by_windows(spark):
     assert got == {(f"{p}.assets/{f}", c) for p, f, c in want}
     texts = {r.package: bytes(r.content).decode() for r in packages.package_entries(bodies, assets, "m").where("place = 0").collect()}
     assert texts["a"] == "![fig](a.assets/fig-2.png) \n" and texts["b"] == "![fig](b.assets/fig.png) ![FIG](b.assets/fig-2.png)" and texts["e"] == "\n \n"
+
+
+def test_texts_meet_the_terms_of_a_word_as_one_row_and_nothing_is_broadcast(spark):
+    docs = spark.createDataFrame([(k, f"Deep nets {k}") for k in range(40)] + [(40, "none"), (41, None), (0, "Deep nets 0")], "id long, text string").repartition(2)
+    terms = spark.createDataFrame([(f"deep x{k}", "wide") for k in range(30)] + [("nets", "<wide>"), ("wide", "x"), ("x", "nets"), ("y", "z")], "source string, target string")
+    found = linking.with_terms(docs, terms, "id", "text")
+    assert "Broadcast" not in plan(found)
+    assert {r.id: len(r.papyra_terms) for r in found.collect()} == dict.fromkeys(range(40), 33)
+    assert "collect_set(papyra_own" in plan(found)
+
+
+def test_texts_with_the_same_terms_share_a_matcher():
+    get = linking._matchers(3)
+    one = get(["b", "a"], ["1", "2"])
+    assert get(["b", "a"], ["1", "2"]) is one and one.pairs == [("a", "2"), ("b", "1")]
+    assert get(["c", "d"], ["1", "2"]) is not one and get(["b", "a"], ["1", "2"]) is not one
