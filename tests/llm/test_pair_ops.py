@@ -222,6 +222,66 @@ def test_nearest_beyond_the_range_of_doubles(spark):
     assert [r.vec_id for r in got] == want and {r.score for r in got} == {float("inf"), 0.0}
 
 
+def nearest_by_hand(own, q, ids, vectors, k):
+    """The k best of vectors for one query as (score, id): sums in double precision, again in small units where they overflow."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        scores = (vectors * q).sum(1)
+        small = np.ldexp((np.ldexp(vectors, -540) * np.ldexp(q, -540)).sum(1), 1080)
+    scores = np.where(np.isfinite(scores), scores, small)
+    return sorted(((-s, c) for s, c in zip(scores.tolist(), ids.tolist(), strict=True) if c != own))[:k]
+
+
+@pytest.mark.parametrize("kind", ["near", "far", "tiny", "huge", "equal", "single"])
+def test_nearest_tiles_against_plain_loops(monkeypatch, kind):
+    monkeypatch.setattr(ann, "QUERIES", 16)
+    monkeypatch.setattr(ann, "FIRST", 24)
+    monkeypatch.setattr(ann, "PAIRS", 50)
+    rng = np.random.default_rng(31)
+    vectors = rng.normal(size=(400, 6))
+    vectors[100:160] = vectors[7]
+    with np.errstate(over="ignore", under="ignore"):
+        vectors *= 10.0 ** {"near": 0, "far": rng.uniform(-160, 160, (400, 1)), "tiny": rng.uniform(-322, -150, (400, 1)), "huge": rng.uniform(100, 307, (400, 1)), "equal": 0, "single": -3}[kind]
+    if kind == "equal":
+        vectors[:] = vectors[0]
+    if kind == "single":
+        vectors = vectors.astype(np.float32)
+    vectors[~vectors.any(1)] = 1
+    ids = rng.permutation(400)
+    for k in (1, 20, 500):
+        own = np.flatnonzero(ids % 8 == 0)
+        queries = ann.Queries([(ids[own], vectors[own])], k)
+        for first, end in ((0, 5), (5, 85), (85, 93), (93, 360), (360, 400)):
+            queries.meet(ann.Candidates([(ids[first:end], vectors[first:end])]))
+        got = {}
+        for batch in queries.out():
+            for r in batch.to_pylist():
+                got[r["query_id"]] = [(-s, c) for s, c in zip(r["scores"], r["vec_ids"], strict=True)]
+        assert got == {int(ids[x]): nearest_by_hand(ids[x], vectors[x].astype(float), ids, vectors.astype(float), k) for x in own}
+
+
+@pytest.mark.parametrize(("groups", "lanes", "kind"), [(1, 1, "double"), (3, 4, "float"), (2, 1, "double"), (1, 5, "float")])
+def test_nearest_in_any_grid(spark, monkeypatch, groups, lanes, kind):
+    """Vectors travel once for each group or lane and queries' heaps once for each lane: blocks aren't joined in pairs."""
+    monkeypatch.setattr(ann, "CHUNK", 40)
+    monkeypatch.setattr(ann, "CANDIDATES", 30)
+    rng = np.random.default_rng(37)
+    rows = [(k, rng.normal(size=8 if k % 3 else 5).astype(np.float32).tolist()) for k in range(300)] + [(300, None), (None, [1.0] * 8), (20, [2.0] * 8), (20, [2.0] * 8), (320, []), (340, [1.0, None, 2.0, 3.0, 1.0])]
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").repartition(5)
+    found = ann.nearest(table, table.where("vec_id % 20 = 0"), k=7, groups=groups, lanes=lanes)
+    said = found._jdf.queryExecution().toString()
+    assert "Join" not in said and "CartesianProduct" not in said
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    sets = {k: np.array([x for x in rows if x[0] is not None and x[1] and None not in x[1] and len(x[1]) == k], object) for k in (5, 8)}
+    want = {}
+    for part in sets.values():
+        ids, vectors = part[:, 0].astype(int), np.array(part[:, 1].tolist())
+        for q in {(k, tuple(v)) for k, v in part if k % 20 == 0}:
+            want.setdefault(q[0], []).extend(nearest_by_hand(q[0], np.array(q[1]), ids, vectors, 7))
+    assert got == {q: sorted(x)[:7] for q, x in want.items()}
+
+
 @pytest.mark.parametrize("hot", [2048, 2])
 def test_repeats_without_id(spark, monkeypatch, hot):
     monkeypatch.setattr(repeats, "HOT", hot)
