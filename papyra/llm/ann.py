@@ -236,10 +236,10 @@ def grid(candidates: DataFrame, queries: DataFrame, k: int) -> tuple[int, int]:
     n = candidates.count()
     if not n or not of_queries:
         return 1, 1
-    work, heaps = n * of_queries, 4.0 * k * n_queries  # a heap's entry is four numbers in a shuffle, two and more in memory
+    work, heaps = n * of_queries, k * n_queries
     cells = max(work / MOST, min(3 * candidates.sparkSession.sparkContext.defaultParallelism, work / LEAST), 1)
-    numbers = n * of_queries / n_queries
-    groups = max(1, math.ceil((of_queries + heaps / 2) / HELD), round(min(cells, math.sqrt(cells * (of_queries + heaps) / numbers))))
+    # a lane more costs each query its way through the shuffle, and filling another heap; a group more costs the candidates' way
+    groups = max(1, math.ceil((of_queries + 2 * heaps) / HELD), round(min(cells, math.sqrt(cells * (of_queries + 16 * heaps) * n_queries / (n * of_queries)))))
     return groups, math.ceil(cells / groups)
 
 
